@@ -7,13 +7,41 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import packing, sharding, simhash
+from quadrat.llm import ann, lines, mixing, packing, pii, quality, sharding, simhash, substrings, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate, tokens and domain probabilities of every document."""
+    rated = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    shares = [F.element_at("posterior", i + 1).alias(f"p_{name}") for i, name in enumerate(mixing.DOMAINS)]
+    return rated.select("doc_id", "tokens", *shares, "rate", mixing.copies(F.col("rate"), "doc_id").alias("copies"))
+
+
+def op2_small_world_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every twentieth vector, by inner product."""
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+def op3_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated lines."""
+    found = lines.fuzzy_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op4_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without passages of 35 words that occur twice."""
+    return substrings.drop_repeats(_table(spark, sf_dir, "documents"), window=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op5_term_at_a_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest scores of every twentieth vector, by integer inner product."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
+
+
 def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards, cut from one Hilbert curve through source, language, length and id."""
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), 40)
@@ -25,14 +53,76 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of personal data in every document."""
+    found = pii.find_personal_data(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
 def op9_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a packed sequence."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"), 2048)
 
 
+def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    scored = quality.quality_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+_QUERIES = (
+    op1_soft_membership_mixing,
+    op2_small_world_neighbours,
+    op3_fuzzy_lines,
+    op4_difference_cover,
+    op5_term_at_a_time,
+    op6_hilbert_shards,
+    op7_simhash_near_dedup,
+    op8_weak_supervision_pii,
+    op9_min_bin_slack,
+    op10_subword_quality,
+)
+
+#: Integer inner products of every twentieth vector with all others.
+_OP5 = """
+WITH valid AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, d.v), p -> p[1] * p[2])) AS BIGINT) AS score
+  FROM valid q JOIN valid d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+#: All windows of 35 words, counted.
+_OP4 = """
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), w -> w <> '') AS w FROM documents
+), starts AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM words WHERE len(w) >= 35
+), windows AS (
+  SELECT doc_id, i, array_to_string(list_slice(w, i, i + 34), ' ') AS passage FROM starts
+), repeated AS (
+  SELECT doc_id, i FROM windows WHERE passage IN (SELECT passage FROM windows GROUP BY passage HAVING count(*) > 1)
+), gone AS (
+  SELECT doc_id, list(DISTINCT j) AS gone FROM (SELECT doc_id, unnest(range(i, i + 35)) AS j FROM repeated) GROUP BY doc_id
+), kept AS (
+  SELECT words.doc_id, words.w, gone.gone,
+    CASE WHEN gone.gone IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), j -> NOT list_contains(gone.gone, j)), j -> w[j]) END AS k
+  FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256
+FROM kept
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_hilbert_shards, op7_simhash_near_dedup, op9_min_bin_slack)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_difference_cover": _OP4, "op5_term_at_a_time": _OP5}

@@ -163,6 +163,13 @@ def _stars(points: np.ndarray, owners: np.ndarray, distance: int) -> tuple[np.nd
     return names[tied], names[root[tied]]
 
 
+def _classes(prints: DataFrame, distance: int) -> DataFrame:
+    """``(fp, root)``: the smallest fingerprint that each distinct one is linked to, itself included."""
+    roots = connected_components(ball_links(prints, "fp", distance))
+    distinct = prints.select("fp").distinct()
+    return distinct.join(roots.withColumnRenamed("vertex", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
     """One row for each row of ``docs``: its id, its fingerprint and its class of near duplicates.
 
@@ -174,21 +181,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Returns ``(<doc_id>, fp long, component_id)``.
     """
-    named = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    prints = stage(fingerprints(named, "text", "fp", width), "prints")
-    roots = connected_components(ball_links(prints, "fp", distance))
-    least = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    rooted = least.join(roots.withColumnRenamed("vertex", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(names, "root").select("fp", "component_id")
+    prints = stage(fingerprints(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), "text", "fp", width), "prints")
+    least = prints.groupBy("fp").agg(F.min("id").alias("least")).join(_classes(prints, distance), "fp")
+    names = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = least.join(names, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select(F.col("id").alias(doc_id), "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, distance: int = 4) -> DataFrame:
-    """Keep of each class of near duplicates the document with the smallest id; of repeated ids, one row.
-
-    Documents with a null id are kept only where their class has no id, and then one of them.
-    """
-    classes = near_duplicates(docs, doc_id, text, width, distance)
-    keep = classes.where(F.col(doc_id).eqNullSafe(F.col("component_id"))).select(F.col(doc_id).alias("__id"), F.col("fp").alias("__fp")).distinct()
-    return docs.join(keep.select("__id").distinct(), docs[doc_id].eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([doc_id])
+    """Keep one document of each class of near duplicates: that with the smallest id, ids before null, and of equal ids
+    that with the smallest hash of the text. Of rows that agree in id and text one stays."""
+    keyed = docs.withColumns({"__a": F.xxhash64(doc_id, text), "__b": F.xxhash64(text, doc_id)})
+    named = keyed.select(F.col(doc_id).alias("id"), "__a", "__b", F.col(text).alias("text"))
+    prints = stage(fingerprints(named, "text", "fp", width), "prints")
+    first = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("__a"), F.col("__b"))
+    least = prints.groupBy("fp").agg(F.min(first).alias("least")).join(_classes(prints, distance), "fp")
+    kept = least.groupBy("root").agg(F.min("least").alias("least")).select("least.__a", "least.__b")
+    return keyed.join(kept, ["__a", "__b"], "left_semi").dropDuplicates(["__a", "__b"]).drop("__a", "__b")

@@ -93,7 +93,7 @@ class Model:
         return score
 
 
-def train(sample: list[tuple[np.ndarray, np.ndarray, int]], classes: int, shape: Shape, dim: int = 8, epochs: int = 12, rate: float = 4.0, seed: int = 7) -> Model:
+def train(sample: list[tuple[np.ndarray, np.ndarray, int]], classes: int, shape: Shape, dim: int = 8, epochs: int = 12, rate: float = 2.0, seed: int = 7) -> Model:
     """Stochastic gradient descent over single documents, the rate falling to zero. Deterministic under a seed."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, (shape.buckets, dim)).astype(np.float32)
@@ -110,10 +110,11 @@ def train(sample: list[tuple[np.ndarray, np.ndarray, int]], classes: int, shape:
             error = np.exp(logits - logits.max())
             error /= error.sum()
             error[label] -= 1
-            pull = layer @ error
-            layer -= pace * 0.25 * np.outer(mean, error)
+            # Steps are scaled so that none moves a document's own logits by more than about twice its error.
+            pull = layer @ error / max(1.0, float((layer * layer).sum()))
+            layer -= pace * 0.25 / max(1.0, float(mean @ mean)) * np.outer(mean, error)
             bias -= pace * 0.02 * error
-            vectors[ids] = rows - (pace * min(200.0, 1 / float(share @ share))) * np.outer(share, pull)
+            vectors[ids] = rows - pace / float(share @ share) * np.outer(share, pull)
     return Model(shape, vectors @ layer, bias)
 
 
