@@ -86,11 +86,11 @@ _QUERIES = (
 #: Integer inner products of every twentieth vector with all others.
 _OP5 = """
 WITH valid AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, d.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, d.v), p -> p[1] * p[2])) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, d.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
   FROM valid q JOIN valid d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0
 ), ranked AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
@@ -101,7 +101,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 #: All windows of 35 words, counted.
 _OP4 = """
 WITH words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), w -> w <> '') AS w FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents
 ), starts AS (
   SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM words WHERE len(w) >= 35
 ), windows AS (
@@ -112,7 +112,7 @@ WITH words AS (
   SELECT doc_id, list(DISTINCT j) AS gone FROM (SELECT doc_id, unnest(range(i, i + 35)) AS j FROM repeated) GROUP BY doc_id
 ), kept AS (
   SELECT words.doc_id, words.w, gone.gone,
-    CASE WHEN gone.gone IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), j -> NOT list_contains(gone.gone, j)), j -> w[j]) END AS k
+    CASE WHEN gone.gone IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda j: NOT list_contains(gone.gone, j)), lambda j: w[j]) END AS k
   FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256
