@@ -1,0 +1,167 @@
+"""Training-data operators against brute force on small tables: nulls, empty and repeated rows, ties, extra columns."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quadrat.llm import ann, lines, mixing, packing, pii, quality, sharding, simhash, substrings, topk
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, root string"
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+
+
+def prose(seed, n):
+    rng = np.random.default_rng(seed)
+    return " ".join(WORDS[i] + str(j) for i, j in zip(rng.integers(0, 20, n), rng.integers(0, 30, n)))
+
+
+PASSAGE = prose(100, 60)
+TEXTS = [
+    (1, prose(1, 200)), (2, prose(1, 200)), (3, prose(1, 200) + " tail"), (4, None), (5, ""), (6, "  \n\t "), (7, PASSAGE), (8, prose(2, 40) + " " + PASSAGE + " " + prose(3, 40)),
+    (9, "same line here\nsame line here\nother line\n" + prose(4, 30)), (10, prose(4, 30) + "\nSAME line, here!"), (None, prose(5, 50)), (11, prose(6, 5000)), (12, " ".join(["word"] * 90)),
+    (1, prose(1, 200)), (13, "mail me.you@host.example.com or 10.1.2.3, card 4111 1111 1111 1111, phone +1 (269) 555-3296"),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x") for i, t in TEXTS], SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def nothing(docs):
+    return docs.where("false")
+
+
+def test_near_duplicates(docs, nothing):
+    got = simhash.near_duplicates(docs).toPandas()
+    prints = [simhash.fingerprint(t) for _, t in TEXTS]
+    root = list(range(len(TEXTS)))
+    for _ in TEXTS:
+        for i, a in enumerate(prints):
+            for j, b in enumerate(prints):
+                if (a ^ b).bit_count() <= 4:
+                    root[i] = root[j] = min(root[i], root[j])
+    names = {r: min([d for (d, _), q in zip(TEXTS, root) if q == r and d is not None], default=None) for r in root}
+    want = collections.Counter((d, p, names[r]) for (d, _), p, r in zip(TEXTS, prints, root))
+    clean = lambda v: None if v is None or v != v else int(v)
+    assert collections.Counter((clean(r.doc_id), int(np.int64(r.fp).view(np.uint64)), clean(r.component_id)) for r in got.itertuples()) == want
+    kept = simhash.drop_near_duplicates(docs, width=4)
+    assert kept.columns == docs.columns and kept.count() == len(set(root))
+    assert simhash.near_duplicates(nothing).count() == 0 and simhash.drop_near_duplicates(nothing).count() == 0
+
+
+def test_substrings(docs, nothing):
+    got = collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.drop_repeats(docs).collect())
+    words = [(d, tuple((t or "").encode().split())) for d, t in TEXTS]
+    seen = collections.Counter(w[i : i + 35] for _, w in words for i in range(len(w) - 34))
+    want = collections.Counter()
+    for d, w in words:
+        gone = {j for i in range(len(w) - 34) if seen[w[i : i + 35]] > 1 for j in range(i, i + 35)}
+        kept = b" ".join(x for j, x in enumerate(w) if j not in gone)
+        want[(d, len(w), len(gone), hashlib.sha256(kept).hexdigest())] += 1
+    assert got == want
+    assert substrings.drop_repeats(nothing).count() == 0
+
+
+def test_lines(docs, nothing):
+    got = {r.doc_id: r for r in lines.fuzzy_lines(docs).collect()}
+    assert got[9].text.startswith("same line here\nother line") and got[9].n_removed == 1
+    assert got[10].n_removed == 2 and got[10].text == "" and got[4].text is None and got[4].n_lines == 0
+    assert lines.fuzzy_lines(nothing).count() == 0
+    assert lines.drop_repeated_lines(docs).columns == docs.columns
+
+
+def test_sharding(docs, nothing):
+    got = sharding.shard_documents(docs, 4).toPandas()
+    assert len(got) == len(TEXTS) and got.groupby("shard").size().max() - got.groupby("shard").size().min() <= 1
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+    row = got[got.doc_id == 13].iloc[0]
+    text = dict(TEXTS)[13].encode()
+    assert row["size"] == len(text) + 16 and row.text_crc32 == zlib.crc32(text)
+    assert got[got.doc_id == 4].iloc[0]["size"] == 16
+    assert sharding.shard_documents(nothing).count() == 0
+
+
+def test_personal_data(docs, nothing):
+    got = {r.doc_id: r for r in pii.find_personal_data(docs).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", pii.written(F.col("base")).alias("base")).collect()}
+    text = dict(TEXTS)[13]
+    spans = sorted((m.start(), k, m.end(), n) for k, (n, p) in enumerate([("email", r"\S+@\S+\.com"), ("ip", r"10\.1\.2\.3"), ("card", r"4111 1111 1111 1111"), ("phone", r"\+1 .*6")]) for m in re.finditer(p, text))
+    assert got[13].base == ",".join(f"{n}:{s}:{e}" for s, _, e, n in spans)
+    assert got[4].base == "" and got[4].n_email == 0 and len(got) == len({d for d, _ in TEXTS})
+    assert pii.find_personal_data(nothing).count() == 0
+
+
+def test_packing(docs, nothing):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    got = packing.pack_documents(docs).toPandas()
+    assert got.groupby("sequence_id").length.sum().max() <= 2048
+    for _, s in got.sort_values("offset").groupby("sequence_id"):
+        assert (s.offset == s.length.cumsum() - s.length).all()
+    want = collections.Counter()
+    for d, t in TEXTS:
+        ids = np.array([*coder.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        for at in range(0, len(ids), 2048):
+            want[(d, at, len(ids[at : at + 2048]), zlib.crc32(ids[at : at + 2048]), len(ids))] += 1
+    assert collections.Counter((None if r.doc_id != r.doc_id else int(r.doc_id), r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got.itertuples()) == want
+    assert packing.pack_documents(nothing).count() == 0
+    counts = np.bincount([7, 7, 7, 5], minlength=30)
+    assert sum(packing.fill(counts, 20)) == 19 and sum(packing.fill(counts, 21)) == 21 and packing.fill(counts, 4) == []
+
+
+VECTORS = [(i, [float(x) for x in np.random.default_rng(i % 37).normal(0, 0.2, 6)]) for i in range(120)] + [(200, None), (201, [0.0] * 6), (202, [1.0, None]), (203, [float("nan")] * 6), (204, [float("inf")] * 6), (None, [1.0] * 6), (0, [0.5] * 6)]
+
+
+@pytest.fixture(scope="module")
+def vectors(spark):
+    return spark.createDataFrame(VECTORS, "vec_id long, embedding array<float>").repartition(3)
+
+
+def usable(zeros):
+    found = {}
+    for i, v in VECTORS:
+        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and (zeros or any(v)):
+            v = tuple(float(np.float32(x)) for x in v)
+            found[i] = min(v, found.get(i, v))
+    return found
+
+
+def test_exact_search(vectors):
+    got = collections.defaultdict(list)
+    for r in topk.top_k(vectors, shard_rows=40, block_rows=4).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    ints = {i: np.floor(64 * np.array(v)).astype(int) for i, v in usable(True).items()}
+    for q in [i for i in ints if i % 20 == 0]:
+        assert got[q] == sorted(((i, int(v @ ints[q])) for i, v in ints.items() if i != q), key=lambda p: (-p[1], p[0]))[:20]
+    assert topk.top_k(vectors.where("false")).count() == 0
+
+
+def test_graph_search(vectors):
+    got = collections.defaultdict(list)
+    for r in ann.nearest(vectors, shard_rows=40, block_rows=4).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    floats = {i: np.array(v) for i, v in usable(False).items()}
+    hits = [len(set(got[q]) & set(sorted((i for i in floats if i != q), key=lambda i: (-round(float(floats[i] @ floats[q]), 9), i))[:20])) for q in floats if q % 20 == 0]
+    assert min(map(len, got.values())) == 20 and np.mean(hits) / 20 >= 0.9
+    assert ann.nearest(vectors.where("false")).count() == 0
+
+
+def test_classifiers(spark, docs, nothing):
+    rows = [(1000 + i, prose(i, 40) if i % 3 else "JUNK!! " * 20, "en", "s", 1, "x") for i in range(60)]
+    all_docs = docs.unionByName(spark.createDataFrame(rows, SCHEMA))
+    labels = spark.createDataFrame([(1000 + i, int(i % 3 > 0), int(i % 3 == 2)) for i in range(60)] + [(None, 1, 0), (1001, None, 0)], "doc_id long, quality int, toxic int")
+    scored = quality.quality_scores(all_docs, labels)
+    held = scored.where("held_out").join(labels, "doc_id").where("quality IS NOT NULL")
+    assert held.where("predicted <> quality").count() == 0 and scored.where("score < 0 OR score > 1 OR score IS NULL").count() == 0
+    assert quality.quality_scores(nothing, labels).count() == 0
+    mixed = mixing.mix(all_docs, labels, {"low": 0.4, "good": 0.5, "toxic": 0.1}, max_rate=10.0)
+    assert mixed.where("rate < 0 OR rate > 10").count() == 0 and mixed.count() == all_docs.count()
+    assert mixing.mixed(nothing, labels).count() == 0
