@@ -66,17 +66,18 @@ def _repeats(docs: DataFrame, keys: Callable, entries: int, bucket_entries: int
     ``keys(rolling, row) -> (hashes, places)`` gives a document's keys. A task sorts the keys of some thousand
     documents. Those it holds twice are settled on the spot and it sends one entry for all of them, so a passage that
     a third of all documents share sends one entry a task batch; the others travel with their places. Keys are dealt
-    to as many buckets as ``entries`` asks for, and a bucket is sorted as a whole.
+    to as many buckets as ``entries`` asks for, and a bucket is sorted as a whole. What it finds goes back as one row
+    for each batch that sent to it, and the rows of a batch are put together again, one for each document.
     """
     bits = int(np.ceil(np.log2(max(1, entries / bucket_entries))))
     shift = np.uint64(64 - bits)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["bucket", "keys", "owner", "place", "ids", "twins"]
+    names = ["bucket", "batch", "keys", "owner", "place", "ids", "twins"]
 
-    def row(batch, bucket, key, owner, place):
+    def row(batch, name, bucket, key, owner, place):
         there, owner = np.unique(owner, return_inverse=True)
         picked = pa.array(there)
-        return (bucket, key.tobytes(), owner.astype(np.uint16).tobytes(), place.astype(np.int32).tobytes(), batch.column("doc_id").take(picked), batch.column("twin").take(picked))
+        return (bucket, name, key.tobytes(), owner.astype(np.uint16).tobytes(), place.astype(np.int32).tobytes(), batch.column("doc_id").take(picked), batch.column("twin").take(picked))
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
@@ -93,17 +94,18 @@ def _repeats(docs: DataFrame, keys: Callable, entries: int, bucket_entries: int
                 key, place, owner = key[order], place[order], owner[order]
                 new = np.concatenate(([True], key[1:] != key[:-1]))
                 settled = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1
-                rows = []
+                rows, told = [], repr((batch.column("doc_id").to_pylist(), batch.column("twin").to_pylist())).encode()
+                name = int.from_bytes(hashlib.sha256(told).digest()[:8], "big", signed=True)
                 if settled.any():
-                    rows.append(row(batch, -1 - int(key[0] >> np.uint64(2)), key[settled], owner[settled], place[settled]))
+                    rows.append(row(batch, name, -1 - int(key[0] >> np.uint64(2)), key[settled], owner[settled], place[settled]))
                 sent, sent_place = new, np.where(settled, _RAISED, place)
                 key, owner, place = key[sent], owner[sent], sent_place[sent]
                 bucket = (key >> shift).astype(np.int64) if bits else np.zeros(len(key), np.int64)
                 edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(key)]
-                rows += [row(batch, int(bucket[s]), key[s:e], owner[s:e], place[s:e]) for s, e in zip(edges, edges[1:], strict=False)]
+                rows += [row(batch, name, int(bucket[s]), key[s:e], owner[s:e], place[s:e]) for s, e in zip(edges, edges[1:], strict=False)]
                 cols = list(zip(*rows, strict=True))
-                ids, twins = (pa.ListArray.from_arrays(np.cumsum([0, *map(len, c)]).astype(np.int32), pa.concat_arrays(c)) for c in cols[4:])
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:4]), ids, twins], names)
+                ids, twins = (pa.ListArray.from_arrays(np.cumsum([0, *map(len, c)]).astype(np.int32), pa.concat_arrays(c)) for c in cols[5:])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:2]), *(pa.array(c, pa.binary()) for c in cols[2:5]), ids, twins], names)
 
     def gather(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -119,8 +121,8 @@ def _repeats(docs: DataFrame, keys: Callable, entries: int, bucket_entries: int
             hit = np.empty(len(key), bool)
             hit[order] = same[1:] | same[:-1]
             hit &= place != _RAISED
-        ids, twins, places, at = [], [], [], 0
-        for n, owner, who, twin in zip(sizes, group["owner"], group["ids"], group["twins"], strict=True):
+        batches, ids, twins, places, sizes_out, at = [], [], [], [], [0], 0
+        for n, name, owner, who, twin in zip(sizes, group["batch"], group["owner"], group["ids"], group["twins"], strict=True):
             mine = np.flatnonzero(hit[at : at + n])
             owner, where = np.frombuffer(owner.as_py(), np.uint16)[mine], place[at : at + n][mine]
             at += n
@@ -130,14 +132,30 @@ def _repeats(docs: DataFrame, keys: Callable, entries: int, bucket_entries: int
             owner, where = owner[order], where[order]
             edges = [0, *(np.flatnonzero(np.diff(owner)) + 1).tolist(), len(owner)]
             there = pa.array(owner[edges[:-1]])
+            batches.append(name.as_py())
             ids.append(who.values.take(there))
             twins.append(twin.values.take(there))
             places += [where[s:e].tobytes() for s, e in zip(edges, edges[1:], strict=False)]
-        empty = group["ids"].combine_chunks().values.slice(0, 0)
-        return pa.table({"doc_id": pa.concat_arrays([*ids, empty]), "twin": pa.concat_arrays([*twins, pa.array([], pa.int64())]), "places": pa.array(places, pa.binary())})
-
-    packed = docs.mapInArrow(scatter, f"bucket long, keys binary, owner binary, place binary, ids array<{kind}>, twins array<bigint>")
-    return packed.groupBy("bucket").applyInArrow(gather, f"doc_id {kind}, twin long, places binary")
+            sizes_out.append(len(places))
+        none = group["ids"].combine_chunks().values.slice(0, 0)
+        values = (pa.concat_arrays([*ids, none]), pa.concat_arrays([*twins, pa.array([], pa.int64())]), pa.array(places, pa.binary()))
+        lists = [pa.ListArray.from_arrays(np.array(sizes_out, np.int32), v) for v in values]
+        return pa.table([pa.array(batches, pa.int64()), *lists], ["batch", "ids", "twins", "places"])
+
+    def regroup(batch: pa.Table) -> pa.Table:
+        ids, twins, places = (batch[c].combine_chunks().flatten() for c in ("ids", "twins", "places"))
+        first, parts = {}, []
+        for i, (key, found) in enumerate(zip(zip(ids.to_pylist(), twins.to_pylist(), strict=True), places.to_pylist(), strict=True)):
+            if key not in first:
+                first[key] = (len(parts), i)
+                parts.append([])
+            parts[first[key][0]].append(found)
+        kept = pa.array([i for _, i in first.values()], pa.int64())
+        return pa.table({"doc_id": ids.take(kept), "twin": twins.take(kept), "places": pa.array([b"".join(p) for p in parts], pa.binary())})
+
+    packed = docs.mapInArrow(scatter, f"bucket long, batch long, keys binary, owner binary, place binary, ids array<{kind}>, twins array<bigint>")
+    found = packed.groupBy("bucket").applyInArrow(gather, f"batch long, ids array<{kind}>, twins array<bigint>, places array<binary>")
+    return found.groupBy("batch").applyInArrow(regroup, f"doc_id {kind}, twin long, places binary")
 
 
 def _with_places(docs: DataFrame, places: DataFrame) -> DataFrame:
