@@ -8,10 +8,14 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_CACHE = 1 << 19
+#: Bytes of text whose words are split and hashed together; a longer text is taken alone, whole.
+_SLICE = 1 << 22
+#: Bytes of different words whose n-grams are held at once.
+_GRAMS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -21,12 +25,22 @@ class Shape:
     buckets: int = 1 << 18
     grams: tuple[int, ...] = (3, 4)
 
-    def of_word(self, word: bytes) -> list[int]:
-        marked, last = b"<" + word + b">", self.buckets - 1
-        out = [crc32(marked) & last]
+    def of_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """``(owners, buckets)``: the places in ``words`` of all features, and their buckets."""
+        owners = [np.arange(len(words), dtype=np.int32)]
+        found = [np.fromiter((crc32(b"<" + w + b">") for w in words), np.uint32, len(words))]
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        letters = np.frombuffer(b"<" + b"><".join(words) + b">", np.uint8)[: sizes.sum()]
+        word = np.repeat(owners[0], sizes)
+        left = np.cumsum(sizes)[word] - np.arange(len(letters))
         for n in self.grams:
-            out += [crc32(marked[i : i + n], n) & last for i in range(len(marked) - n + 1)]
-        return out
+            starts = np.flatnonzero(left >= n)
+            h = np.full(len(starts), 0x811C9DC5 ^ n, np.uint32)  # FNV-1a, of all n-grams at once
+            for i in range(n):
+                h = (h ^ letters[starts + i]) * np.uint32(0x01000193)
+            owners.append(word[starts])
+            found.append(h ^ (h >> np.uint32(15)))
+        return np.concatenate(owners), np.concatenate(found) & np.uint32(self.buckets - 1)
 
     @property
     def repeat(self) -> int:
@@ -34,20 +48,26 @@ class Shape:
         return crc32(b"= =") & (self.buckets - 1)
 
 
-def features(text: str | None, shape: Shape, known: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def split(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """``(words, places, owners)``: the different words of some texts and, for every word of every text in order, its
+    place in ``words`` and the number of its text. Words are runs without ASCII white space; null texts have none."""
+    lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+    flat, owners = lists.flatten(), pc.list_parent_indices(lists)
+    some = pc.greater(pc.binary_length(flat), 0)
+    coded = flat.filter(some).dictionary_encode()
+    return coded.dictionary.cast(pa.large_binary()).to_pylist(), coded.indices.to_numpy(), owners.filter(some).to_numpy()
+
+
+def features(text: str | None, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text and the share of its features that fall in each. A text without words has none."""
-    words = (text or "").encode().split()
-    found: list[int] = []
-    for word in words:
-        ids = known.get(word)
-        if ids is None:
-            if len(known) >= _CACHE:
-                known.clear()
-            ids = known[word] = shape.of_word(word)
-        found += ids
-    found += [shape.repeat] * sum(map(bytes.__eq__, words, words[1:])) * 4
-    ids, counts = np.unique(np.array(found, np.uint32), return_counts=True)
-    return ids, (counts / max(1, len(found))).astype(np.float32)
+    words, places, _ = split(pa.array([text], pa.large_string()))
+    owners, buckets = shape.of_words(words)
+    times = np.bincount(places, minlength=len(words)).astype(np.float64)
+    repeats = 4.0 * np.count_nonzero(places[1:] == places[:-1])
+    ids, at = np.unique(np.append(buckets, np.uint32(shape.repeat)), return_inverse=True)
+    counts = np.bincount(at, np.append(times[owners], repeats), len(ids))
+    ids, counts = ids[counts > 0], counts[counts > 0]
+    return ids, (counts / max(1.0, counts.sum())).astype(np.float32)
 
 
 @dataclass(frozen=True)
@@ -58,39 +78,34 @@ class Model:
     table: np.ndarray
     bias: np.ndarray
 
-    def scorer(self):
-        """``score(text) -> probabilities``; keeps the sums of words it has met, in bounded memory."""
-        rows: dict[bytes, int] = {}
-        sums = np.zeros((_CACHE, self.table.shape[1] + 1), np.float64)
+    def _of_words(self, words: list[bytes]) -> np.ndarray:
+        """For each word the sum of its features' rows, and their number."""
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 2)
+        parts = np.split(np.arange(len(words)), np.flatnonzero(np.diff(ends // _GRAMS)) + 1)
+        out = [np.empty((0, self.table.shape[1] + 1))]
+        for part in (p for p in parts if len(p)):
+            owners, buckets = self.shape.of_words(words[part[0] : part[-1] + 1])
+            columns = [np.bincount(owners, self.table[buckets, c], len(part)) for c in range(self.table.shape[1])]
+            out.append(np.stack([*columns, np.bincount(owners, minlength=len(part))], 1))
+        return np.concatenate(out)
+
+    def score(self, texts: pa.Array) -> np.ndarray:
+        """The probabilities of the classes, a row for each text. What a text gets does not depend on the others."""
+        sizes = pc.binary_length(texts).fill_null(0).to_numpy().astype(np.int64)
+        group = np.cumsum(sizes) // _SLICE
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+        return np.concatenate([np.empty((0, len(self.bias))), *(self._score(texts.slice(s, e - s)) for s, e in zip(cuts, cuts[1:], strict=False) if e > s)])
+
+    def _score(self, texts: pa.Array) -> np.ndarray:
+        words, places, owners = split(texts)
+        sums = self._of_words(words)
+        again = owners[1:][(places[1:] == places[:-1]) & (owners[1:] == owners[:-1])]
         pair = np.append(4.0 * self.table[self.shape.repeat], 4.0)
-
-        def learn(word: bytes) -> int:
-            ids = self.shape.of_word(word)
-            at = rows[word] = len(rows)
-            sums[at, :-1] = self.table[ids].sum(0)
-            sums[at, -1] = len(ids)
-            return at
-
-        def score(text: str | None) -> np.ndarray:
-            words, total, last = (text or "").encode().split(), np.zeros(sums.shape[1]), None
-            for at in range(0, len(words), _CACHE // 2):
-                part = words[at : at + _CACHE // 2]
-                if len(rows) + len(part) > _CACHE:
-                    rows.clear()
-                get = rows.get
-                places = [get(w) for w in part]
-                for i, place in enumerate(places):
-                    if place is None:
-                        known = get(part[i])
-                        places[i] = learn(part[i]) if known is None else known
-                where = np.array(places)
-                total += sums[where].sum(0) + pair * (np.count_nonzero(where[1:] == where[:-1]) + (last == part[0]))
-                last = part[-1]
-            logits = total[:-1] / max(1.0, total[-1]) + self.bias
-            odds = np.exp(logits - logits.max())
-            return odds / odds.sum()
-
-        return score
+        total = np.stack([np.bincount(owners, column[places], len(texts)) for column in sums.T], 1).astype(np.float64)
+        total += np.bincount(again, minlength=len(texts))[:, None] * pair
+        logits = total[:, :-1] / np.maximum(1.0, total[:, -1:]) + self.bias
+        odds = np.exp(logits - logits.max(1, keepdims=True))
+        return odds / odds.sum(1, keepdims=True)
 
 
 def train(sample: list[tuple[np.ndarray, np.ndarray, int]], classes: int, shape: Shape, dim: int = 8, epochs: int = 12, rate: float = 2.0, seed: int = 7) -> Model:
@@ -131,9 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, classes: int, sample: int = 4000, sh
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "__label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, list[int]] = {}
         for batch in batches:
-            found = [features(t.as_py(), shape, known) for t in batch.column(1)]
+            found = [features(t.as_py(), shape) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.string()), batch.column(2), pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary())],
                 ["id", "label", "ids", "share"],
@@ -151,9 +165,10 @@ def probabilities(docs: DataFrame, model: Model, text: str = "text", out: str =
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = Model(shape, *held.value).scorer()
+        held_model = Model(shape, *held.value)
         for batch in batches:
-            found = pa.array([score(t.as_py()).tolist() for t in batch.column(text)], pa.list_(pa.float64()))
+            odds = held_model.score(batch.column(text))
+            found = pa.ListArray.from_arrays(pa.array(np.arange(len(odds) + 1) * odds.shape[1], pa.int32()), pa.array(odds.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*names, out])
 
     return docs.mapInArrow(run, docs.withColumn(out, F.array().cast("array<double>")).schema)
