@@ -77,6 +77,65 @@ def test_lines(docs, nothing):
     assert lines.drop_repeated_lines(docs).columns == docs.columns
 
 
+def lettered(rng, text, edits, whole):
+    """``text`` with ``edits`` letters replaced, or with whole words replaced until about as many letters are others."""
+    cells = list(text)
+    if whole:
+        words = text.split()
+        for i in rng.permutation(len(words)):
+            if edits < len(words[i]):
+                break
+            edits -= len(words[i])
+            words[i] = "".join(chr(97 + c) for c in rng.integers(0, 26, len(words[i])))
+        return " ".join(words)
+    for i in rng.permutation([i for i, c in enumerate(cells) if c != " "])[:edits]:
+        cells[i] = chr(97 + (ord(cells[i]) - 96) % 26) if cells[i].isalpha() else "x"
+    return "".join(cells)
+
+
+def distance(a, b):
+    row = np.arange(len(b) + 1)
+    codes = np.array([ord(c) for c in b])
+    for i, c in enumerate(a):
+        step = np.concatenate(([i + 1], np.minimum(row[1:] + 1, row[:-1] + (codes != ord(c)))))
+        row = np.minimum.accumulate(step - np.arange(len(step))) + np.arange(len(step))
+    return row[-1]
+
+
+def test_fuzzy_lines_against_brute_force(spark):
+    """Planted pairs by edit similarity: the share that is found, and nothing that brute force does not link."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9)))
+    pairs, kinds = [], []
+    for n_words in (1, 3, 10, 27, 57, 100):
+        for similarity in (0.81, 0.9, 0.95):
+            for whole in (False, True):
+                for _ in range(40):
+                    base = " ".join(word() for _ in range(n_words))
+                    pairs.append((base, lettered(rng, base, int(len(base) * (1 - similarity) + 1e-9), whole)))
+                    kinds.append((n_words, similarity, whole))
+    pairs += [("room 12 is shut", "room 13 is shut"), ("a" * 30 + " end", "a" * 10 + " other end")]
+    kinds += [None, None]
+    rows = [(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)]
+    got = {r.doc_id: r.n_removed for r in lines.fuzzy_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    score = collections.defaultdict(list)
+    for i, ((a, b), kind) in enumerate(zip(pairs, kinds)):
+        alike = distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9
+        if n_words_over_one(kind):  # single short words may resemble any other
+            assert got[2 * i] == 0 and got[2 * i + 1] <= alike
+        if kind and alike and a != b:
+            score[kind].append(got[2 * i + 1])
+    print({k: (len(v), round(float(np.mean(v)), 2)) for k, v in score.items()})
+    assert got[2 * len(pairs) - 3] == 1 and got[2 * len(pairs) - 1] == 0
+    for (_, similarity, whole), v in score.items():
+        least = {0.95: 0.85, 0.9: 0.7 if whole else 0.5, 0.81: 0.7 if whole else 0.0}[similarity]
+        assert np.mean(v) >= least
+
+
+def n_words_over_one(kind):
+    return kind is None or kind[0] > 1
+
+
 def test_sharding(docs, nothing):
     got = sharding.shard_documents(docs, 4).toPandas()
     assert len(got) == len(TEXTS) and got.groupby("shard").size().max() - got.groupby("shard").size().min() <= 1
