@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 import numpy as np
@@ -29,14 +30,17 @@ def domain_posteriors(docs: DataFrame, labels: DataFrame, sample: int = 4000) ->
     return subword.probabilities(docs, model, "text", "posterior")
 
 
-def fit_rates(members: DataFrame, targets: Mapping[str, float], budget: float | None = None, max_rate: float = 4.0, rounds: int = 60, tolerance: float = 1e-3, each: int = 10) -> tuple[DataFrame, list[float]]:
-    """Nonnegative rates whose expected tokens by domain come closest to the targets, by projected gradient descent.
+def fit_rates(members: DataFrame, targets: Mapping[str, float], budget: float | None = None, max_rate: float = float("inf"), rounds: int = 60, tolerance: float = 1e-3, each: int = 10) -> tuple[DataFrame, list[float]]:
+    """Nonnegative rates whose expected tokens by domain come closest to the targets, by projected Newton steps.
 
     ``members`` has ``tokens`` and ``posterior``. With ``a = tokens * posterior`` the sum of ``rate * a`` over all
     documents should be ``budget * target``; the squared error of the shares is minimised over ``0 <= rate <=
     max_rate``, starting from rate 1, so that documents move no further than the targets ask. The default budget is
     the number of tokens there are. The gradient of a document is scaled by its tokens, which makes it the error of
-    the domains weighted with the posterior, and the step is the inverse of a bound on the curvature.
+    the domains weighted with the posterior. The errors are multiplied with the inverse curvature over the documents
+    whose rates can still move, so that a domain with few tokens moves as fast as one with many; a step that makes the
+    error larger halves those that follow. Where a share ends further than ``tolerance`` from its target, a
+    ``RuntimeWarning`` names the shares reached: no document of the domain is left to move, or rounds are.
 
     A round sums one number for each domain over all documents and sends the error back: nothing else is gathered.
     Rates after ``each`` rounds are written out, so that plans stay short and nothing is computed from the start again.
@@ -52,31 +56,38 @@ def fit_rates(members: DataFrame, targets: Mapping[str, float], budget: float |
     if not total:
         return now, [0.0] * k
     budget = float(budget or total)
-    curve = np.array(members.agg(*[F.sum(F.col("tokens") * at(i) * at(j)) for i in range(k) for j in range(k)]).first(), float).reshape(k, k) / budget
-    step = 1 / max(1e-9, float(np.linalg.eigvalsh(curve).max()))
+    free = F.col("rate").between(1e-12, max_rate * (1 - 1e-12))
+    curves = [F.sum(F.when(free, F.col("tokens") * at(i) * at(j))) for i in range(k) for j in range(k)]
     errors: list[np.ndarray] = []
-    written = None
+    written, last, pace = None, np.inf, 1.0
     for done in range(rounds):
-        found = np.array([x or 0.0 for x in sums(_moved(now, errors, step, max_rate))]) / budget
+        row = np.array([x or 0.0 for x in sums(_moved(now, errors, max_rate), *curves)]) / budget
+        found, curve = row[:k], row[k:].reshape(k, k)
         error = found - goal
-        if np.abs(error).max() < tolerance or (errors and np.abs(error - errors[-1]).max() < tolerance * 1e-2):
+        size = float(np.abs(error).max())
+        move = np.linalg.pinv(curve, rcond=1e-9, hermitian=True) @ error
+        if size < tolerance or done == rounds - 1 or np.abs(curve @ move).max() < tolerance * 1e-2:
             break
-        errors.append(error)
+        pace = pace / 2 if size > last else min(1.0, pace * 2)
+        last = size
+        errors.append(pace * move)
         if len(errors) == each:
-            following = stage(_moved(now, errors, step, max_rate), "rates")
+            following = stage(_moved(now, errors, max_rate), "rates")
             if written is not None:
                 unstage(written)
             now, written, errors = following, following, []
-    return _moved(now, errors, step, max_rate), (found / max(found.sum(), 1e-12)).tolist()
+    if size >= tolerance:
+        warnings.warn(f"targets {goal.tolist()} not reached: shares of the budget are {found.tolist()} after {done + 1} rounds", RuntimeWarning, stacklevel=2)
+    return _moved(now, errors, max_rate), (found / max(found.sum(), 1e-12)).tolist()
 
 
-def _moved(df: DataFrame, errors: list[np.ndarray], step: float, max_rate: float) -> DataFrame:
+def _moved(df: DataFrame, errors: list[np.ndarray], max_rate: float) -> DataFrame:
     """Rates after one projected step for each of ``errors``."""
     if not errors:
         return df
     rounds = F.array(*[F.array(*[F.lit(float(x)) for x in e]) for e in errors])
     pull = lambda e: F.aggregate(F.zip_with(e, "posterior", lambda x, p: x * p), F.lit(0.0), lambda a, x: a + x)
-    walk = F.aggregate(rounds, F.col("rate"), lambda r, e: F.least(F.greatest(r - F.lit(step) * pull(e), F.lit(0.0)), F.lit(max_rate)))
+    walk = F.aggregate(rounds, F.col("rate"), lambda r, e: F.least(F.greatest(r - pull(e), F.lit(0.0)), F.lit(max_rate)))
     return df.withColumn("rate", walk)
 
 
@@ -85,12 +96,12 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, budget: float | None = None, sample: int = 4000, max_rate: float = 4.0) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, budget: float | None = None, sample: int = 4000, max_rate: float = float("inf")) -> DataFrame:
     """Give every document a rate, so that the expected tokens of the domains stand in the ratio of ``targets``.
 
     The rate is how often a document should be seen: 0 leaves it out, 2.5 means twice or three times. Domains are
     those of the label table (``DOMAINS``); an unlabelled document belongs to all of them, with the probabilities that
-    the classifier gives. Targets that the documents cannot meet are approached as far as rates up to ``max_rate`` go.
+    the classifier gives. Targets that the documents cannot meet are approached as far as rates up to ``max_rate`` go, with a warning.
 
     A null or blank text has no tokens and moves like the average of the labelled documents. Repeated rows have rates
     of their own; an empty table gives an empty result; other columns pass through. ``labels`` without any usable row

@@ -224,3 +224,14 @@ def test_classifiers(spark, docs, nothing):
     mixed = mixing.mix(all_docs, labels, {"low": 0.4, "good": 0.5, "toxic": 0.1}, max_rate=10.0)
     assert mixed.where("rate < 0 OR rate > 10").count() == 0 and mixed.count() == all_docs.count()
     assert mixing.mixed(nothing, labels).count() == 0
+
+
+def test_mixing_reaches_small_domains(spark):
+    sizes = {0: 9500, 1: 400, 2: 100}  # 95, 4 and 1 % of the tokens
+    rows = [(100, [0.98 if i == d else 0.01 for i in range(3)]) for d, n in sizes.items() for _ in range(n // 10)]
+    members = spark.createDataFrame(rows, "tokens long, posterior array<double>").cache()
+    rated, _ = mixing.fit_rates(members, {"a": 0.90, "b": 0.05, "c": 0.05})
+    sums = rated.agg(*[F.sum(F.col("rate") * F.col("tokens") * F.element_at("posterior", i + 1)) for i in range(3)]).first()
+    assert np.abs(np.array(sums) / sum(r[0] for r in rows) - [0.90, 0.05, 0.05]).max() < 1e-3
+    with pytest.warns(RuntimeWarning, match="not reached"):
+        mixing.fit_rates(members, {"a": 0.5, "b": 0.2, "c": 0.3}, max_rate=2.0)
