@@ -468,12 +468,12 @@ def moran_slope(s, d):
 
 @_query()
 def moran_permutation_test(s, d):
-    return graph.morans_permutation(_values(s, d), geo.touch_edges(grid(s, d)), n_perms=199)
+    return graph.morans_permutation(_values(s, d), geo.touch_edges(grid(s, d)))
 
 
 @_query()
 def lisa_clusters(s, d):
-    return graph.lisa(_values(s, d), geo.touch_edges(grid(s, d)), n_perms=199)
+    return graph.lisa(_values(s, d), geo.touch_edges(grid(s, d)))
 
 
 @_query(_PROFILE + " SELECT district, " + ", ".join(f"round(({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0), 6) AS {c}" for c in _PCOLS) + " FROM profile")
@@ -495,13 +495,13 @@ def silhouette_of_states(s, d):
 @_query()
 def kmeans_sizes(s, d):
     """Sizes of the best clustering of the region profiles."""
-    return cluster.kmeans_sweep(_profile(s, d), _PCOLS, "district", ks=(2, 3, 4), n_init=1)[1].groupBy("label").agg(F.count("*").alias("regions"))
+    return cluster.kmeans_sweep(_profile(s, d), _PCOLS, "district", n_init=10)[1].groupBy("label").agg(F.count("*").alias("regions"))
 
 
 @_query()
 def density_clusters(s, d):
     rows = _profile(s, d).drop("state")
-    return cluster.dbscan(cluster.zscore_apply(rows, cluster.zscore_fit(rows, _PCOLS), _PCOLS), "district", "enrol_total", "bio_total", 0.8, 3)
+    return cluster.dbscan(cluster.zscore_apply(rows, cluster.zscore_fit(rows, _PCOLS), _PCOLS), "district", "enrol_total", "bio_total")
 
 
 @_query()
@@ -522,7 +522,7 @@ def tensor_cells(s, d):
 @_query()
 def cp_components(s, d):
     """Weights of a two-component decomposition of the region x month x feature tensor."""
-    return tensor.component_variance(tensor.loadings(tensor.cp_als(_tensor(s, d), 2, iters=3)[0]))
+    return tensor.component_variance(tensor.loadings(tensor.cp_als(_tensor(s, d), 2)[0]))
 
 
 @_query(_F + f""", {GRID}, {TOUCH}, g AS (SELECT src, sum(w) AS g FROM touch GROUP BY src), lt AS (SELECT t.src, t.dst, -w / sqrt(a.g * b.g) AS w FROM touch t JOIN g a ON a.src = t.src JOIN g b ON b.src = t.dst),
@@ -559,7 +559,7 @@ def panel_forecast(s, d):
     """Test predictions of the lag and diffusion model on weekly enrolment."""
     lt = graph.scaled_laplacian(graph.laplacian_edges(geo.touch_edges(grid(s, d)), grid(s, d).select("region").distinct()))
     panel = _dense(s, d).select(F.col("week").alias("t"), F.col("district").alias("node"), F.col("enrol_total").cast("double").alias("v"))
-    return forecast.fit_panel_forecaster(panel, lt, "v", t_in=4, k=2)[1]
+    return forecast.fit_panel_forecaster(panel, lt, "v")[1]
 
 
 @_query("SELECT event_id, user_id, event_type FROM events WHERE contains(lower(event_type), 'err') OR contains(lower(props), '\"k\": 6')")

@@ -1,5 +1,7 @@
 """Registered panel queries against DuckDB on the smallest tables."""
 
+import inspect
+
 import duckdb
 import pytest
 
@@ -33,3 +35,26 @@ def test_against_sql(spark, duck, name):
 @pytest.mark.parametrize("name", ["moran_permutation_test", "lisa_clusters", "density_clusters", "principal_components", "panel_forecast"])
 def test_runs(spark, name):
     assert catalogue.queries()[name](spark, DATA).count() > 0
+
+
+@pytest.mark.parametrize("name, module, operator, wanted", [
+    ("cp_components", "tensor", "cp_als", {"iters": 200, "tol": 1e-8}), ("kmeans_sizes", "cluster", "kmeans_sweep", {"ks": range(2, 11), "n_init": 10}),
+    ("density_clusters", "cluster", "dbscan", {"eps": 0.8, "min_pts": 5}), ("moran_permutation_test", "graph", "morans_permutation", {"n_perms": 999}),
+    ("lisa_clusters", "graph", "lisa", {"n_perms": 999}), ("panel_forecast", "forecast", "fit_panel_forecaster", {"t_in": 6, "k": 3}),
+])
+def test_full_settings(spark, monkeypatch, name, module, operator, wanted):
+    """Queries without SQL run the operators with the settings of the reference."""
+
+    class Called(Exception):
+        pass
+
+    def catch(*args, **how):
+        bound = inspect.signature(real).bind(*args, **how)
+        bound.apply_defaults()
+        raise Called({k: bound.arguments[k] for k in wanted})
+
+    real = getattr(getattr(catalogue, module), operator)
+    monkeypatch.setattr(getattr(catalogue, module), operator, catch)
+    with pytest.raises(Called) as got:
+        catalogue.queries()[name](spark, DATA)
+    assert got.value.args[0] == wanted
