@@ -137,13 +137,14 @@ def fit(docs: DataFrame, labels: DataFrame, classes: int, sample: int = 4000, sh
     """Train on at most ``sample`` labelled documents, taken in hash order of their ids.
 
     ``labels`` has ``(doc_id, label)`` with labels 0 to ``classes - 1``; rows with a null in either are ignored, and of
-    repeated ids the smallest label counts. The sample is a stated bound: its features, and nothing else, reach the
+    repeated ids the smallest label counts, and of documents with one id that with the smallest hash of the text. The sample is a stated bound: its features, and nothing else, reach the
     driver. Without any labelled document the model gives every class the same probability.
     """
     shape = shape or Shape()
     named = labels.select(F.col("doc_id").alias("__id"), F.col("label").cast("int").alias("__label")).where("__id IS NOT NULL AND __label IS NOT NULL")
     chosen = named.groupBy("__id").agg(F.min("__label").alias("__label")).orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "__label")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+    rows = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("__label").alias("__label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, classes: int, sample: int = 4000, sh
 
     got = rows.mapInArrow(run, "id string, label int, ids binary, share binary").toArrow().to_pylist()
     got.sort(key=lambda r: (r["id"], r["ids"]))
-    return train([(np.frombuffer(r["ids"], np.uint32), np.frombuffer(r["share"], np.float32), r["label"]) for r in got[: 2 * sample]], classes, shape, **how)
+    return train([(np.frombuffer(r["ids"], np.uint32), np.frombuffer(r["share"], np.float32), r["label"]) for r in got], classes, shape, **how)
 
 
 def probabilities(docs: DataFrame, model: Model, text: str = "text", out: str = "probabilities") -> DataFrame:

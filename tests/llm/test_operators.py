@@ -235,3 +235,15 @@ def test_mixing_reaches_small_domains(spark):
     assert np.abs(np.array(sums) / sum(r[0] for r in rows) - [0.90, 0.05, 0.05]).max() < 1e-3
     with pytest.warns(RuntimeWarning, match="not reached"):
         mixing.fit_rates(members, {"a": 0.5, "b": 0.2, "c": 0.3}, max_rate=2.0)
+
+
+def test_sample_has_one_row_an_id(spark, monkeypatch):
+    from quadrat.llm import subword
+
+    rows = [(1, f"copy number {i}") for i in range(60)] + [(2, "other text"), (3, None)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in (1, 2, 3, 4)], "doc_id long, label int")
+    seen = []
+    monkeypatch.setattr(subword, "train", lambda sample, *_, **__: seen.append(sample))
+    subword.fit(documents, labels, 2, 10)
+    assert sorted(label for _, _, label in seen[0]) == [0, 1, 1]
