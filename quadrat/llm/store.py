@@ -45,6 +45,11 @@ def frees_shuffles(spark: SparkSession):
     return _Setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
+def splits_methods(spark: SparkSession):
+    """A context in which wide projections are compiled in parts: methods of over 8000 bytes the JVM only interprets."""
+    return _Setting(spark, "spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 class _Setting:
     def __init__(self, spark: SparkSession, key: str, value: str):
         self.conf, self.key, self.value = spark.conf, key, value

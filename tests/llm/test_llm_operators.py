@@ -128,8 +128,23 @@ def test_fuzzy_lines_against_brute_force(spark):
     print({k: (len(v), round(float(np.mean(v)), 2)) for k, v in score.items()})
     assert got[2 * len(pairs) - 3] == 1 and got[2 * len(pairs) - 1] == 0
     for (_, similarity, whole), v in score.items():
-        least = {0.95: 0.85, 0.9: 0.7 if whole else 0.5, 0.81: 0.7 if whole else 0.0}[similarity]
-        assert np.mean(v) >= least
+        if whole or similarity == 0.95:  # of letters replaced all over a line, less is found (see README)
+            assert np.mean(v) >= (0.75 if not whole else 0.85)
+    some = [x for (_, similarity, whole), v in score.items() if whole or similarity == 0.95 for x in v]
+    assert np.mean(some) >= 0.9
+
+
+def test_lines_with_names_in_use(spark):
+    """Columns named like every internal or output column pass through; nulls, repeated rows and long lines do not crash."""
+    names = ["row", "gone", "stay", "i", "t", "id", "twin", "a", "b", "n", "line", "norm", "first", "keep", "root", "pos", "n_lines", "n_removed", "score", "__id", "__twin"]
+    long = " ".join(f"w{i % 97}" for i in range(30000))
+    texts = [(1, "one two three four\nsame old line"), (1, "one two three four\nsame old line"), (2, "same old lime\nnew"), (3, None), (4, ""), (None, "same old line"), (5, long), (6, long + " end"), (7, "--\n--")]
+    rows = spark.createDataFrame([(d, t, *[str(d)] * len(names)) for d, t in texts], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    got = sorted(map(str, lines.fuzzy_lines(rows).select("doc_id", "text", "i", "score", "n_lines", "n_removed").collect()))
+    want = [(1, "one two three four", "1", "1", 2, 1)] * 2 + [(2, "new", "2", "2", 2, 1), (3, None, "3", "3", 0, 0), (4, "", "4", "4", 1, 0), (None, "same old line", "None", "None", 1, 0), (5, long, "5", "5", 1, 0), (6, "", "6", "6", 1, 1), (7, "--\n--", "7", "7", 2, 0)]
+    assert [r.split("(", 1)[1] for r in got] == sorted("doc_id={0!r}, text={1!r}, i={2!r}, score={3!r}, n_lines={4}, n_removed={5})".format(*w) for w in want)
+    kept = lines.drop_repeated_lines(rows)
+    assert kept.columns == rows.columns and kept.count() == 8 and kept.where("n_lines = '5' AND doc_id = 5").count() == 1
 
 
 def n_words_over_one(kind):
