@@ -34,5 +34,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         unstage(pointers)
         pointers = following
         if not changed:
+            unstage(arcs)
             return pointers.select(F.col("x").alias("vertex"), F.col("p").alias("root"))
     raise RuntimeError(f"components did not settle within {max_rounds} rounds")

@@ -24,10 +24,10 @@ def domain_labels(labels: DataFrame) -> DataFrame:
 
 
 def domain_posteriors(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> DataFrame:
-    """All columns of ``docs`` and ``posterior``: the probability of each domain, from a classifier that learns from
-    at most ``sample`` labelled documents."""
+    """``docs`` (without a column ``posterior`` of its own) and ``posterior``: the probability of each domain, from a
+    classifier that learns from at most ``sample`` labelled documents."""
     model = subword.fit(docs, domain_labels(labels), len(DOMAINS), sample)
-    return subword.probabilities(docs, model, "text", "posterior")
+    return subword.probabilities(docs.drop("posterior"), model, "text", "posterior")
 
 
 def fit_rates(members: DataFrame, targets: Mapping[str, float], budget: float | None = None, max_rate: float = float("inf"), rounds: int = 60, tolerance: float = 1e-3, each: int = 10) -> tuple[DataFrame, list[float]]:
@@ -104,8 +104,9 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGE
     the classifier gives. Targets that the documents cannot meet are approached as far as rates up to ``max_rate`` go, with a warning.
 
     A null or blank text has no tokens and moves like the average of the labelled documents. Repeated rows have rates
-    of their own; an empty table gives an empty result; other columns pass through. ``labels`` without any usable row
-    give equal posteriors.
+    of their own; an empty table gives an empty result; texts of any length are read whole. Other columns pass through,
+    but those named ``tokens``, ``posterior`` and ``rate`` are replaced. ``labels`` without any usable row give equal
+    posteriors.
 
     Returns the columns of ``docs`` with ``tokens``, ``posterior`` and ``rate``; without the text, which the fit does
     not need again, unless asked for by a join on the id.
@@ -121,10 +122,12 @@ def copies(rate: Column, *keys: str) -> Column:
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, **how) -> DataFrame:
-    """The documents repeated by their rates, with their own columns. A document with rate 1 or more always stays."""
-    keyed = docs.withColumn("__twin", F.xxhash64("text"))
-    rated = mix(keyed.select("doc_id", "text", "__twin"), labels, targets, **how)
-    times = rated.groupBy(F.col("doc_id").alias("__id"), F.col("__twin").alias("__t")).agg(F.max("rate").alias("__rate"))
-    found = keyed.join(times, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__twin").eqNullSafe(F.col("__t")))
-    times = F.sequence(F.lit(1), copies(F.col("__rate"), "doc_id", "__twin"))
-    return found.withColumn("__n", copies(F.col("__rate"), "doc_id", "__twin")).where("__n > 0").withColumn("__copy", F.explode(times)).select(*docs.columns)
+    """The documents repeated by their rates (see ``mix``), with their own columns, whatever their names. A document with
+    rate 1 or more always stays. Rows that agree in id and text have one rate; null ids and texts are ids and texts like
+    any other; an empty table gives an empty result."""
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("twin"))
+    rated = mix(docs.select("doc_id", "text", F.xxhash64("text").alias("twin")), labels, targets, **how)
+    rates = rated.groupBy(F.col("doc_id").alias("i"), F.col("twin").alias("t")).agg(F.max("rate").alias("rate"))
+    found = keyed.join(rates, F.col("id").eqNullSafe(F.col("i")) & (F.col("twin") == F.col("t"))).withColumn("n", copies(F.col("rate"), "id", "twin"))
+    taken = found.where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    return taken.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -16,7 +16,7 @@ def valid_vectors(df: DataFrame, key: str, vector: str, zeros: bool) -> DataFram
     """
     values = F.transform(F.col(vector), lambda x: x.cast("double"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    rows = df.select(F.col(key).cast("long").alias("vec_id"), values.alias("vec")).where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0))
+    rows = df.select(F.col(key).cast("long").alias("vec_id"), values.alias("vec")).where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull())
     rows = rows.where(F.forall("vec", finite))
     if not zeros:
         rows = rows.where(F.exists("vec", lambda x: x != 0))

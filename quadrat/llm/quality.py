@@ -19,16 +19,27 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Da
     """Add ``held_out``, ``score`` (probability of quality 1, from the text alone) and ``predicted`` (0 or 1).
 
     The model learns from at most ``sample`` labelled documents that are not held out; ids, languages and sources are
-    no input. Null and blank texts get the score of the bias alone. A null id counts as not held out. Repeated rows
-    are scored each; an empty table gives an empty result; other columns pass through.
+    no input. Null and blank texts get the score of the bias alone; texts of any length are read whole. A null id
+    counts as not held out. Repeated rows are scored each; an empty table gives an empty result; without any usable
+    label every score is 0.5. Other columns pass through, but those of the three names are replaced.
     """
+    scored = _scored(docs, labels, sample)
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("held_out", "score", "predicted")]
+    return scored.select(*kept, held_out(F.col("row").getField("doc_id")).alias("held_out"), "score", (F.col("score") >= ACCEPTED).cast("int").alias("predicted"))
+
+
+def _scored(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """``row``, all of a document, and ``score``."""
     known = labels.where(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("label"))
     model = subword.fit(docs, known, 2, sample)
-    scored = subword.probabilities(docs, model, "text", "__p")
-    score = F.element_at("__p", 2)
-    return scored.withColumns({"held_out": held_out(F.col("doc_id")), "score": score, "predicted": (score >= ACCEPTED).cast("int")}).drop("__p")
+    packed = docs.select(F.struct("*").alias("row"), F.col("text"))
+    return subword.probabilities(packed, model, "text", "odds").select("row", F.element_at("odds", 2).alias("score"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> DataFrame:
-    """The documents that the classifier accepts, with their own columns."""
-    return quality_scores(docs, labels, sample).where("predicted = 1").select(*docs.columns)
+    """The documents that the classifier accepts (see ``quality_scores``), with their own columns, whatever their names.
+
+    Null, empty and blank texts are accepted or not as the bias says. Repeated rows go or stay together; an empty table
+    gives an empty result.
+    """
+    return _scored(docs, labels, sample).where(F.col("score") >= ACCEPTED).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

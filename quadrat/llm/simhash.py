@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.llm.components import connected_components
-from quadrat.llm.store import frees_shuffles, stage
+from quadrat.llm.store import blocks_for, frees_shuffles, stage, unstage
 
 _BITS = 64
 _SEED = 42
@@ -86,9 +86,12 @@ def ball_links(prints: DataFrame, fp: str = "fp", distance: int = 4, bucket_entr
     if distance % 2:
         raise ValueError("distance must be even: the two halves meet in the middle")
     spark = prints.sparkSession
-    distinct = stage(prints.select(F.col(fp).alias("fp")).where("fp IS NOT NULL").distinct(), "fingerprints")
+    few = stage(prints.select(F.col(fp).alias("fp")).where("fp IS NOT NULL").distinct(), "distinct")
+    count = few.count()
+    distinct = stage(few.repartition(blocks_for(count, 4 * batch), "fp"), "fingerprints")  # a file, and so a task, for each
+    unstage(few)
     masks = ball(distance // 2)
-    bits = max(0, int(np.ceil(np.log2(max(1, distinct.count()) * len(masks) / bucket_entries))))
+    bits = max(0, int(np.ceil(np.log2(max(1, count) * len(masks) / bucket_entries))))
     shift = np.uint64(_BITS - bits)
 
     def scatter(step: int, steps: int):
@@ -128,6 +131,7 @@ def ball_links(prints: DataFrame, fp: str = "fp", distance: int = 4, bucket_entr
         for step in range(steps):
             packed = distinct.mapInArrow(scatter(step, steps), "bucket long, points binary, mask binary")
             found.append(stage(packed.groupBy("bucket").applyInArrow(gather, "a long, b long"), "links"))
+    unstage(distinct)
     links = found[0]
     for more in found[1:]:
         links = links.union(more)
@@ -165,7 +169,9 @@ def _stars(points: np.ndarray, owners: np.ndarray, distance: int) -> tuple[np.nd
 
 def _classes(prints: DataFrame, distance: int) -> DataFrame:
     """``(fp, root)``: the smallest fingerprint that each distinct one is linked to, itself included."""
-    roots = connected_components(ball_links(prints, "fp", distance))
+    links = ball_links(prints, "fp", distance)
+    roots = connected_components(links)
+    unstage(links)
     distinct = prints.select("fp").distinct()
     return distinct.join(roots.withColumnRenamed("vertex", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
@@ -190,11 +196,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, distance: int = 4) -> DataFrame:
     """Keep one document of each class of near duplicates: that with the smallest id, ids before null, and of equal ids
-    that with the smallest hash of the text. Of rows that agree in id and text one stays."""
-    keyed = docs.withColumns({"__a": F.xxhash64(doc_id, text), "__b": F.xxhash64(text, doc_id)})
-    named = keyed.select(F.col(doc_id).alias("id"), "__a", "__b", F.col(text).alias("text"))
+    that with the smallest hash of the text. Of rows that agree in id and text one stays. Null, empty and blank texts
+    have fingerprint zero and are one class with whatever is linked to it; texts of any length are read whole. Columns
+    pass through, whatever their names; an empty table gives an empty result."""
+    keyed = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), F.xxhash64(doc_id, text).alias("a"), F.xxhash64(text, doc_id).alias("b"))
+    named = docs.select(F.col(doc_id).alias("id"), F.xxhash64(doc_id, text).alias("a"), F.xxhash64(text, doc_id).alias("b"), F.col(text).alias("text"))
     prints = stage(fingerprints(named, "text", "fp", width), "prints")
-    first = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("__a"), F.col("__b"))
+    first = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("a"), F.col("b"))
     least = prints.groupBy("fp").agg(F.min(first).alias("least")).join(_classes(prints, distance), "fp")
-    kept = least.groupBy("root").agg(F.min("least").alias("least")).select("least.__a", "least.__b")
-    return keyed.join(kept, ["__a", "__b"], "left_semi").dropDuplicates(["__a", "__b"]).drop("__a", "__b")
+    kept = least.groupBy("root").agg(F.min("least").alias("least")).select("least.a", "least.b")
+    only = keyed.join(kept, ["a", "b"], "left_semi").dropDuplicates(["a", "b"])
+    return only.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -15,9 +15,12 @@ _CHECKPOINT = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (tests), a new temporary folder."""
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset, a new temporary folder in local mode (tests);
+    on a cluster an error, since executors share no folder of one machine."""
     found = spark.conf.get(_CHECKPOINT, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-quadrat-")
         spark.conf.set(_CHECKPOINT, found)
     return found
@@ -32,11 +35,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def unstage(df: DataFrame) -> None:
-    """Delete a staged table that no later step reads."""
+    """Delete a staged table, or those of a union, that no later step reads."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+    for parent in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        folder = jvm.org.apache.hadoop.fs.Path(parent)
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 

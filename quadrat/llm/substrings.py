@@ -19,42 +19,64 @@ COVERS = {
     21: (0, 1, 4, 14, 16),
     31: (1, 5, 11, 24, 25, 27),
 }
-_BASE = 0x9E3779B97F4A7C15
+_PRIME = (1 << 61) - 1
+_LOW = np.uint64(_PRIME)
+#: Drawn once, for all runs of a job on all machines; another draw gives the same results but for chance.
+_BASE, _KEY = 0x11F6B5C3A9D2E487, b"anchors and windows"
 _RAISED = -1  # the place of an entry that stands for others of its task
 _DOCS = 2048
 
 
 class Rolling:
-    """Hashes of every run of ``width`` words of a text, in time that follows the bytes: a polynomial over 64-bit
-    numbers drawn for each byte, modulo 2**64, of the words joined by single spaces. Two different runs agree with
-    probability about 2**-64."""
+    """Hashes of every run of ``width`` words of a text.
+
+    A word is a keyed 64-bit hash, reduced modulo the prime ``2**61 - 1``; a run is a polynomial over its words modulo
+    that prime, at a base drawn once. So two different runs agree with a chance of about ``width / 2**61`` over the
+    draw, whatever the texts (and words, two different ones, with 2**-61): modulo a prime there are no inputs that
+    collide for every base. A prefix of ``read`` holds the running polynomial; a run is its end less its start."""
 
     def __init__(self) -> None:
-        self.drawn = np.random.default_rng(11).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def powers(self, n: int) -> None:
-        if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
-            self.up, self.down = (np.full(size, base, np.uint64) ** np.arange(size, dtype=np.uint64) for base in (_BASE, pow(_BASE, -1, 1 << 64)))
-
-    def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Running hash, and where each word starts and ends."""
-        octets = np.frombuffer(b" ".join(words), np.uint8)
-        self.powers(len(octets) + 1)
-        running = np.concatenate(([np.uint64(0)], np.cumsum(self.drawn[octets] * self.up[: len(octets)], dtype=np.uint64)))
-        gaps = np.flatnonzero(octets == 32)
-        return running, np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(octets)]))
-
-    def runs(self, read: tuple[np.ndarray, np.ndarray, np.ndarray], at: np.ndarray, width: int) -> np.ndarray:
-        running, starts, ends = read
-        first, last = starts[at], ends[at + width - 1]
-        key = (running[last] - running[first]) * self.down[first]
-        key ^= key >> np.uint64(29)
+        self.known: dict[bytes, int] = {}
+
+    def read(self, words: list[bytes]) -> np.ndarray:
+        known = self.known
+        if len(known) > 1 << 20:
+            known.clear()
+        numbers = np.empty(len(words), np.uint64)
+        for i, w in enumerate(words):
+            n = known.get(w)
+            if n is None:
+                n = known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8, key=_KEY).digest(), "little") % _PRIME
+            numbers[i] = n
+        return numbers
+
+    def runs(self, numbers: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+        """Horner's rule over all runs at once, a word at a time."""
+        key = np.zeros(len(at), np.uint64)
+        for i in range(width):
+            key = _mod(_times(key, _BASE) + numbers[at + i])
+        key ^= key >> np.uint64(29)  # spreads the 61 bits over 64, one to one
         key *= np.uint64(0xBF58476D1CE4E5B9)
         return key ^ (key >> np.uint64(32))
 
 
+def _mod(x: np.ndarray) -> np.ndarray:
+    """``x`` (below 2**63) modulo the prime."""
+    x = (x & _LOW) + (x >> np.uint64(61))
+    return np.where(x >= _LOW, x - _LOW, x)
+
+
+def _times(x: np.ndarray, y: int) -> np.ndarray:
+    """Products modulo the prime, by halves of 32 and 29 bits that fit 64 bits."""
+    high, low = np.uint64(y >> 32), np.uint64(y & 0xFFFFFFFF)
+    x1, x0 = x >> np.uint64(32), x & np.uint64(0xFFFFFFFF)
+    middle = _mod(x1 * low) + _mod(x0 * high)  # times 2**32
+    middle = _mod(middle)
+    # 2**64 is 8 modulo the prime; 2**32 * middle is split where it passes bit 61.
+    folded = (middle >> np.uint64(29)) + ((middle & np.uint64((1 << 29) - 1)) << np.uint64(32))
+    return _mod(_mod(x1 * high * np.uint64(8)) + _mod(folded) + _mod(x0 * low))
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Runs of characters other than ASCII white space, unchanged."""
     return (text or "").encode().split()
@@ -160,7 +182,7 @@ def _repeats(docs: DataFrame, keys: Callable, entries: int, bucket_entries: int
 
 def _with_places(docs: DataFrame, places: DataFrame) -> DataFrame:
     """Attach each document's places, gathered to one list; documents without any get null."""
-    lists = places.groupBy("doc_id", "twin").agg(F.collect_list("places").alias("places")).withColumnsRenamed({"doc_id": "__d", "twin": "__t"})
+    lists = places.groupBy("doc_id", "twin").agg(F.collect_set("places").alias("places")).withColumnsRenamed({"doc_id": "__d", "twin": "__t"})
     return docs.join(lists, docs["doc_id"].eqNullSafe(F.col("__d")) & (docs["twin"] == F.col("__t")), "left").drop("__d", "__t")
 
 
@@ -171,7 +193,9 @@ def drop_repeats(docs: DataFrame, window: int = 35, period: int = 21, doc_id: st
     less than ``period`` words into both is a cover place of both (its word number modulo the period is in the
     difference cover). So only runs of ``window - period + 1`` words at cover places are hashed; those that occur
     twice are the anchors. Extending an anchor gives the windows around it; these are hashed whole and those that
-    occur twice are removed, so the outcome is that of comparing all windows. The input decides, not what is left of it.
+    occur twice are removed, so the outcome is that of comparing all windows, but for a chance of about ``window /
+    2**61`` for each pair of windows that two different ones have one hash (see ``Rolling``). The input decides, not
+    what is left of it.
 
     Rows that agree in id and text are copies of one another like any two documents with equal texts. A null text has
     no words. Texts shorter than the window are kept. The words of a text must fit one task's memory; lists of places

@@ -20,7 +20,8 @@ _GRAMS = 1 << 20
 
 @dataclass(frozen=True)
 class Shape:
-    """What is hashed: whole words, their character n-grams with edge marks, and pairs of equal neighbours."""
+    """What is hashed: whole words, their character n-grams with edge marks, and, all as one feature, word pairs whose
+    second word repeats the first. Every occurrence counts once; what it says of a class is learned."""
 
     buckets: int = 1 << 18
     grams: tuple[int, ...] = (3, 4)
@@ -63,7 +64,7 @@ def features(text: str | None, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
     words, places, _ = split(pa.array([text], pa.large_string()))
     owners, buckets = shape.of_words(words)
     times = np.bincount(places, minlength=len(words)).astype(np.float64)
-    repeats = 4.0 * np.count_nonzero(places[1:] == places[:-1])
+    repeats = float(np.count_nonzero(places[1:] == places[:-1]))
     ids, at = np.unique(np.append(buckets, np.uint32(shape.repeat)), return_inverse=True)
     counts = np.bincount(at, np.append(times[owners], repeats), len(ids))
     ids, counts = ids[counts > 0], counts[counts > 0]
@@ -100,7 +101,7 @@ class Model:
         words, places, owners = split(texts)
         sums = self._of_words(words)
         again = owners[1:][(places[1:] == places[:-1]) & (owners[1:] == owners[:-1])]
-        pair = np.append(4.0 * self.table[self.shape.repeat], 4.0)
+        pair = np.append(self.table[self.shape.repeat], 1.0)
         total = np.stack([np.bincount(owners, column[places], len(texts)) for column in sums.T], 1).astype(np.float64)
         total += np.bincount(again, minlength=len(texts))[:, None] * pair
         logits = total[:, :-1] / np.maximum(1.0, total[:, -1:]) + self.bias

@@ -49,7 +49,7 @@ def top_k(embeddings: DataFrame, k: int = 20, every: int = 20, scale: int = 64,
     weights prove that enough, else in 64-bit ones, else in unbounded ones whose results are held within the range of
     a long.
 
-    Vectors that are null, empty, or hold a null or non-finite component take no part; zero vectors do. Vectors of
+    Vectors that are null or hold a null or non-finite component take no part; zero vectors and empty ones do. Vectors of
     different lengths are compared over the terms that both have. Rows with a null id take no part; a repeated id
     counts once, with its smallest vector. An empty table gives an empty result.
 
