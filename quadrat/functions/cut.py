@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write to the shared folder that ``spark.checkpoint.dir`` names; where it is unset (tests), to a temporary one."""
+    """Write to the shared folder that ``spark.checkpoint.dir`` names. Where it is unset, to a temporary one in local mode
+    (tests); on a cluster that is an error, since executors share no folder of one machine."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-quadrat-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
