@@ -25,8 +25,8 @@ def domain_labels(labels: DataFrame) -> DataFrame:
 
 def domain_posteriors(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> DataFrame:
     """``docs`` (without a column ``posterior`` of its own) and ``posterior``: the probability of each domain, from a
-    classifier that learns from at most ``sample`` labelled documents."""
-    model = subword.fit(docs, domain_labels(labels), len(DOMAINS), sample)
+    calibrated classifier that learns from at most ``sample`` labelled documents."""
+    model = subword.fit(docs, domain_labels(labels), len(DOMAINS), sample, calibrate=True)
     return subword.probabilities(docs.drop("posterior"), model, "text", "posterior")
 
 
@@ -39,7 +39,9 @@ def fit_rates(members: DataFrame, targets: Mapping[str, float], budget: float |
     the number of tokens there are. The gradient of a document is scaled by its tokens, which makes it the error of
     the domains weighted with the posterior. The errors are multiplied with the inverse curvature over the documents
     whose rates can still move, so that a domain with few tokens moves as fast as one with many; a step that makes the
-    error larger halves those that follow. Where a share ends further than ``tolerance`` from its target, a
+    error larger halves those that follow. The curvature is damped, less in every round, by the share of each domain:
+    else a domain that no document clearly belongs to would turn all of them over. Steps aim at the middle between target and ``tolerance``: what is within it
+    is left alone, so that a domain whose share will do moves no documents. Where a share ends further than ``tolerance`` from its target, a
     ``RuntimeWarning`` names the shares reached: no document of the domain is left to move, or rounds are.
 
     A round sums one number for each domain over all documents and sends the error back: nothing else is gathered.
@@ -65,7 +67,9 @@ def fit_rates(members: DataFrame, targets: Mapping[str, float], budget: float |
         found, curve = row[:k], row[k:].reshape(k, k)
         error = found - goal
         size = float(np.abs(error).max())
-        move = np.linalg.pinv(curve, rcond=1e-9, hermitian=True) @ error
+        beyond = error - np.clip(error, -tolerance / 2, tolerance / 2)
+        damped = curve + 0.5 * 0.8**done * np.diag(np.maximum(found, 1e-12))
+        move = np.linalg.pinv(damped, rcond=1e-9, hermitian=True) @ beyond
         if size < tolerance or done == rounds - 1 or np.abs(curve @ move).max() < tolerance * 1e-2:
             break
         pace = pace / 2 if size > last else min(1.0, pace * 2)
@@ -96,7 +100,7 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, budget: float | None = None, sample: int = 4000, max_rate: float = float("inf")) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, budget: float | None = None, sample: int = 4000, max_rate: float = float("inf"), tolerance: float = 1e-3) -> DataFrame:
     """Give every document a rate, so that the expected tokens of the domains stand in the ratio of ``targets``.
 
     The rate is how often a document should be seen: 0 leaves it out, 2.5 means twice or three times. Domains are
@@ -112,7 +116,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGE
     not need again, unless asked for by a join on the id.
     """
     members = domain_posteriors(docs, labels, sample).withColumn("tokens", tokens(F.col("text"))).drop("text")
-    return fit_rates(stage(members, "members"), targets, budget, max_rate)[0]
+    return fit_rates(stage(members, "members"), targets, budget, max_rate, tolerance=tolerance)[0]
 
 
 def copies(rate: Column, *keys: str) -> Column:

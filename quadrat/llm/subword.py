@@ -134,12 +134,13 @@ def train(sample: list[tuple[np.ndarray, np.ndarray, int]], classes: int, shape:
     return Model(shape, vectors @ layer, bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, classes: int, sample: int = 4000, shape: Shape | None = None, **how) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, classes: int, sample: int = 4000, shape: Shape | None = None, calibrate: bool = False, **how) -> Model:
     """Train on at most ``sample`` labelled documents, taken in hash order of their ids.
 
     ``labels`` has ``(doc_id, label)`` with labels 0 to ``classes - 1``; rows with a null in either are ignored, and of
     repeated ids the smallest label counts, and of documents with one id that with the smallest hash of the text. The sample is a stated bound: its features, and nothing else, reach the
-    driver. Without any labelled document the model gives every class the same probability.
+    driver. With ``calibrate`` a fifth of the sample is set aside, and the logits are scaled so that it is as probable
+    as can be: averages of many features are surer than the softmax that they were trained with says. Without any labelled document the model gives every class the same probability.
     """
     shape = shape or Shape()
     named = labels.select(F.col("doc_id").alias("__id"), F.col("label").cast("int").alias("__label")).where("__id IS NOT NULL AND __label IS NOT NULL")
@@ -157,7 +158,20 @@ def fit(docs: DataFrame, labels: DataFrame, classes: int, sample: int = 4000, sh
 
     got = rows.mapInArrow(run, "id string, label int, ids binary, share binary").toArrow().to_pylist()
     got.sort(key=lambda r: (r["id"], r["ids"]))
-    return train([(np.frombuffer(r["ids"], np.uint32), np.frombuffer(r["share"], np.float32), r["label"]) for r in got], classes, shape, **how)
+    sampled = [(np.frombuffer(r["ids"], np.uint32), np.frombuffer(r["share"], np.float32), r["label"]) for r in got]
+    if not calibrate or len(sampled) < 50:
+        return train(sampled, classes, shape, **how)
+    model = train([s for i, s in enumerate(sampled) if i % 5], classes, shape, **how)
+    logits = np.array([share @ model.table[ids] + model.bias for ids, share, _ in sampled[::5]], np.float64)
+    truth = np.array([label for *_, label in sampled[::5]])
+
+    def surprise(scale: float) -> float:
+        odds = logits * scale
+        top = odds.max(1)
+        return float(np.mean(top + np.log(np.exp(odds - top[:, None]).sum(1)) - odds[np.arange(len(truth)), truth]))
+
+    scale = min((0.5 * 2 ** (i / 2) for i in range(11)), key=surprise)
+    return Model(shape, model.table * np.float32(scale), model.bias * np.float32(scale))
 
 
 def probabilities(docs: DataFrame, model: Model, text: str = "text", out: str = "probabilities") -> DataFrame:
