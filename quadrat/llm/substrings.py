@@ -40,15 +40,11 @@ class Rolling:
 
     def read(self, words: list[bytes]) -> np.ndarray:
         known = self.known
-        if len(known) > 1 << 20:
+        if len(known) > 1 << 18:
             known.clear()
-        numbers = np.empty(len(words), np.uint64)
-        for i, w in enumerate(words):
-            n = known.get(w)
-            if n is None:
-                n = known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8, key=_KEY).digest(), "little") % _PRIME
-            numbers[i] = n
-        return numbers
+        for w in set(words).difference(known):
+            known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8, key=_KEY).digest(), "little") % _PRIME
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
     def runs(self, numbers: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
         """Horner's rule over all runs at once, a word at a time."""
@@ -82,10 +78,11 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
-def _repeats(docs: DataFrame, keys: Callable, entries: int, bucket_entries: int = 1 << 21) -> DataFrame:
+def _repeats(docs: DataFrame, keys: Callable, width: int, entries: int, bucket_entries: int = 1 << 21) -> DataFrame:
     """Where the keys of documents occur a second time anywhere: ``(doc_id, twin, places binary)``, several rows each.
 
-    ``keys(rolling, row) -> (hashes, places)`` gives a document's keys. A task sorts the keys of some thousand
+    ``keys(rolling, row) -> (numbers, places)`` gives a document's words as numbers, and where its keys, runs of
+    ``width`` words, start. A task hashes and sorts the keys of some thousand
     documents. Those it holds twice are settled on the spot and it sends one entry for all of them, so a passage that
     a third of all documents share sends one entry a task batch; the others travel with their places. Keys are dealt
     to as many buckets as ``entries`` asks for, and a bucket is sorted as a whole. What it finds goes back as one row
@@ -107,11 +104,12 @@ def _repeats(docs: DataFrame, keys: Callable, entries: int, bucket_entries: int
             for at in range(0, whole.num_rows, _DOCS):
                 batch = whole.slice(at, _DOCS)
                 found = [keys(rolling, *(batch.column(c)[i].as_py() for c in batch.schema.names[2:])) for i in range(batch.num_rows)]
-                key = np.concatenate([k for k, _ in found])
                 place = np.concatenate([p for _, p in found])
-                owner = np.repeat(np.arange(len(found)), [len(k) for k, _ in found])
-                if not len(key):
+                owner = np.repeat(np.arange(len(found)), [len(p) for _, p in found])
+                if not len(place):
                     continue
+                firsts = np.cumsum([0, *[len(n) for n, _ in found]])
+                key = rolling.runs(np.concatenate([n for n, _ in found]), firsts[owner] + place, width)
                 order = np.argsort(key)
                 key, place, owner = key[order], place[order], owner[order]
                 new = np.concatenate(([True], key[1:] != key[:-1]))
@@ -215,7 +213,7 @@ def drop_repeats(docs: DataFrame, window: int = 35, period: int = 21, doc_id: st
             return np.empty(0, np.uint64), np.empty(0, np.int64)
         at = (np.arange(0, len(words), period)[:, None] + cover[None, :]).ravel()
         at = at[at <= len(words) - width]
-        return rolling.runs(rolling.read(words), at, width), at
+        return rolling.read(words), at
 
     def windows(rolling: Rolling, text: str | None, places: list[bytes]):
         words = words_of(text)
@@ -224,7 +222,7 @@ def drop_repeats(docs: DataFrame, window: int = 35, period: int = 21, doc_id: st
         np.add.at(starts, np.maximum(0, at - (window - width)), 1)
         np.add.at(starts, np.minimum(at, len(words) - window) + 1, -1)
         at = np.flatnonzero(np.cumsum(starts)[: len(words) - window + 1])
-        return rolling.runs(rolling.read(words), at, window), at
+        return rolling.read(words), at
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,9 +247,9 @@ def drop_repeats(docs: DataFrame, window: int = 35, period: int = 21, doc_id: st
     with frees_shuffles(docs.sparkSession):
         n_words = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         entries = max(1, int(n_words / 5 * len(cover) / period))  # about: only the number of buckets depends on it
-        found = stage(_repeats(named, anchors, entries), "anchors")
+        found = stage(_repeats(named, anchors, width, entries), "anchors")
         near = _with_places(named, found).where("places IS NOT NULL")
-        again = stage(_repeats(near.select("doc_id", "twin", "text", "places"), windows, entries), "windows")
+        again = stage(_repeats(near.select("doc_id", "twin", "text", "places"), windows, window, entries), "windows")
         unstage(found)
     schema = f"doc_id {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string"
     return _with_places(named, again).mapInArrow(remove, schema).withColumnRenamed("doc_id", doc_id)
