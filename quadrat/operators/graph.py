@@ -152,7 +152,7 @@ def moran_sweep(values: DataFrame, cols: Sequence[str], w: DataFrame, n_perms: i
 
 
 def lisa(values: DataFrame, w: DataFrame, p: float = 0.05, n_perms: int = 999, seed: int = 42, key: str = "region", col: str = "v") -> DataFrame:
-    """Local I of each node, pseudo p, and class: HH, LL, HL, LH, or NS where p is not below the level."""
+    """Local I of each node, pseudo p, and class: HH, LL, HL, LH, or NS where p is above the level."""
     rows = _permuted(values, w, n_perms, seed, key, col).withColumn("local", F.col("z") * F.col("lag"))
     seen = rows.where("perm = 0").select(key, "z", "lag", F.col("local").alias("local_i"))
     share = rows.where("perm > 0").join(seen.select(key, "local_i"), key).groupBy(key).agg(F.avg((F.abs("local") >= F.abs("local_i")).cast("double")).alias("p"))
@@ -161,7 +161,7 @@ def lisa(values: DataFrame, w: DataFrame, p: float = 0.05, n_perms: int = 999, s
 
 def lisa_classes(rows: DataFrame, level: float = 0.05) -> DataFrame:
     kind = (
-        F.when(F.col("p") >= level, "NS").when((F.col("z") > 0) & (F.col("lag") > 0), "HH").when((F.col("z") < 0) & (F.col("lag") < 0), "LL")
+        F.when(F.col("p") > level, "NS").when((F.col("z") > 0) & (F.col("lag") > 0), "HH").when((F.col("z") < 0) & (F.col("lag") < 0), "LL")
         .when((F.col("z") > 0) & (F.col("lag") < 0), "HL").otherwise("LH")
     )
     return rows.withColumn("class", kind)
