@@ -51,8 +51,8 @@ def clean_text(c: Column, strict: bool = False) -> Column:
 
 
 def normalise_region(c: Column) -> Column:
-    """Repair, drop parentheses, collapse spaces, strip noise at the ends but keep hyphens, title case."""
-    plain = F.regexp_replace(F.regexp_replace(repair_encoding(c), r"[()]", " "), r"\s+", " ")
+    """Repair and composition, drop parentheses, collapse spaces, strip noise at the ends but keep hyphens, title case."""
+    plain = F.regexp_replace(F.regexp_replace(fix_encoding(c), r"[()]", " "), r"\s+", " ")
     return title(F.regexp_replace(plain, r"^[\s*?.,_-]+|[\s*?.,_-]+$", ""))
 
 
@@ -66,9 +66,21 @@ def token_sorted(c: Column) -> Column:
     return F.array_join(F.array_sort(F.split(name_key(c), " ")), " ")
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """The larger of the ratios of the keys as they are and with their words sorted."""
-    return F.greatest(ratio(name_key(a), name_key(b)), ratio(token_sorted(a), token_sorted(b)))
+def word_set_ratio(a: Column, b: Column) -> Column:
+    """The best ratio among the words that both have, and those with the rest of either side behind them; 0 where
+    no word is shared."""
+    x, y = (F.array_sort(F.array_distinct(F.split(name_key(c), " "))) for c in (a, b))
+    joined = lambda *parts: F.array_join(F.concat(*parts), " ")
+    both = F.array_intersect(x, y)
+    left, right = joined(both, F.array_except(x, y)), joined(both, F.array_except(y, x))
+    return F.when(F.size(both) > 0, F.greatest(ratio(joined(both), left), ratio(joined(both), right), ratio(left, right))).otherwise(F.lit(0.0))
+
+
+def similarity(a: Column, b: Column, subsets: bool = False) -> Column:
+    """The larger of the ratios of the keys as they are and with their words sorted; with ``subsets`` also 0.95 of the
+    ratio of their sets of words, which is high where one name holds the other."""
+    plain = F.greatest(ratio(name_key(a), name_key(b)), ratio(token_sorted(a), token_sorted(b)))
+    return F.greatest(plain, word_set_ratio(a, b) * 0.95) if subsets else plain
 
 
 def short_number(c: Column) -> Column:

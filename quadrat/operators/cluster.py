@@ -50,7 +50,7 @@ def pca2(df: DataFrame, cols: Sequence[str], key: str) -> tuple[DataFrame, list[
 
 def kmeans_sweep(df: DataFrame, cols: Sequence[str], key: str, ks: Sequence[int] = range(2, 11), seed: int = 42, n_init: int = 3) -> tuple[DataFrame, DataFrame]:
     """``(k, inertia, silhouette)`` of the best of ``n_init`` runs for each k, and the labels of the best k."""
-    vectors = _vectors(df, cols).select(key, "features").cache()
+    vectors = cut(_vectors(df, cols).select(key, "features"))
     scores, models = [], {}
     for k in ks:
         runs = [KMeans(k=k, seed=seed + i).fit(vectors) for i in range(n_init)]

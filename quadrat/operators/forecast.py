@@ -104,6 +104,16 @@ def forecast_metrics(pred: DataFrame, by: Sequence[str] = (), y: str = "y", p: s
     return out.withColumn("r2", 1 - F.try_divide("__sse", "__sst")).drop("__sse", "__sst")
 
 
+def prediction_errors(pred: DataFrame, y: str = "y", p: str = "prediction") -> DataFrame:
+    """Every prediction with its absolute error."""
+    return pred.withColumn("abs_error", F.abs(F.col(y) - F.col(p)))
+
+
+def ranked_metrics(pred: DataFrame, by: str) -> DataFrame:
+    """Measures of each region, numbered by mean absolute error, smallest first, ties by name."""
+    return forecast_metrics(pred, [by]).withColumn("place", F.row_number().over(Window.orderBy("mae", by)))
+
+
 def forecast_summary(pred: DataFrame, step: str = "step", col: str = "prediction", band: float = 0.08) -> DataFrame:
     """National total of each step, its band, and the % change from the first step."""
     totals = pred.groupBy(step).agg(F.sum(col).alias("total"))

@@ -22,15 +22,21 @@ def distance_edges(points: DataFrame, sigma2: float = 0.1, epsilon: float = 0.1,
     return mirrored(scaled.where(F.col("w") >= epsilon))
 
 
-def similarity_edges(profiles: DataFrame, cols: Sequence[str], epsilon: float = 0.1, key: str = "region") -> DataFrame:
-    """Cosine of the profiles, held to 0..1; pairs below ``epsilon`` are left out. Joined on the feature, so only what
-    two profiles both have is multiplied."""
-    long = profiles.unpivot(key, list(cols), "feature", "v").where("v <> 0")
-    unit = long.join(long.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm")), key).select(key, "feature", (F.col("v") / F.col("norm")).alias("v"))
-    other = unit.select(F.col(key).alias("dst"), "feature", F.col("v").alias("v2"))
-    dots = unit.withColumnRenamed(key, "src").join(other, "feature").where("src < dst").groupBy("src", "dst").agg(F.sum(F.col("v") * F.col("v2")).alias("w"))
-    held = dots.withColumn("w", F.least(F.greatest("w", F.lit(0.0)), F.lit(1.0)))
-    return mirrored(held.where(F.col("w") >= epsilon))
+def similarity_edges(profiles: DataFrame, cols: Sequence[str], epsilon: float = 0.1, key: str = "region", blocks: int = 8) -> DataFrame:
+    """Cosine of the profiles, held to 0..1; pairs below ``epsilon`` and regions whose profile is all zero are left out.
+
+    A profile is one array of unit length, written once. Regions are dealt to blocks, and every two blocks meet in one key
+    of the join, so the pairs of regions, all of which are asked for, spread over ``blocks`` squared keys."""
+    values = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols])
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    rows = profiles.select(F.col(key).alias("src"), values.alias("v")).withColumn("n", norm).where("n > 0")
+    unit = cut(rows.select("src", F.transform("v", lambda x: x / F.col("n")).alias("v"), F.pmod(F.xxhash64("src"), F.lit(blocks)).alias("own")))
+    every = F.explode(F.array(*[F.lit(b).cast("long") for b in range(blocks)]))
+    left = unit.select("src", "v", F.col("own").alias("p"), every.alias("q"))
+    right = unit.select(F.col("src").alias("dst"), F.col("v").alias("v2"), F.col("own").alias("q"), every.alias("p"))
+    dot = F.aggregate(F.zip_with("v", "v2", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    pairs = left.join(right, ["p", "q"]).where("src < dst").select("src", "dst", F.least(F.greatest(dot, F.lit(0.0)), F.lit(1.0)).alias("w"))
+    return mirrored(pairs.where(F.col("w") >= epsilon))
 
 
 def combine_edges(a: DataFrame, b: DataFrame, alpha: float = 0.5) -> DataFrame:
@@ -52,6 +58,7 @@ def laplacian_edges(w: DataFrame, nodes: DataFrame, key: str = "region") -> Data
 
 def largest_eigenvalue(l: DataFrame, rounds: int = 30, tolerance: float = 1e-6, every: int = 5) -> float:
     """Power iteration on a symmetric edge table; one vector and one number a round leave the join."""
+    l = cut(l)
     names = l.select(F.col("src").alias("node")).distinct()
     v, last = cut(names.select("node", (1.0 + F.pmod(F.xxhash64("node"), F.lit(1000)) / 1000.0).alias("v"))), 0.0
     for i in range(1, rounds + 1):
@@ -169,3 +176,8 @@ def lisa_classes(rows: DataFrame, level: float = 0.05) -> DataFrame:
 
 def lisa_summary(rows: DataFrame) -> DataFrame:
     return rows.groupBy("class").agg(F.count("*").alias("regions"))
+
+
+def lisa_table(rows: DataFrame, values: DataFrame, key: str = "region") -> DataFrame:
+    """The regions of a significant class with their values."""
+    return rows.where("class <> 'NS'").join(values, key)

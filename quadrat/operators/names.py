@@ -2,53 +2,71 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrat.functions.text import name_key, similarity
+from quadrat.functions.text import name_key, similarity, token_sorted
 
 
-def fuzzy_match(names: DataFrame, refs: DataFrame, threshold: float = 85.0, name: str = "name", ref: str = "ref") -> DataFrame:
-    """The most similar reference of each distinct name, ties to the first in order; null below the threshold.
+def _first_grams(c: Column, threshold: float) -> Column:
+    """The bigrams of a padded name, numbered where they repeat, that come first by hash: as many as must hold a shared one.
 
-    Candidates share the first two letters of some word, or the first letter and a length within three characters;
-    both sides are joined on those keys, so the pairs do not grow with the product of the lists.
+    A name of length n has n + 1 bigrams, and an edit spoils two. Names whose ratio reaches the threshold are at most
+    (1 - threshold) * n edits apart, n the longer length, so that more than all but ``2 * (1 - threshold) * n + 1`` are
+    shared, and one of these is among the first so many of both sides. From a threshold of 50 on there always is one.
     """
+    padded = F.concat(F.lit("\x01"), c, F.lit("\x02"))
+    grams = F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substring(padded, i, F.lit(2)))
+    numbered = F.transform(grams, lambda g, i: F.concat(g, F.size(F.filter(F.slice(grams, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+    keys = F.array_sort(F.transform(numbered, lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))
+    first = F.floor((1.0 - threshold / 100.0) * 2 * F.length(c) + 1e-9).cast("int") + 1
+    return F.transform(F.slice(keys, F.lit(1), first), lambda k: k["g"])
+
+
+def fuzzy_match(names: DataFrame, refs: DataFrame, threshold: float = 85.0, name: str = "name", ref: str = "ref", subsets: bool = False) -> DataFrame:
+    """The most similar reference of each distinct name and the score of the next one, ties to the first in order.
+
+    Scores below the threshold are null. Above it none is lost: candidates are joined on bigrams of the keys, as they are
+    and with words sorted, chosen so that any pair that reaches the threshold shares one, and with ``subsets`` also on
+    words. Below a threshold of 50 no such choice exists, and all pairs of the distinct names are scored.
+    """
+
+    def under(mark: str, keys: Column) -> Column:
+        return F.transform(keys, lambda k: F.concat(F.lit(mark), k))
 
     def keyed(df: DataFrame, col: str) -> DataFrame:
-        key, words = name_key(F.col(col)), F.split(name_key(F.col(col)), " ")
-        near = F.transform(F.sequence(F.lit(-3), F.lit(3)), lambda d: F.concat(F.substring(key, 1, 1), F.lit("#"), (F.length(key) + d).cast("string")))
-        own = F.array(F.concat(F.substring(key, 1, 1), F.lit("#"), F.length(key).cast("string")))
-        prefixes = F.transform(words, lambda w: F.substring(w, 1, 2))
-        return df.select(col).where(F.col(col).isNotNull()).distinct().withColumn("__k", F.explode(F.array_distinct(F.concat(prefixes, near if col == name else own))))
+        one = df.select(col).where(F.col(col).isNotNull()).distinct()
+        sets = [under(f"{form.__name__}:", _first_grams(form(F.col(col)), threshold)) for form in (name_key, token_sorted)]
+        if subsets:
+            sets.append(under("word:", F.split(name_key(F.col(col)), " ")))
+        return one.withColumn("__k", F.explode(F.array_distinct(F.concat(*sets) if threshold >= 50 else F.array(F.lit("")))))
 
     pairs = keyed(names, name).join(keyed(refs, ref), "__k").select(name, ref).distinct()
-    scored = pairs.withColumn("score", similarity(F.col(name), F.col(ref)))
+    scored = pairs.withColumn("score", similarity(F.col(name), F.col(ref), subsets))
     return _top(scored, names.select(name).where(F.col(name).isNotNull()).distinct(), [name], ref, threshold)
 
 
-def fuzzy_match_blocked(pairs: DataFrame, refs: DataFrame, threshold: float = 80.0, block: str = "state", name: str = "district", ref: str = "ref") -> DataFrame:
-    """As ``fuzzy_match``, against the references of the same block; names of a block without references are matched
-    with all. Adds ``source`` (block or all) and ``status``."""
+def fuzzy_match_blocked(pairs: DataFrame, refs: DataFrame, threshold: float = 80.0, block: str = "state", name: str = "district", ref: str = "ref", subsets: bool = False) -> DataFrame:
+    """As ``fuzzy_match``, against all references of the same block; names of a block without references are matched
+    with the references of every block. Adds ``source`` (block or all) and ``status``."""
     distinct = pairs.select(block, name).where(F.col(name).isNotNull()).distinct()
     known = refs.select(F.col(block)).distinct()
-    inside = distinct.join(refs.select(block, ref), block).withColumn("score", similarity(F.col(name), F.col(ref)))
+    inside = distinct.join(refs.select(block, ref).distinct(), block).withColumn("score", similarity(F.col(name), F.col(ref), subsets))
     inside = _top(inside, distinct.join(known, block, "left_semi"), [block, name], ref, threshold).withColumn("source", F.lit("block"))
     rest = distinct.join(known, block, "left_anti")
-    outside = fuzzy_match(rest, refs, threshold, name, ref)
+    outside = fuzzy_match(rest, refs, threshold, name, ref, subsets)
     outside = rest.join(outside, name).select(*inside.columns[:-1], F.lit("all").alias("source"))
     return inside.unionByName(outside).withColumn("status", F.when(F.col(ref).isNull(), "unmatched").otherwise("matched"))
 
 
 def _top(scored: DataFrame, wanted: DataFrame, keys: list[str], ref: str, threshold: float) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy(F.desc("score"), ref)
-    ranked = scored.withColumn("__n", F.row_number().over(order))
-    runner = F.lead("score").over(order)
-    first = ranked.withColumn("runner_up", runner).where("__n = 1").drop("__n")
-    good = F.col("score") >= threshold
-    return wanted.join(first, keys, "left").withColumn(ref, F.when(good, F.col(ref))).select(*keys, ref, "score", "runner_up")
+    good = scored.where(F.col("score") >= threshold)
+    first = good.withColumns({"__n": F.row_number().over(order), "runner_up": F.lead("score").over(order)}).where("__n = 1").drop("__n")
+    return wanted.join(first, keys, "left").select(*keys, ref, "score", "runner_up")
 
 
 def apply_overrides(df: DataFrame, overrides: DataFrame, col: str, scope: str | None = None) -> DataFrame:
@@ -101,6 +119,13 @@ def region_inventory(pairs: DataFrame, state: str = "state", district: str = "di
     return pairs.groupBy(state).agg(F.countDistinct(district).alias("districts"), F.array_join(F.sort_array(F.collect_set(district)), ",").alias("names"))
 
 
+def pair_counts(tables: Mapping[str, DataFrame], state: str = "state", district: str = "district") -> DataFrame:
+    """Distinct (state, district) pairs of each table, and of all together under ``all``."""
+    named = reduce(DataFrame.unionByName, [df.select(F.lit(n).alias("table"), state, district).distinct() for n, df in tables.items()])
+    each = named.groupBy("table").agg(F.count("*").alias("pairs"))
+    return each.unionByName(named.select(state, district).distinct().agg(F.lit("all").alias("table"), F.count("*").alias("pairs")))
+
+
 def reconcile(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Each key and whether both sides have it, or the left or the right alone."""
     a, b = left.select(*keys).distinct().withColumn("__l", F.lit(1)), right.select(*keys).distinct().withColumn("__r", F.lit(1))

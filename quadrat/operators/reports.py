@@ -21,6 +21,16 @@ def inner_align(tables: Sequence[DataFrame], on: Sequence[str]) -> DataFrame:
     return reduce(lambda a, b: a.join(b, list(on)), tables)
 
 
+def with_measure(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
+    """A second measure beside the first where it is known; rows of the first alone stay, with nulls."""
+    return df.join(other, list(on), "left")
+
+
+def attach_labels(boundaries: DataFrame, labels: DataFrame, key: str = "region") -> DataFrame:
+    """Every vertex with its region's labels; regions without any keep nulls."""
+    return boundaries.join(labels, key, "left")
+
+
 def lookup(df: DataFrame, mapping: DataFrame, key: str, old: str, new: str) -> DataFrame:
     """The key by a mapping; unmapped keys stay."""
     return df.join(mapping.select(F.col(old).alias(key), F.col(new).alias("__new")), key, "left").withColumn(key, F.coalesce("__new", key)).select(*df.columns)
@@ -149,6 +159,11 @@ def top_n(df: DataFrame, col: str, n: int, key: str, ascending: bool = False) ->
     return df.orderBy(F.asc(col) if ascending else F.desc(col), key).limit(n)
 
 
+def top_n_where(df: DataFrame, col: str, value: str, by: str, n: int, key: str, ascending: bool = False) -> DataFrame:
+    """The ``n`` largest (or smallest) of the rows of one class, ties by key."""
+    return top_n(df.where(F.col(col) == value), by, n, key, ascending)
+
+
 def top_n_per(df: DataFrame, group: str, col: str, n: int, key: str) -> DataFrame:
     w = Window.partitionBy(group).orderBy(F.desc(col), key)
     return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)

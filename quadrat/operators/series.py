@@ -73,12 +73,12 @@ def change_from_first(df: DataFrame, region: str, step: str, col: str) -> DataFr
 
 
 def acf(df: DataFrame, key: str, order: str, col: str, max_lag: int = 20) -> DataFrame:
-    """Autocorrelation for lags 1 to min(max_lag, T/2 - 1) about the series' mean, with the 95 % band."""
-    w, whole = Window.partitionBy(key).orderBy(order), Window.partitionBy(key)
-    rows = df.select(key, F.row_number().over(w).alias("t"), (F.col(col) - F.avg(col).over(whole)).alias("z"), F.count("*").over(whole).alias("n"))
-    spread = rows.groupBy(key).agg(F.sum(F.col("z") * F.col("z")).alias("ss"))
+    """Correlation of the series with itself ``lag`` steps on, each slice about its own mean, for lags 1 to
+    min(max_lag, T/2 - 1), with the 95 % band; null where a slice is constant."""
+    w = Window.partitionBy(key).orderBy(order)
+    rows = df.select(key, F.row_number().over(w).alias("t"), F.col(col).cast("double").alias("v"), F.count("*").over(Window.partitionBy(key)).alias("n"))
     lagged = rows.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(max_lag)))).where(F.col("lag") <= F.floor(F.col("n") / 2) - 1)
-    then = rows.select(key, F.col("t").alias("t2"), F.col("z").alias("z2"))
+    then = rows.select(key, F.col("t").alias("t2"), F.col("v").alias("v2"))
     pairs = lagged.withColumn("t2", F.col("t") + F.col("lag")).join(then, [key, "t2"])
-    out = pairs.groupBy(key, "lag").agg(F.sum(F.col("z") * F.col("z2")).alias("c"), F.max("n").alias("n")).join(spread, key)
-    return out.select(key, "lag", F.coalesce(F.try_divide("c", "ss"), F.lit(0.0)).alias("acf"), (1.96 / F.sqrt("n")).alias("band"))
+    r = F.try_divide(F.covar_pop("v", "v2"), F.stddev_pop("v") * F.stddev_pop("v2"))
+    return pairs.groupBy(key, "lag").agg(r.alias("acf"), (1.96 / F.sqrt(F.max("n"))).alias("band"))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from quadrat.functions.cut import cut
 
 MODES = ("i", "j", "k")
+#: A factor table is broadcast up to this size in bytes.
+SENT = 8 << 20
 
 
 def build_tensor(tables: Mapping[str, DataFrame], cols: Mapping[str, Sequence[str]], region: str, time: str, how: str = "union") -> DataFrame:
@@ -41,28 +43,38 @@ def _gram(factor: DataFrame, rank: int) -> np.ndarray:
     return np.array(row, float).reshape(rank, rank)
 
 
-def _times(factor: DataFrame, matrix: np.ndarray, mode: str, source: str = "f") -> DataFrame:
+def _times(factor: DataFrame, matrix: np.ndarray, mode: str, source: str = "f", *kept: str) -> DataFrame:
     rows = [F.aggregate(F.zip_with(source, F.array(*map(F.lit, map(float, col))), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x) for col in matrix.T]
-    return factor.select(mode, F.array(*rows).alias("f"))
+    return factor.select(mode, *kept, F.array(*rows).alias("f"))
+
+
+def _beside(coo: DataFrame, factors: Mapping[str, DataFrame], modes: Sequence[str]) -> DataFrame:
+    """The cells with two modes' factors, as ``fa`` and ``fb``; a factor is sent to all executors only where its rows,
+    counted, and its rank keep it below ``SENT`` bytes."""
+    for mode, name in zip(modes, ("fa", "fb"), strict=True):
+        one = factors[mode].select(mode, F.col("f").alias(name))
+        rows, rank = one.agg(F.count("*"), F.max(F.size(name))).first()
+        coo = coo.join(F.broadcast(one) if rows * ((rank or 0) * 8 + 100) < SENT else one, mode)
+    return coo
 
 
 def cp_als(coo: DataFrame, rank: int, iters: int = 200, tol: float = 1e-8, seed: int = 42, ridge: float = 1e-9) -> tuple[dict[str, DataFrame], float]:
     """CP decomposition by alternating least squares: a factor table ``(index, f array)`` for each mode, and the
-    relative error. The tensor is joined with two factor tables and summed; only rank x rank matrices are solved on
-    the driver, and the error comes from norms, never from a dense reconstruction."""
+    relative error. The tensor, written once, is joined with two factor tables and summed; only rank x rank matrices are
+    solved on the driver, and the error comes from norms, never from a dense reconstruction."""
+    coo = cut(coo)
     factors = {m: _start(coo, m, rank, seed + n) for n, m in enumerate(MODES)}
     grams = {m: _gram(factors[m], rank) for m in MODES}
     norm2, last, error = float(coo.agg(F.sum(F.col("value") * F.col("value"))).first()[0] or 0.0), None, 0.0
     for _ in range(iters):
         for mode in MODES:
             a, b = (m for m in MODES if m != mode)
-            joined = coo.join(factors[a].withColumnRenamed("f", "fa"), a).join(factors[b].withColumnRenamed("f", "fb"), b)
-            sums = joined.groupBy(mode).agg(F.array(*[F.sum(F.col("value") * F.col("fa")[r] * F.col("fb")[r]) for r in range(rank)]).alias("f"))
+            sums = _beside(coo, factors, (a, b)).groupBy(mode).agg(F.array(*[F.sum(F.col("value") * F.col("fa")[r] * F.col("fb")[r]) for r in range(rank)]).alias("s"))
             inverse = np.linalg.pinv(grams[a] * grams[b] + ridge * np.eye(rank))
-            sums = cut(sums)
-            factors[mode] = cut(_times(sums, inverse, mode))
-            grams[mode] = _gram(factors[mode], rank)
-        inner = sums.withColumnRenamed("f", "s").join(factors[mode], mode).agg(*[F.sum(F.col("s")[r] * F.col("f")[r]) for r in range(rank)]).first()
+            solved = cut(_times(sums, inverse, mode, "s", "s"))
+            factors[mode] = solved.drop("s")
+            grams[mode] = _gram(solved, rank)
+        inner = solved.agg(*[F.sum(F.col("s")[r] * F.col("f")[r]) for r in range(rank)]).first()
         model2 = float((grams["i"] * grams["j"] * grams["k"]).sum())
         error = float(np.sqrt(max(0.0, norm2 - 2 * sum(inner) + model2) / norm2)) if norm2 else 0.0
         if last is not None and abs(last - error) < tol:
@@ -83,7 +95,7 @@ def tucker_hooi(coo: DataFrame, ranks: Sequence[int], iters: int = 5, seed: int
     """Tucker decomposition by orthogonal iteration: factors, core ``(a, b, c, value)`` and relative error. For a mode
     the tensor is contracted with the other two factors; the small Gram matrix of the result gives the new factor."""
     rank = dict(zip(MODES, ranks, strict=True))
-    factors = {}
+    coo, factors = cut(coo), {}
     for n, m in enumerate(MODES):
         raw = _start(coo, m, rank[m], seed + n)
         factors[m] = cut(_times(raw, _whiten(_gram(raw, rank[m])), m))
@@ -110,8 +122,7 @@ def _whiten(gram: np.ndarray) -> np.ndarray:
 
 
 def _contract(coo: DataFrame, factors: dict[str, DataFrame], mode: str, a: str, b: str, rank: dict[str, int]) -> DataFrame:
-    joined = coo.join(factors[a].withColumnRenamed("f", "fa"), a).join(factors[b].withColumnRenamed("f", "fb"), b)
-    return cut(joined.groupBy(mode).agg(F.array(*[F.sum(F.col("value") * F.col("fa")[x] * F.col("fb")[y]) for x in range(rank[a]) for y in range(rank[b])]).alias("f")))
+    return cut(_beside(coo, factors, (a, b)).groupBy(mode).agg(F.array(*[F.sum(F.col("value") * F.col("fa")[x] * F.col("fb")[y]) for x in range(rank[a]) for y in range(rank[b])]).alias("f")))
 
 
 def tucker_sweep(coo: DataFrame, ranks: Sequence[int], feature_ranks: Sequence[int], **how) -> DataFrame:

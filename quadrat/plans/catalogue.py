@@ -5,81 +5,22 @@ Each query applies library operators to whole tables. Floating results are round
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quadrat.functions import text
+from quadrat.functions.cut import cut
 from quadrat.functions.numbers import percent_change
 from quadrat.operators import cluster, features, forecast, geo, graph, names, quality, reports, series, tensor
-from quadrat.plans.panels import ENROL, GRID, PANELS, TOUCH, bio, demo, enrol, grid, table
+from quadrat.plans import cleaning, more  # noqa: F401  they register their queries
+from quadrat.plans.panels import ENROL, GRID, TOUCH, bio, demo, enrol, grid, table
+from quadrat.plans.registry import oracle_sql, queries, query as _query  # noqa: F401
+from quadrat.plans.summaries import _COMMON, _F, _bio, _common, _demo, _enrol
 from quadrat.sources import tables
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
 R = features.rounded
 
 
-def _query(sql: str | None = None):
-    def keep(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def _bio(s, d):
-    """Biometric panel with its pair features."""
-    return features.pair_features(bio(s, d), "bio_age_5_17", "bio_age_17_", "bio")
-
-
-def _demo(s, d):
-    return features.pair_features(demo(s, d), "demo_age_5_17", "demo_age_17_", "demo")
-
-
-def _enrol(s, d):
-    return features.group_features(enrol(s, d), ["age_0_5", "age_5_17"], ["age_18_greater"], "enrol")
-
-
-_F = PANELS + """, b AS (SELECT *, bio_age_5_17 + bio_age_17_ AS bio_total, bio_age_5_17 / (bio_age_5_17 + bio_age_17_ + 1) AS bio_a_ratio, bio_age_17_ / (bio_age_5_17 + bio_age_17_ + 1) AS bio_b_ratio,
-  CASE WHEN bio_age_5_17 > bio_age_17_ THEN '0-5' ELSE '5-17' END AS bio_dominant, bio_age_5_17 / (bio_age_17_ + 1) AS bio_dependency FROM bio),
-d AS (SELECT *, demo_age_5_17 + demo_age_17_ AS demo_total, demo_age_5_17 / (demo_age_5_17 + demo_age_17_ + 1) AS demo_a_ratio, demo_age_5_17 / (demo_age_17_ + 1) AS demo_dependency FROM demo),
-e AS (SELECT *, age_0_5 + age_5_17 + age_18_greater AS enrol_total, (age_0_5 + age_5_17) / (age_0_5 + age_5_17 + age_18_greater + 1.0::DOUBLE) AS enrol_minor_ratio,
-  age_18_greater / (age_0_5 + age_5_17 + age_18_greater + 1.0::DOUBLE) AS enrol_adult_ratio FROM enrol)"""
-_COMMON = "common AS (SELECT date FROM enrol INTERSECT SELECT date FROM bio INTERSECT SELECT date FROM demo), snaps AS (SELECT date FROM common WHERE day(date) = 1)"
-
-
-def _common(s, d):
-    return features.common_dates([enrol(s, d), bio(s, d), demo(s, d)])
-
-
-@_query(_F + f""", {_COMMON}, s AS (
-  SELECT * FROM (SELECT state, sum(bio_total) AS bio_total, avg(bio_a_ratio) AS avg_bio_a_ratio, avg(bio_dependency) AS avg_dependency, count(DISTINCT district) AS district_count FROM b WHERE date IN (FROM snaps) GROUP BY state)
-  FULL JOIN (SELECT state, sum(demo_total) AS demo_total, avg(demo_a_ratio) AS avg_demo_a_ratio FROM d WHERE date IN (FROM snaps) GROUP BY state) USING (state)
-  FULL JOIN (SELECT state, CAST(sum(enrol_total) AS BIGINT) AS enrol_total, avg(enrol_minor_ratio) AS avg_minor_ratio, avg(enrol_adult_ratio) AS avg_adult_ratio FROM e WHERE date IN (FROM snaps) GROUP BY state) USING (state))
-SELECT state, CAST(row_number() OVER (ORDER BY enrol_total DESC, state) AS INTEGER) AS enrol_rank, round(coalesce(bio_total, 0), 6) AS bio_total, round(coalesce(avg_bio_a_ratio, 0), 6) AS avg_bio_a_ratio,
-  round(coalesce(avg_dependency, 0), 6) AS avg_dependency, coalesce(district_count, 0) AS district_count, round(coalesce(demo_total, 0), 6) AS demo_total, round(coalesce(avg_demo_a_ratio, 0), 6) AS avg_demo_a_ratio,
-  coalesce(enrol_total, 0) AS enrol_total, round(coalesce(avg_minor_ratio, 0), 6) AS avg_minor_ratio, round(coalesce(avg_adult_ratio, 0), 6) AS avg_adult_ratio FROM s""")
-def state_summary(s, d):
-    """States over the monthly snapshots that all three panels have, ranked by enrolment."""
-    snaps = features.snapshot_dates(_common(s, d))
-    b = reports.summarise(features.filter_dates(_bio(s, d), snaps), ["state"], {"bio_total": "bio_total"}, {"avg_bio_a_ratio": "bio_a_ratio", "avg_dependency": "bio_dependency"}, {"district_count": "district"})
-    m = reports.summarise(features.filter_dates(_demo(s, d), snaps), ["state"], {"demo_total": "demo_total"}, {"avg_demo_a_ratio": "demo_a_ratio"})
-    e = reports.summarise(features.filter_dates(_enrol(s, d), snaps), ["state"], {"enrol_total": "enrol_total"}, {"avg_minor_ratio": "enrol_minor_ratio", "avg_adult_ratio": "enrol_adult_ratio"})
-    return R(reports.rank_by(reports.outer_align([b, m, e], ["state"]), "enrol_total", "state", "enrol_rank"))
-
-
 @_query(_F + " SELECT date, state, district, pincode, bio_total, round(bio_a_ratio, 6) AS bio_a_ratio, round(bio_b_ratio, 6) AS bio_b_ratio, bio_dominant, round(bio_dependency, 6) AS bio_dependency FROM b")
 def pair_ratio_features(s, d):
     return R(_bio(s, d).drop("bio_age_5_17", "bio_age_17_"))
@@ -119,27 +60,16 @@ def group_totals_and_rank(s, d):
     return rows.select("id", "district_total", "state_total", "district_rank_in_state")
 
 
-@_query(f"{PANELS}, {_COMMON} SELECT date FROM common")
+@_query(f"WITH {_COMMON} SELECT date FROM common")
 def common_days(s, d):
     return _common(s, d)
 
 
-@_query(f"{PANELS}, {_COMMON} SELECT date FROM snaps")
+@_query(f"WITH {_COMMON} SELECT date FROM snaps")
 def snapshot_days(s, d):
     return features.snapshot_dates(_common(s, d), "first_or_n")
 
 
-for _name, _make, _cols in (("bio", _bio, ("bio_total", "bio_a_ratio", "bio_dependency")), ("demo", _demo, ("demo_total", "demo_a_ratio", "demo_dependency")), ("enrol", _enrol, ("enrol_total", "enrol_minor_ratio", "enrol_adult_ratio"))):
-
-    def _daily(s, d, make=_make, cols=_cols):
-        """Sums and means by day and state on the common days."""
-        rows = features.filter_dates(make(s, d), _common(s, d))
-        return R(reports.summarise(rows, ["date", "state"], {cols[0]: cols[0]}, {f"avg_{c}": c for c in cols[1:]}).withColumn(cols[0], F.col(cols[0]).cast("double")))
-
-    _daily.__name__ = f"daily_state_{_name}"
-    _query(f"{_F}, {_COMMON} SELECT date, state, CAST(sum({_cols[0]}) AS DOUBLE) AS {_cols[0]}, round(avg({_cols[1]}), 6) AS avg_{_cols[1]}, round(avg({_cols[2]}), 6) AS avg_{_cols[2]} FROM {_name[0]} WHERE date IN (FROM common) GROUP BY date, state")(_daily)
-
-
 @_query(_F + """, n AS (SELECT * FROM (SELECT date, sum(bio_total) AS bio FROM b GROUP BY date) JOIN (SELECT date, sum(demo_total) AS demo FROM d GROUP BY date) USING (date) JOIN (SELECT date, CAST(sum(enrol_total) AS DOUBLE) AS enrol FROM e GROUP BY date) USING (date))
 SELECT date, bio, demo, enrol, round(avg(bio) OVER w, 6) AS bio_smooth, round(avg(enrol) OVER w, 6) AS enrol_smooth FROM n WINDOW w AS (ORDER BY date ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)""")
 def national_trend_smoothed(s, d):
@@ -252,9 +182,8 @@ def sequences_split(s, d):
     return seq.select("district", "week", F.aggregate("inputs", F.lit(0).cast("long"), lambda a, x: a + x).alias("inputs_sum"), F.col("targets")[0].alias("target"), "part")
 
 
-@_query(_GRID + """, r AS (SELECT district, row_number() OVER (PARTITION BY district ORDER BY week) AS t, enrol_total - avg(enrol_total) OVER (PARTITION BY district) AS z, count(*) OVER (PARTITION BY district) AS n FROM dense),
- ss AS (SELECT district, sum(z * z) AS ss FROM r GROUP BY district)
-SELECT a.district, CAST(b.t - a.t AS INTEGER) AS lag, round(sum(a.z * b.z) / max(ss), 6) AS acf, round(1.96 / sqrt(max(a.n)), 6) AS band FROM r a JOIN r b ON a.district = b.district AND b.t - a.t BETWEEN 1 AND least(20, floor(a.n / 2) - 1) JOIN ss ON ss.district = a.district GROUP BY 1, 2""")
+@_query(_GRID + """, r AS (SELECT district, row_number() OVER (PARTITION BY district ORDER BY week) AS t, enrol_total::DOUBLE AS v, count(*) OVER (PARTITION BY district) AS n FROM dense)
+SELECT a.district, CAST(b.t - a.t AS INTEGER) AS lag, round(corr(a.v, b.v), 6) AS acf, round(1.96 / sqrt(max(a.n)), 6) AS band FROM r a JOIN r b ON a.district = b.district AND b.t - a.t BETWEEN 1 AND least(20, floor(a.n / 2) - 1) GROUP BY 1, 2""")
 def autocorrelation(s, d):
     return R(series.acf(_dense(s, d), "district", "week", "enrol_total"))
 
@@ -271,11 +200,6 @@ def _profile(s, d):
     return reports.outer_align([b, m, e], keys)
 
 
-@_query(_PROFILE + " SELECT state, district, " + ", ".join(f"round({c}, 6) AS {c}" for c in _PCOLS) + " FROM profile")
-def region_profile(s, d):
-    return R(_profile(s, d))
-
-
 @_query(_PROFILE + """, p AS (SELECT state, district, enrol_total, CAST(rank() OVER (ORDER BY enrol_total DESC) AS INTEGER) AS national_rank, CAST(rank() OVER (PARTITION BY state ORDER BY enrol_total DESC) AS INTEGER) AS state_rank, percent_rank() OVER (ORDER BY enrol_total) AS percentile FROM profile)
 SELECT state, district, enrol_total, national_rank, state_rank, round(percentile, 6) AS percentile, CASE WHEN percentile >= 0.9 THEN 'top' WHEN percentile >= 0.5 THEN 'above average' WHEN percentile >= 0.1 THEN 'below average' ELSE 'bottom' END AS tier FROM p""")
 def district_tiers(s, d):
@@ -356,7 +280,7 @@ def customer_name_forms(s, d):
 @_query(f"""WITH n AS (SELECT DISTINCT lower(replace(n_name, '_', ' ')) AS name FROM nation), r AS (SELECT DISTINCT lower(replace(n_name, 'NATION_', 'NATIONS ')) AS ref FROM nation), s AS (SELECT name, ref, (greatest(length(name), length(ref)) - levenshtein(name, ref)) * 100.0::DOUBLE / greatest(length(name), length(ref)) AS plain,
  (greatest(length(name), length(ref)) - levenshtein(array_to_string(list_sort(string_split(name, ' ')), ' '), array_to_string(list_sort(string_split(ref, ' ')), ' '))) * 100.0::DOUBLE / greatest(length(name), length(ref)) AS sorted FROM n, r),
  k AS (SELECT name, ref, greatest(plain, sorted) AS score, row_number() OVER (PARTITION BY name ORDER BY greatest(plain, sorted) DESC, ref) AS n, lead(greatest(plain, sorted)) OVER (PARTITION BY name ORDER BY greatest(plain, sorted) DESC, ref) AS runner_up FROM s)
-SELECT name, CASE WHEN score >= 80 THEN ref END AS ref, round(score, 6) AS score, round(runner_up, 6) AS runner_up FROM k WHERE n = 1""")
+SELECT name, CASE WHEN score >= 80 THEN ref END AS ref, round(CASE WHEN score >= 80 THEN score END, 6) AS score, round(CASE WHEN runner_up >= 80 THEN runner_up END, 6) AS runner_up FROM k WHERE n = 1""")
 def fuzzy_top1(s, d):
     """Nation names matched with a misspelt list."""
     nation = table(s, d, "nation")
@@ -420,7 +344,7 @@ _SIM = _PROFILE + ", z AS (" + " UNION ALL ".join(f"SELECT district, '{c}' AS f,
 
 
 def _similar(s, d):
-    rows = _profile(s, d).drop("state")
+    rows = cut(_profile(s, d).drop("state"))  # moments and rows
     return graph.similarity_edges(cluster.zscore_apply(rows, cluster.zscore_fit(rows, _PCOLS), _PCOLS), _PCOLS, 0.1, "district")
 
 
@@ -478,7 +402,7 @@ def lisa_clusters(s, d):
 
 @_query(_PROFILE + " SELECT district, " + ", ".join(f"round(({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0), 6) AS {c}" for c in _PCOLS) + " FROM profile")
 def zscores(s, d):
-    rows = _profile(s, d).drop("state")
+    rows = cut(_profile(s, d).drop("state"))  # moments and rows
     return R(cluster.zscore_apply(rows, cluster.zscore_fit(rows, _PCOLS), _PCOLS))
 
 
@@ -500,7 +424,7 @@ def kmeans_sizes(s, d):
 
 @_query()
 def density_clusters(s, d):
-    rows = _profile(s, d).drop("state")
+    rows = cut(_profile(s, d).drop("state"))  # moments and rows
     return cluster.dbscan(cluster.zscore_apply(rows, cluster.zscore_fit(rows, _PCOLS), _PCOLS), "district", "enrol_total", "bio_total")
 
 
@@ -519,6 +443,12 @@ def tensor_cells(s, d):
     return _tensor(s, d)
 
 
+@_query(_F + ", x AS (SELECT district, strftime(date, '%Y-%m') AS month FROM b UNION SELECT district, strftime(date, '%Y-%m') FROM e), c AS (SELECT count(DISTINCT district) AS i, count(DISTINCT month) AS j FROM x) SELECT i AS size_i, j AS size_j, CAST(4 AS BIGINT) AS size_k, i * j * 4 AS cells, 0.0::DOUBLE AS mean, 1.0::DOUBLE AS std FROM c")
+def tensor_figures(s, d):
+    """The dense tensor's sizes; its features are standardised."""
+    return tensor.tensor_summary(_tensor(s, d)).withColumns({"mean": F.abs(F.round("mean", 6)), "std": F.round("std", 6)})
+
+
 @_query()
 def cp_components(s, d):
     """Weights of a two-component decomposition of the region x month x feature tensor."""
@@ -567,9 +497,9 @@ def substring_search(s, d):
     return features.search(table(s, d, "events"), "ERR", ["event_type"]).unionByName(features.search(table(s, d, "events"), '"K": 6', ["props"])).select("event_id", "user_id", "event_type").distinct()
 
 
-@_query("SELECT user_id FROM (SELECT DISTINCT user_id FROM events) WHERE false UNION ALL SELECT user_id FROM (SELECT user_id, sum(value) AS v FROM events GROUP BY user_id ORDER BY v DESC, user_id LIMIT 10)")
+@_query("SELECT user_id, round(sum(value), 6) AS v FROM events GROUP BY user_id ORDER BY v DESC, user_id LIMIT 10")
 def top_users(s, d):
-    return reports.top_n(table(s, d, "events").groupBy("user_id").agg(F.round(F.sum("value"), 6).alias("v")), "v", 10, "user_id").select("user_id")
+    return reports.top_n(table(s, d, "events").groupBy("user_id").agg(F.round(F.sum("value"), 6).alias("v")), "v", 10, "user_id")
 
 
 @_query("SELECT n_name || ' | ' || r_name AS key, n_name AS district, r_name AS state FROM nation JOIN region ON n_regionkey = r_regionkey")

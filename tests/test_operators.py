@@ -2,7 +2,9 @@
 
 import json
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +42,52 @@ def test_names(spark):
     assert names.keep_canonical(pairs, "district", spark.createDataFrame([("Patna",)], "d string")).count() == 1
 
 
+@pytest.mark.parametrize("threshold, subsets", [(85.0, False), (70.0, True), (50.0, False), (40.0, False)])
+def test_fuzzy_match_loses_none(spark, threshold, subsets):
+    """Candidates by bigrams give what all pairs give."""
+    draw = random.Random(3)
+    refs = [" ".join("".join(draw.choice("abcn") for _ in range(draw.randint(1, 7))) for _ in range(draw.randint(1, 3))) for _ in range(60)] + ["", "Xatna", "aaaaaaaa"]
+
+    def edited(word):
+        for _ in range(draw.randint(0, 3)):
+            at = draw.randint(0, len(word))
+            word = word[:at] + draw.choice(["", "a", "z", " "]) + word[at + draw.randint(0, 1):]
+        return word
+
+    given = [edited(draw.choice(refs)) for _ in range(120)] + ["Patna", "aaaaaaa", " "]
+    left, right = spark.createDataFrame([(x,) for x in given] + [(None,)], "name string"), spark.createDataFrame([(x,) for x in refs], "ref string")
+    every = left.where("name IS NOT NULL").distinct().crossJoin(right.distinct()).withColumn("score", text.similarity(F.col("name"), F.col("ref"), subsets)).where(F.col("score") >= threshold)
+    best = {}
+    for row in sorted(every.collect(), key=lambda r: (-r.score, r.ref)):
+        best.setdefault(row.name, []).append((row.ref, row.score))
+    got = {r.name: (r.ref, r.score, r.runner_up) for r in names.fuzzy_match(left, right, threshold, subsets=subsets).collect()}
+    wanted = {n: (*best[n][0], best[n][1][1] if len(best[n]) > 1 else None) if n in best else (None, None, None) for n in set(given)}
+    assert got == wanted
+
+
+def test_name_chain(spark):
+    """Names as they come in: spaces, parentheses, digits, dots, hyphens, broken encodings, other scripts, blank, null."""
+    raw = ["  Kaimur   (Bhabua) ", "5th cross", "K.V.Rangareddy", "Medchal-malkajgiri", "SÃ©cond", "Sécond", "E\u0301toile", "दिल्ली", "a – b", "", None]
+    rows = spark.createDataFrame([(x,) for x in raw], "s string").select("s", text.normalise_region(F.col("s")).alias("n")).collect()
+    assert {r.s: r.n for r in rows} == {
+        "  Kaimur   (Bhabua) ": "Kaimur Bhabua", "5th cross": "5Th Cross", "K.V.Rangareddy": "K.V.Rangareddy", "Medchal-malkajgiri": "Medchal-Malkajgiri", "SÃ©cond": "Sécond",
+        "Sécond": "Sécond", "E\u0301toile": "Étoile", "दिल्ली": "दिल्ली", "a – b": "A - B", "": "", None: None,
+    }
+    assert names.drop_junk(spark.createDataFrame([("560001",), ("Near station",), (" ",), (None,), ("Patna",)], "d string"), "d", patterns=[r"^\d{6}$", "^near "]).count() == 1
+    pair = spark.createDataFrame([("east singhbhum", "singhbhum")], "a string, b string").select(text.similarity(F.col("a"), F.col("b")).alias("p"), text.similarity(F.col("a"), F.col("b"), True).alias("q")).first()
+    assert pair.p < 70 and pair.q == 95.0
+
+
+def test_acf_by_slices(spark):
+    draw = random.Random(1)
+    series_of = [draw.gauss(0, 1) + i * 0.1 for i in range(24)]
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate(series_of)] + [("flat", i, 1.0) for i in range(8)], "k string, t int, v double")
+    got = {(r.k, r.lag): r.acf for r in series.acf(df, "k", "t", "v").collect()}
+    for lag in range(1, 12):
+        assert math.isclose(got["a", lag], np.corrcoef(series_of[:-lag], series_of[lag:])[0, 1], abs_tol=1e-9)
+    assert len(got) == 11 + 3 and got["flat", 1] is None
+
+
 def test_missing_and_dates(spark):
     df = spark.createDataFrame([("2024-01-01", None, None), ("x", 1, "a"), ("2024-01-04", 2, "a")], "date string, n int, s string")
     assert quality.invalid_dates(df, "date").first().invalid == 1
