@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import ann, lines, mixing, packing, pii, quality, sharding, simhash, substrings, topk
+from quadrat.llm import ann, decontaminate, filters, lines, mixing, packing, pii, quality, sharding, simhash, substrings, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,16 @@ def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op12_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in windows of ten words of benchmark items."""
+    return decontaminate.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=10)
+
+
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in each of their 120 orders, by language."""
+    return filters.interaction_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 _QUERIES = (
     op1_soft_membership_mixing,
     op2_small_world_neighbours,
@@ -81,6 +91,8 @@ _QUERIES = (
     op8_weak_supervision_pii,
     op9_min_bin_slack,
     op10_subword_quality,
+    op12_benchmark_windows,
+    op13_filter_interactions,
 )
 
 #: Integer inner products of every twentieth vector with all others.
@@ -119,10 +131,73 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS
 FROM kept
 """
 
+#: Windows of ten words, or of all words of shorter items, compared as texts.
+_OP12 = """
+WITH folded AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+), cut AS (
+  SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0
+), wanted AS (
+  SELECT DISTINCT item_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS passage FROM cut
+), starts AS (
+  SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM folded, (SELECT DISTINCT n FROM wanted) WHERE len(w) >= n
+), hits AS (
+  SELECT r, i, starts.n, item_id FROM (SELECT r, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS passage FROM starts) starts JOIN wanted ON starts.n = wanted.n AND starts.passage = wanted.passage
+), words AS (
+  SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS j FROM hits) GROUP BY r
+), named AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM folded LEFT JOIN words USING (r) LEFT JOIN named USING (r)
+"""
+
+#: Failures of each document, then every order one filter at a time.
+_OP13 = """
+WITH docs AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents
+), marks AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), firsts AS (
+  SELECT t, min(doc_id) AS first FROM docs GROUP BY t
+), words AS (
+  SELECT docs.*, first, regexp_extract_all(docs.t, '[^\\x20\\x09-\\x0D]+') AS w FROM docs JOIN firsts ON docs.t = firsts.t
+), failed AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [
+    len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > first, false)
+  ] AS f
+  FROM words LEFT JOIN marks USING (doc_id)
+), cells AS (
+  SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY part, f
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c
+), orders AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5
+), steps AS (
+  SELECT filter_order, step, instr('ABCDE', filter_order[step]) AS own FROM orders, (SELECT unnest(range(1, 6)) AS step)
+), counted AS (
+  SELECT part, filter_order, step, own, n, good, toxic, f[own] AS fails,
+    len(list_filter(range(1, step), lambda k: f[instr('ABCDE', filter_order[k])])) > 0 AS gone, len(list_filter(f, lambda x: x)) AS n_failed
+  FROM cells, steps
+), summed AS (
+  SELECT part, filter_order, step, own,
+    coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0) AS kept, coalesce(sum(n) FILTER (fails AND NOT gone), 0) AS removed,
+    coalesce(sum(n) FILTER (fails AND gone), 0) AS redundant, coalesce(sum(n) FILTER (fails AND n_failed = 1), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (fails AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (fails AND NOT gone), 0) AS toxic_lost
+  FROM counted GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM summed
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_difference_cover": _OP4, "op5_term_at_a_time": _OP5}
+    return {"op4_difference_cover": _OP4, "op5_term_at_a_time": _OP5, "op12_benchmark_windows": _OP12, "op13_filter_interactions": _OP13}
