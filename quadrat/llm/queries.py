@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import ann, decontaminate, filters, lines, mixing, packing, pii, quality, sharding, simhash, substrings, topk
+from quadrat.llm import ann, collocations, decontaminate, filters, lines, mixing, packing, pii, quality, sharding, simhash, substrings, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,11 @@ def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_best_first_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 phrases of each language whose words keep together best."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"), top=2000, min_count=100, longest=5)
+
+
 def op12_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in windows of ten words of benchmark items."""
     return decontaminate.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=10)
@@ -91,6 +96,7 @@ _QUERIES = (
     op8_weak_supervision_pii,
     op9_min_bin_slack,
     op10_subword_quality,
+    op11_best_first_phrases,
     op12_benchmark_windows,
     op13_filter_interactions,
 )
@@ -131,6 +137,35 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS
 FROM kept
 """
 
+#: All phrases of one to five words, counted; every cut of every candidate.
+_OP11 = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+), words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces
+), totals AS (
+  SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang
+), starts AS (
+  SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM words, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m
+), f AS (
+  SELECT lang, list_slice(w, i, i + m - 1) AS p, m, count(*) AS a FROM starts GROUP BY ALL HAVING count(*) >= 100
+), cuts AS (
+  SELECT f.lang, f.p, f.a, f.m, unnest(range(1, f.m)) AS k FROM f WHERE f.m >= 2
+), scored AS (
+  SELECT c.lang, c.p, c.m, c.a, c.k, x.a AS l, y.a AS r, t.n, (1000::HUGEINT * c.a * t.n) // (x.a::HUGEINT * y.a) AS score
+  FROM cuts c JOIN totals t ON t.lang = c.lang JOIN f x ON x.lang = c.lang AND x.p = list_slice(c.p, 1, c.k) JOIN f y ON y.lang = c.lang AND y.p = list_slice(c.p, c.k + 1, c.m)
+), lowest AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, k) AS o FROM scored) WHERE o = 1
+), inside AS (
+  SELECT DISTINCT f.lang, list_slice(f.p, i, j) AS p, f.a FROM f, (SELECT unnest(range(1, 6)) AS i), (SELECT unnest(range(1, 6)) AS j) WHERE f.m >= 2 AND i <= j AND j <= f.m AND j - i + 1 < f.m
+), kept AS (
+  SELECT * FROM lowest WHERE NOT EXISTS (SELECT 1 FROM inside WHERE inside.lang = lowest.lang AND inside.p = lowest.p AND 100 * inside.a >= 100 * lowest.a)
+), ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank, array_to_string(p, ' ') AS phrase, a, l, r, n, score FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
+
 #: Windows of ten words, or of all words of shorter items, compared as texts.
 _OP12 = """
 WITH folded AS (
@@ -200,4 +235,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_difference_cover": _OP4, "op5_term_at_a_time": _OP5, "op12_benchmark_windows": _OP12, "op13_filter_interactions": _OP13}
+    return {"op4_difference_cover": _OP4, "op5_term_at_a_time": _OP5, "op11_best_first_phrases": _OP11, "op12_benchmark_windows": _OP12, "op13_filter_interactions": _OP13}
