@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from quadrat.functions import text
 from quadrat.functions.cut import cut
 from quadrat.functions.numbers import percent_change
-from quadrat.operators import cluster, features, forecast, geo, graph, names, quality, reports, series, tensor
-from quadrat.plans import cleaning, more  # noqa: F401  they register their queries
+from quadrat.operators import cluster, features, forecast, geo, graph, names, quality, reports, series
+from quadrat.plans import cleaning, decompositions, more  # noqa: F401  they register their queries
 from quadrat.plans.panels import ENROL, GRID, TOUCH, bio, demo, enrol, grid, table
 from quadrat.plans.registry import oracle_sql, queries, query as _query  # noqa: F401
 from quadrat.plans.summaries import _COMMON, _F, _bio, _common, _demo, _enrol
@@ -433,28 +433,6 @@ def principal_components(s, d):
     return cluster.pca2(_profile(s, d), _PCOLS, "district")[0]
 
 
-def _tensor(s, d):
-    month = lambda df: df.withColumn("month", features.month_label("date"))
-    return tensor.build_tensor({"bio": month(_bio(s, d)), "enrol": month(_enrol(s, d))}, {"bio": ["bio_total", "bio_a_ratio"], "enrol": ["enrol_total", "enrol_minor_ratio"]}, "district", "month")
-
-
-@_query()
-def tensor_cells(s, d):
-    return _tensor(s, d)
-
-
-@_query(_F + ", x AS (SELECT district, strftime(date, '%Y-%m') AS month FROM b UNION SELECT district, strftime(date, '%Y-%m') FROM e), c AS (SELECT count(DISTINCT district) AS i, count(DISTINCT month) AS j FROM x) SELECT i AS size_i, j AS size_j, CAST(4 AS BIGINT) AS size_k, i * j * 4 AS cells, 0.0::DOUBLE AS mean, 1.0::DOUBLE AS std FROM c")
-def tensor_figures(s, d):
-    """The dense tensor's sizes; its features are standardised."""
-    return tensor.tensor_summary(_tensor(s, d)).withColumns({"mean": F.abs(F.round("mean", 6)), "std": F.round("std", 6)})
-
-
-@_query()
-def cp_components(s, d):
-    """Weights of a two-component decomposition of the region x month x feature tensor."""
-    return tensor.component_variance(tensor.loadings(tensor.cp_als(_tensor(s, d), 2)[0]))
-
-
 @_query(_F + f""", {GRID}, {TOUCH}, g AS (SELECT src, sum(w) AS g FROM touch GROUP BY src), lt AS (SELECT t.src, t.dst, -w / sqrt(a.g * b.g) AS w FROM touch t JOIN g a ON a.src = t.src JOIN g b ON b.src = t.dst),
  p AS (SELECT strftime(date, '%Y-%m') AS t, district AS node, CAST(sum(enrol_total) AS DOUBLE) AS v FROM e GROUP BY ALL), c1 AS (SELECT t, src AS node, sum(w * v) AS v1 FROM p JOIN lt ON dst = node GROUP BY ALL), x AS (SELECT p.*, coalesce(v1, 0) AS v1 FROM p LEFT JOIN c1 USING (t, node)), c2 AS (SELECT t, src AS node, sum(w * v1) AS v2 FROM x JOIN lt ON dst = node GROUP BY ALL)
 SELECT t, node, round(v, 6) AS v_cheb0, round(v1, 6) AS v_cheb1, round(2 * coalesce(v2, 0) - v, 6) AS v_cheb2 FROM x LEFT JOIN c2 USING (t, node)""")
