@@ -9,7 +9,6 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,20 +17,15 @@ from quadrat.llm.store import stage, unstage
 #: At most this many prefixes are sent to the tasks in one round; the others wait for the next.
 FRONTIER = 1 << 18
 #: Words of at most this many places are held by a task at once.
-_PLACES = 1 << 22
+_PLACES = 1 << 21
 #: Texts are read in slices of about this many bytes.
 _SLICE = 4 << 20
-#: Bits of the table that tells frequent words, whose size does not depend on the corpus (2 MB).
-_BITS = 24
+#: Frequent words are numbered in so many parts at once.
+_PARTS = 1024
 _STOPS = b".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes.maketrans(bytes(range(65, 91)) + _STOPS + b"\t", bytes(range(97, 123)) + b"." * len(_STOPS) + b" ")
 
 
-def _number(word: bytes) -> int:
-    """Spark's ``xxhash64`` of a string, unsigned."""
-    return xxhash.xxh64_intdigest(word, 42)
-
-
 def _encoded(docs: DataFrame, lang: str, text: str) -> DataFrame:
     """``(lang, words, counts, codes)``: the texts of a task and language as numbers of its own list of words, 4 bytes each;
     0 stands between pieces, word i of the list is i + 1."""
@@ -75,25 +69,38 @@ def _encoded(docs: DataFrame, lang: str, text: str) -> DataFrame:
     return named.mapInArrow(scan, "lang string, words array<string>, counts array<bigint>, codes binary")
 
 
-def _frequent_words(units: DataFrame) -> np.ndarray:
-    """A table of bits by the last bits of a word's number: a word whose bit is not set is not frequent in any language."""
-    place = F.xxhash64("phrase").bitwiseAND((1 << _BITS) - 1) + 1
-    parts = units.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
-    found = np.zeros(1 << _BITS, bool)
-    for p in parts:
-        bits = np.unpackbits(np.frombuffer(p["bits"], np.uint8), bitorder="little").astype(bool)
-        found[(p["b"] - 1) * len(bits) : p["b"] * len(bits)] = bits
-    return np.packbits(found)
+def _numbered(encoded: DataFrame, units: DataFrame) -> DataFrame:
+    """``(lang, codes)``: the same texts in the numbers of ``units``. Other words and the ends of pieces are 0, several together one;
+    a word between two of them is in no phrase and goes."""
+    entries = encoded.select("row", "lang", F.posexplode("words").alias("place", "phrase")).join(units.select("lang", "phrase", "id"), ["lang", "phrase"])
+    lists = entries.groupBy("row").agg(F.collect_list(F.struct("place", "id")).alias("known")).withColumnsRenamed({"row": "__row"})
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                code = np.frombuffer(batch.column("codes")[i].as_py(), np.int32)
+                known = batch.column("known")[i].values
+                ids = np.zeros(int(code.max()) + 1, np.int32)
+                ids[known.field("place").to_numpy() + 1] = known.field("id").to_numpy()
+                out = ids[code]
+                around = np.concatenate(([0], out, [0])).astype(np.int32)
+                out = np.where((around[:-2] > 0) | (around[2:] > 0), out, 0)
+                out = out[(out > 0) | np.concatenate(([True], out[:-1] > 0))]
+                yield pa.RecordBatch.from_arrays([batch.column("lang").slice(i, 1), pa.array([out.tobytes()], pa.binary())], ["lang", "codes"])
+
+    joined = encoded.join(lists, F.col("row") == F.col("__row")).select("lang", "codes", "known")
+    return joined.mapInArrow(scan, "lang string, codes binary")
 
 
 class Trie:
     """The prefixes of one language that a round grows, with what leads to them. Words are numbered from 1; on each level
     a node is a place in the sorted keys of that level, a key being the node above times the number of words plus the word."""
 
-    def __init__(self, phrases: list[tuple[int, list[bytes]]], whole: bool):
-        """``phrases``: number and words. ``whole``: all frequent phrases as long as the longest here are here."""
-        self.whole, self.words = whole, {}
-        coded = [(node, [self.words.setdefault(w, len(self.words) + 1) for w in words]) for node, words in phrases]
+    def __init__(self, phrases: list[tuple[int, list[int]]], whole: bool):
+        """``phrases``: number and words, by their ids. ``whole``: all frequent phrases as long as the longest here are here."""
+        self.whole, self.words = whole, np.array(sorted({w for _, words in phrases for w in words}), np.int32)
+        place = {w: i + 1 for i, w in enumerate(self.words.tolist())}
+        coded = [(node, [place[w] for w in words]) for node, words in phrases]
         self.width, self.levels = len(self.words) + 1, []
         above = {(): 0}
         for m in range(1, max(len(w) for _, w in coded) + 1):
@@ -106,8 +113,10 @@ class Trie:
                     grown[above[tuple(w)]] = node
             self.levels.append((order, grown))
 
-    def walk(self, numbers: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def walk(self, codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each length: the node that the words from each place on lead to (-1: none), and its number if it is to grow."""
+        numbers = np.minimum(np.searchsorted(self.words, codes), len(self.words) - 1).astype(np.int32)
+        numbers = np.where(self.words[numbers] == codes, numbers + 1, 0)
         at = np.where(numbers > 0, 0, -1).astype(np.int32)
         for m, (order, grown) in enumerate(self.levels, 1):
             nodes = np.full(len(numbers), -1, np.int32)
@@ -120,48 +129,40 @@ class Trie:
             at = nodes
 
 
-def _grown(encoded: DataFrame, tries: dict[str, Trie], frequent: np.ndarray) -> DataFrame:
-    """``(node, word, n, left, right)`` of each task: how often each node is followed by each word, and the number of the word
-    before and after if there is one only (frequent ones; null otherwise)."""
-    sent = encoded.sparkSession.sparkContext.broadcast((tries, frequent))
-
-    def alone(codes: np.ndarray, firsts: np.ndarray, hashes: np.ndarray, known: np.ndarray) -> pa.Array:
-        """Of each run of codes the number of its word, if it has but one and that is a frequent word."""
-        least, most = np.minimum.reduceat(codes, firsts), np.maximum.reduceat(codes, firsts)
-        return pa.array(hashes[least], mask=~((least == most) & known[least]))
-
-    def count_row(words: list[str], codes: np.ndarray, trie: Trie, bits: np.ndarray):
-        raw = [w.encode() for w in words]
-        hashes = np.fromiter(map(_number, raw), np.uint64, len(raw))
-        place = (hashes & np.uint64((1 << _BITS) - 1)).astype(np.int64)
-        known = np.concatenate(([False], (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1))
-        hashes = np.concatenate((np.zeros(1, np.uint64), hashes)).view(np.int64)
-        numbers = np.array([0, *(trie.words.get(w, 0) for w in raw)], np.int32)[codes]
-        around = np.concatenate((codes, np.zeros(6, np.int32)))  # so the last place has none after it, and the first none before
-        for m, nodes, grown in trie.walk(numbers):
-            at = np.flatnonzero((grown >= 0) & known[around[m : m + len(codes)]])
+def _grown(coded: DataFrame, tries: dict[str, Trie]) -> DataFrame:
+    """``(node, word, n, left)`` of each task: how often each node is followed by each word. With ``word`` 0: the word that stands before
+    all of a node's places (0 if there are several or none)."""
+    sent = coded.sparkSession.sparkContext.broadcast(tries)
+
+    def count_row(codes: np.ndarray, trie: Trie) -> Iterator[pa.RecordBatch]:
+        around = np.concatenate((codes, np.zeros(6, np.int32)))  # so that the last place has none after it, and the first none before
+        for m, nodes, grown in trie.walk(codes):
+            at = np.flatnonzero(grown >= 0)
+            if m > 1 and len(at):
+                node = grown[at]
+                order = np.argsort(node, kind="stable")
+                node, before = node[order], around[at[order] - 1]
+                firsts = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+                least = np.minimum.reduceat(before, firsts)
+                left = np.where(least == np.maximum.reduceat(before, firsts), least, 0)
+                yield row(node[firsts], np.zeros(len(firsts), np.int32), np.zeros(len(firsts), np.int32), left)
+            at = at[around[at + m] > 0]
             if trie.whole and m > 1:
                 at = at[nodes[np.minimum(at + 1, len(nodes) - 1)] >= 0]  # a frequent phrase has a frequent end
-            if not len(at):
-                continue
-            key = grown[at].astype(np.int64) * (len(words) + 1) + around[at + m]
-            order = np.argsort(key, kind="stable")
-            at, key = at[order], key[order]
-            firsts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            n = np.diff(np.concatenate((firsts, [len(key)])))
-            first = at[firsts]
-            follows = pa.array(words, pa.string()).take(pa.array(around[first + m] - 1))
-            sides = [alone(around[at + d], firsts, hashes, known) for d in (-1, m + 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(grown[first]), follows, pa.array(n, pa.int64()), *sides], ["node", "word", "n", "left", "right"])
+            if len(at):
+                key, n = np.unique(grown[at].astype(np.int64) << 32 | around[at + m], return_counts=True)
+                yield row((key >> 32).astype(np.int32), (key & 0xFFFFFFFF).astype(np.int32), n.astype(np.int32), np.zeros(len(key), np.int32))
+
+    def row(*cols: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in cols], ["node", "word", "n", "left"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries, bits = sent.value
         for batch in batches:
             for i in range(batch.num_rows):
-                if trie := tries.get(batch.column("lang")[i].as_py()):
-                    yield from count_row(batch.column("words")[i].as_py(), np.frombuffer(batch.column("codes")[i].as_py(), np.int32), trie, bits)
+                if trie := sent.value.get(batch.column("lang")[i].as_py()):
+                    yield from count_row(np.frombuffer(batch.column("codes")[i].as_py(), np.int32), trie)
 
-    return encoded.select("lang", "words", "codes").mapInArrow(scan, "node int, word string, n long, left long, right long")
+    return coded.mapInArrow(scan, "node int, word int, n int, left int")
 
 
 def _floor(a: Column, left: Column, right: Column, n: Column) -> Column:
@@ -181,7 +182,7 @@ def _scored(fresh: DataFrame, counted: DataFrame) -> DataFrame:
     known = cut.join(ends, ["lang", "end"], "left")
     r = F.coalesce("r", "a")
     lowest = F.min(F.struct(_floor(F.col("a"), F.col("l"), r, F.col("n")).alias("score"), "k", "l", r.alias("r"))).alias("low")
-    same = ["lang", "phrase", "m", "a", "n", "tied", "prefixes"]
+    same = ["lang", "phrase", "m", "a", "n", "prefixes"]
     found = known.groupBy(*same).agg(lowest, F.every(F.col("r").isNotNull()).alias("exact"))
     return found.select(*same, "exact", "low.score", "low.l", "low.r")
 
@@ -205,32 +206,34 @@ def collocations(docs: DataFrame, top: int = 2000, min_count: int = 100, longest
     A phrase is a candidate if it occurs ``min_count`` times within pieces. Cut after k words, into parts that occur l and r
     times, it scores ``floor(1000 * a * n / (l * r))``, n being the words of the language; its lowest cut counts. A candidate
     that lies in a longer candidate which occurs as often is dropped. As counts only fall with length, one word more decides
-    that: a phrase is dropped if the same word stands before all its occurrences, or after them. These neighbours are told
-    apart by 64-bit hashes; all that is counted is told apart by its words.
+    that: a phrase is dropped if the same word stands before all its occurrences, or after them.
 
     The search is best first. Growing a prefix cannot score over ``1000 * n / f(first word)``, as its end occurs at least as
-    often as the whole. A round grows the ``frontier`` best prefixes: they are sent to the tasks, which read the encoded
-    corpus once and count what follows them; more prefixes wait for the next round. Where the count of a phrase's end is not known
-    (the end starts with a word that is not worth growing), that end is grown too if the phrase may be among the first. The
-    search ends when no prefix of a language has a bound of at least the score of its last kept phrase, so ties are settled.
-    Counts are of all texts. What is sent to a task is bounded by ``frontier`` and a table of 2 MB.
+    often as the whole. A round grows the ``frontier`` best prefixes: they are sent to the tasks, which read the coded
+    corpus once and count what follows them and whether one word stands before them; more prefixes wait for the next round. A phrase
+    is settled once it has been grown and the counts of its ends are known. Where an end starts with a word that is not worth growing, it
+    is grown too if the phrase may be among the first. The search ends when no prefix of a language has a bound of at least
+    the score of its last kept phrase, so ties are settled. Counts are of all texts. What is sent to a task is bounded by
+    ``frontier``; nothing is told apart by hashes.
 
     Null and empty texts have no words; a null language is ``und``. Repeated documents count as often as they are there.
     Other columns play no part. An empty table gives an empty result. A text must fit one task's memory.
 
     Returns ``(lang, rank, phrase, a, l, r, n, score)``.
     """
-    encoded = stage(_encoded(docs, lang, text), "encoded")
+    encoded = stage(_encoded(docs, lang, text).withColumn("row", F.monotonically_increasing_id()), "encoded")
     sizes = encoded.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n"))
     words = encoded.select("lang", F.inline(F.arrays_zip("words", "counts"))).groupBy("lang", "words").agg(F.sum("counts").alias("a")).where(F.col("a") >= min_count)
-    units = words.join(sizes, "lang").select("lang", F.col("words").alias("phrase"), F.lit(1).alias("m"), "a", "n", F.lit(False).alias("tied"), F.array("a").alias("prefixes"))
-    units = stage(units, "units")
-    frequent = _frequent_words(units)
-    counted, grown = [units], []  # phrases whose count is known; prefixes that have been grown
+    part = F.pmod(F.xxhash64("lang", "words"), F.lit(_PARTS)).cast("int")
+    number = F.row_number().over(Window.partitionBy("part").orderBy("lang", "words")) * _PARTS + F.col("part")
+    units = words.join(sizes, "lang").withColumn("part", part).withColumn("id", number.cast("int"))
+    units = stage(units.select("lang", F.col("words").alias("phrase"), F.lit(1).alias("m"), "a", "n", F.array("a").alias("prefixes"), F.array("id").alias("ids"), "id"), "units")
+    coded = stage(_numbered(encoded, units), "coded")
+    unstage(encoded)
+    counted, grown = [units.drop("id")], []  # phrases whose count is known; prefixes that have been grown
     best, pending, whole = None, None, defaultdict(lambda: True)
     while True:
-        known = _union(counted)
-        waiting = known.where(F.col("m") < longest)
+        waiting = _union(counted).where(F.col("m") < longest)
         if grown:
             waiting = waiting.join(_union(grown).select("lang", "phrase"), ["lang", "phrase"], "left_anti")
         bound = _floor(F.lit(1), F.col("prefixes")[0], F.lit(1), F.col("n"))
@@ -243,38 +246,47 @@ def collocations(docs: DataFrame, top: int = 2000, min_count: int = 100, longest
             ends = open_.select("lang", F.explode(F.transform(F.sequence(F.lit(2), F.col("m")), lambda k: F.slice(split, k, F.col("m")))).alias("end"))
             starts = ends.select("lang", F.explode(F.transform(F.sequence(F.lit(1), F.size("end")), lambda k: F.array_join(F.slice("end", 1, k), " "))).alias("phrase")).distinct()
             picked = picked.unionByName(waiting.join(starts, ["lang", "phrase"], "left_semi").withColumns({"bound": bound, "wanted": F.lit(True)}))
-            picked = picked.groupBy("lang", "phrase", "m", "a", "n", "tied", "prefixes", "bound").agg(F.max("wanted").alias("wanted"))
+            picked = picked.groupBy("lang", "phrase", "m", "a", "n", "prefixes", "ids", "bound").agg(F.max("wanted").alias("wanted"))
         held = waiting.groupBy("lang").agg(F.count("*").alias("waiting"))
         chosen = stage(picked.orderBy(F.desc("wanted"), F.desc("bound"), "lang", "phrase").limit(frontier).join(held, "lang"), "chosen")
-        table = chosen.select("lang", "phrase", "m", "n", "prefixes", "waiting").toArrow()
+        table = chosen.toArrow()
         if not table.num_rows:
             break
-        nodes = docs.sparkSession.createDataFrame(table.append_column("node", pa.array(np.arange(table.num_rows), pa.int32())))
-        phrases, langs, waits = defaultdict(list), table["lang"].to_pylist(), {}
-        for node, (name, phrase, there) in enumerate(zip(langs, table["phrase"].to_pylist(), table["waiting"].to_pylist(), strict=True)):
-            phrases[name].append((node, phrase.encode().split(b" ")))
-            waits[name] = there
+        nodes = stage(docs.sparkSession.createDataFrame(table.append_column("node", pa.array(np.arange(table.num_rows), pa.int32()))), "nodes")
+        unstage(chosen)
+        phrases, langs = defaultdict(list), table["lang"].to_pylist()
+        for node, (name, ids) in enumerate(zip(langs, table["ids"].to_pylist(), strict=True)):
+            phrases[name].append((node, ids))
         here = Counter(langs)
-        for name, there in waits.items():
+        for name, there in zip(langs, table["waiting"].to_pylist(), strict=True):
             whole[name] = whole[name] and here[name] == there
-        tries = {name: Trie(mine, whole[name]) for name, mine in phrases.items()}
         for name in set(whole) - set(here):
             whole[name] = False
-        summed = _grown(encoded, tries, frequent).groupBy("node", "word").agg(
-            F.sum("n").alias("a"), *[((F.count(c) == F.count("*")) & F.min(c).eqNullSafe(F.max(c))).alias(c) for c in ("left", "right")]
-        ).where(F.col("a") >= min_count)
-        phrase, m = F.concat_ws(" ", "phrase", "word"), F.col("m") + 1
-        fresh = summed.join(nodes, "node").select("lang", phrase.alias("phrase"), m.alias("m"), "a", "n", ((m < longest) & (F.col("left") | F.col("right"))).alias("tied"), F.concat("prefixes", F.array("a")).alias("prefixes"))
+        found = _grown(coded, {name: Trie(mine, whole[name]) for name, mine in phrases.items()}).groupBy("node", "word")
+        found = stage(found.agg(F.sum("n").alias("a"), F.min("left").alias("least"), F.max("left").alias("most")).where((F.col("a") >= min_count) | (F.col("word") == 0)), "found")
+        children = found.where("word > 0").select("node", "word", F.col("a").alias("times"))
+        children = children.join(units.select(F.col("id").alias("word"), F.col("phrase").alias("last")), "word")
+        fresh = children.join(nodes, "node").select(
+            "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), (F.col("m") + 1).alias("m"), F.col("times").alias("a"), "n",
+            F.concat("prefixes", F.array("times")).alias("prefixes"), F.concat("ids", F.array("word")).alias("ids"),
+        )
         counted.append(stage(fresh, "phrases"))
-        grown.append(chosen)
-        open_ = counted[-1] if pending is None else counted[-1].unionByName(pending.select(counted[-1].columns))
-        scored = stage(_scored(open_, _union(counted)), "scored")
-        settled = scored.where("exact AND NOT tied").select("lang", "phrase", "a", "l", "r", "n", "score")
-        newest = stage(_first(settled if best is None else settled.unionByName(best.drop("rank")), top), "best")
+        after = found.where("word > 0").groupBy("node").agg(F.max("a").alias("longer"))
+        before = found.where("word = 0").select("node", ((F.col("least") == F.col("most")) & (F.col("most") > 0)).alias("one_before"))
+        tied = F.coalesce(F.col("longer") == F.col("a"), F.lit(False)) | F.coalesce("one_before", F.lit(False))
+        grown.append(stage(nodes.join(after, "node", "left").join(before, "node", "left").withColumn("tied", tied).select(*counted[0].columns, "tied"), "grown"))
+        for t in (found, nodes):
+            unstage(t)
+        settled = grown[-1].where("m > 1 AND NOT tied").drop("tied").unionByName(counted[-1].where(F.col("m") == longest)).drop("ids")
+        if pending is not None:
+            settled = settled.unionByName(pending.select(settled.columns))
+        scored = stage(_scored(settled, _union(counted)), "scored")
+        exact = scored.where("exact").select("lang", "phrase", "a", "l", "r", "n", "score")
+        newest = stage(_first(exact if best is None else exact.unionByName(best.drop("rank")), top), "best")
         if best is not None:
             unstage(best)
-        best, pending = newest, scored.where("NOT exact AND NOT tied")
-    for t in [chosen, encoded]:
+        best, pending = newest, scored.where("NOT exact")
+    for t in (chosen, coded):
         unstage(t)
     if best is None:
         return units.select("lang", F.lit(1).cast("long").alias("rank"), "phrase", "a", F.col("a").alias("l"), F.col("a").alias("r"), "n", F.col("a").alias("score")).where("false")

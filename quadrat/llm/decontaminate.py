@@ -173,8 +173,10 @@ def _joined(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
     return [{"start": s, "length": n} for s, n in runs]
 
 
-def _without(text: str, runs: list[dict[str, int]]) -> str:
+def _without(text: str | None, runs: list[dict[str, int]]) -> str | None:
     """``text`` without its words in ``runs``, each run from its first word's first to its last word's last letter."""
+    if not runs:
+        return text
     raw = text.encode()
     flat = np.frombuffer(raw.translate(_FOLD), np.uint8) != 32
     steps = np.diff(np.concatenate(([False], flat, [False])).astype(np.int8))
@@ -195,8 +197,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "spans",
     if remove == "documents":
         return found.where(F.size("hits") == 0).select("row.*")
     without = F.udf(_without, "string", useArrow=True)
-    cut = F.when(F.size("hits") == 0, F.col("text")).otherwise(without("text", "hits"))
-    return found.select(F.col("row").withField(f"`{text}`", cut).alias("row")).select("row.*")
+    return found.select(F.col("row").withField(f"`{text}`", without("text", "hits")).alias("row")).select("row.*")
 
 
 def audit(docs: DataFrame, benchmark: DataFrame, width: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", sent: int = SENT) -> DataFrame:
