@@ -56,7 +56,7 @@ class _Blocks:
         self.fits = all(self.sizes[m] * (8 * width + 100) <= SENT for m in self.short)
         if self.fits:
             self.labels = {m: coo.select(m).distinct().sort(m).toArrow()[m].combine_chunks() for m in self.short}
-            self.packed = cut(self._pack(coo))
+            self.packed = cut(self._pack(coo).coalesce(max(1, -(-self.cells // BLOCK))))
             self.tasks = max(1, self.packed.rdd.getNumPartitions())
 
     def _pack(self, coo: DataFrame) -> DataFrame:
