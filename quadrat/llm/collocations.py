@@ -192,11 +192,23 @@ def _first(rows: DataFrame, top: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
-def _union(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out
+def _picked(state: DataFrame, best: DataFrame | None, pending: DataFrame | None, top: int, longest: int, frontier: int) -> DataFrame:
+    """The ``frontier`` best prefixes to grow, with the number of those of their language that wait; first those that the ends of
+    pending phrases wait for."""
+    waiting = state.where((F.col("m") < longest) & ~F.col("grown")).drop("grown")
+    bound = _floor(F.lit(1), F.col("prefixes")[0], F.lit(1), F.col("n"))
+    picked = waiting.withColumns({"bound": bound, "wanted": F.lit(False)})
+    if best is not None:
+        bars = best.where(F.col("rank") == top).select("lang", F.col("score").alias("bar"))
+        picked = picked.join(bars, "lang", "left").where("bar IS NULL OR bound >= bar").drop("bar")
+    if pending is not None:
+        split = F.split("phrase", " ")
+        ends = pending.join(bars, "lang", "left").where("bar IS NULL OR score >= bar").select("lang", F.explode(F.transform(F.sequence(F.lit(2), F.col("m")), lambda k: F.slice(split, k, F.col("m")))).alias("end"))
+        starts = ends.select("lang", F.explode(F.transform(F.sequence(F.lit(1), F.size("end")), lambda k: F.array_join(F.slice("end", 1, k), " "))).alias("phrase")).distinct()
+        picked = picked.unionByName(waiting.join(starts, ["lang", "phrase"], "left_semi").withColumns({"bound": bound, "wanted": F.lit(True)}))
+        picked = picked.groupBy("lang", "phrase", "m", "a", "n", "prefixes", "ids", "bound").agg(F.max("wanted").alias("wanted"))
+    held = waiting.groupBy("lang").agg(F.count("*").alias("waiting"))
+    return picked.orderBy(F.desc("wanted"), F.desc("bound"), "lang", "phrase").limit(frontier).join(held, "lang").select("lang", "phrase", "m", "a", "n", "prefixes", "ids", "waiting")
 
 
 def collocations(docs: DataFrame, top: int = 2000, min_count: int = 100, longest: int = 5, text: str = "text", lang: str = "lang", frontier: int = FRONTIER) -> DataFrame:
@@ -230,25 +242,10 @@ def collocations(docs: DataFrame, top: int = 2000, min_count: int = 100, longest
     units = stage(units.select("lang", F.col("words").alias("phrase"), F.lit(1).alias("m"), "a", "n", F.array("a").alias("prefixes"), F.array("id").alias("ids"), "id"), "units")
     coded = stage(_numbered(encoded, units), "coded")
     unstage(encoded)
-    counted, grown = [units.drop("id")], []  # phrases whose count is known; prefixes that have been grown
+    state = stage(units.drop("id").withColumn("grown", F.lit(False)), "state")  # all phrases whose count is known
     best, pending, whole = None, None, defaultdict(lambda: True)
     while True:
-        waiting = _union(counted).where(F.col("m") < longest)
-        if grown:
-            waiting = waiting.join(_union(grown).select("lang", "phrase"), ["lang", "phrase"], "left_anti")
-        bound = _floor(F.lit(1), F.col("prefixes")[0], F.lit(1), F.col("n"))
-        picked = waiting.withColumns({"bound": bound, "wanted": F.lit(False)})
-        if best is not None:
-            bars = best.where(F.col("rank") == top).select("lang", F.col("score").alias("bar"))
-            picked = picked.join(bars, "lang", "left").where("bar IS NULL OR bound >= bar").drop("bar")
-            open_ = pending.join(bars, "lang", "left").where("bar IS NULL OR score >= bar")
-            split = F.split("phrase", " ")
-            ends = open_.select("lang", F.explode(F.transform(F.sequence(F.lit(2), F.col("m")), lambda k: F.slice(split, k, F.col("m")))).alias("end"))
-            starts = ends.select("lang", F.explode(F.transform(F.sequence(F.lit(1), F.size("end")), lambda k: F.array_join(F.slice("end", 1, k), " "))).alias("phrase")).distinct()
-            picked = picked.unionByName(waiting.join(starts, ["lang", "phrase"], "left_semi").withColumns({"bound": bound, "wanted": F.lit(True)}))
-            picked = picked.groupBy("lang", "phrase", "m", "a", "n", "prefixes", "ids", "bound").agg(F.max("wanted").alias("wanted"))
-        held = waiting.groupBy("lang").agg(F.count("*").alias("waiting"))
-        chosen = stage(picked.orderBy(F.desc("wanted"), F.desc("bound"), "lang", "phrase").limit(frontier).join(held, "lang"), "chosen")
+        chosen = stage(_picked(state, best, pending, top, longest, frontier), "chosen")
         table = chosen.toArrow()
         if not table.num_rows:
             break
@@ -263,30 +260,32 @@ def collocations(docs: DataFrame, top: int = 2000, min_count: int = 100, longest
         for name in set(whole) - set(here):
             whole[name] = False
         found = _grown(coded, {name: Trie(mine, whole[name]) for name, mine in phrases.items()}).groupBy("node", "word")
-        found = stage(found.agg(F.sum("n").alias("a"), F.min("left").alias("least"), F.max("left").alias("most")).where((F.col("a") >= min_count) | (F.col("word") == 0)), "found")
-        children = found.where("word > 0").select("node", "word", F.col("a").alias("times"))
-        children = children.join(units.select(F.col("id").alias("word"), F.col("phrase").alias("last")), "word")
-        fresh = children.join(nodes, "node").select(
+        found = stage(found.agg(F.sum("n").alias("times"), F.min("left").alias("least"), F.max("left").alias("most")).where((F.col("times") >= min_count) | (F.col("word") == 0)), "found")
+        del table, phrases, langs
+        children = found.where("word > 0").select("node", "word", "times").join(units.select(F.col("id").alias("word"), F.col("phrase").alias("last")), "word")
+        fresh = stage(children.join(nodes, "node").select(
             "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), (F.col("m") + 1).alias("m"), F.col("times").alias("a"), "n",
-            F.concat("prefixes", F.array("times")).alias("prefixes"), F.concat("ids", F.array("word")).alias("ids"),
-        )
-        counted.append(stage(fresh, "phrases"))
-        after = found.where("word > 0").groupBy("node").agg(F.max("a").alias("longer"))
-        before = found.where("word = 0").select("node", ((F.col("least") == F.col("most")) & (F.col("most") > 0)).alias("one_before"))
-        tied = F.coalesce(F.col("longer") == F.col("a"), F.lit(False)) | F.coalesce("one_before", F.lit(False))
-        grown.append(stage(nodes.join(after, "node", "left").join(before, "node", "left").withColumn("tied", tied).select(*counted[0].columns, "tied"), "grown"))
-        for t in (found, nodes):
-            unstage(t)
-        settled = grown[-1].where("m > 1 AND NOT tied").drop("tied").unionByName(counted[-1].where(F.col("m") == longest)).drop("ids")
+            F.concat("prefixes", F.array("times")).alias("prefixes"), F.concat("ids", F.array("word")).alias("ids"), F.lit(False).alias("grown"),
+        ), "fresh")
+        around = found.groupBy("node").agg(F.max(F.when(F.col("word") > 0, F.col("times"))).alias("longer"), F.max(F.when((F.col("word") == 0) & (F.col("least") == F.col("most")), F.col("most"))).alias("before"))
+        alone = F.coalesce(F.col("longer") == F.col("a"), F.lit(False)) | F.coalesce(F.col("before") > 0, F.lit(False))
+        settled = nodes.where("m > 1").join(around, "node", "left").where(~alone).select("lang", "phrase", "m", "a", "n", "prefixes")
+        settled = settled.unionByName(fresh.where(F.col("m") == longest).select(settled.columns))
         if pending is not None:
             settled = settled.unionByName(pending.select(settled.columns))
-        scored = stage(_scored(settled, _union(counted)), "scored")
+        marked = state.join(nodes.select("lang", "phrase", F.lit(True).alias("now")), ["lang", "phrase"], "left").withColumn("grown", F.col("grown") | F.coalesce("now", F.lit(False))).drop("now")
+        following = stage(marked.unionByName(fresh), "state")
+        scored = stage(_scored(settled, following), "scored")
+        for t in (found, nodes, state, fresh):
+            unstage(t)
+        state = following
         exact = scored.where("exact").select("lang", "phrase", "a", "l", "r", "n", "score")
         newest = stage(_first(exact if best is None else exact.unionByName(best.drop("rank")), top), "best")
         if best is not None:
             unstage(best)
         best, pending = newest, scored.where("NOT exact")
-    for t in (chosen, coded):
+        pending = pending if pending.limit(1).count() else None
+    for t in (chosen, coded, state):
         unstage(t)
     if best is None:
         return units.select("lang", F.lit(1).cast("long").alias("rank"), "phrase", "a", F.col("a").alias("l"), F.col("a").alias("r"), "n", F.col("a").alias("score")).where("false")
