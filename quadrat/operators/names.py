@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrat.functions.text import name_key, similarity, token_sorted
+from quadrat.functions.text import name_key, similarity, token_sorted, with_weighted_ratio
 
 
 def _first_grams(c: Column, threshold: float) -> Column:
@@ -49,6 +49,55 @@ def fuzzy_match(names: DataFrame, refs: DataFrame, threshold: float = 85.0, name
     return _top(scored, names.select(name).where(F.col(name).isNotNull()).distinct(), [name], ref, threshold)
 
 
+def _near(names: DataFrame, refs: DataFrame, name: str, ref: str, threshold: float) -> DataFrame:
+    """Pairs of distinct names that may reach the threshold by ``with_weighted_ratio``, none lost from 70 on.
+
+    Strings with a common subsequence of length L and an edit ratio of q are ``2 * L * (1 / q - 1)`` edits apart, and every edit breaks
+    one of the L - 1 places where two of its letters stand side by side. So they share a bigram if L is over
+    ``1 / (3 - 2 / q)``, and a name that does not has at most ``2 / q - 1`` times that length: a short one. A pair reaches
+    the threshold by an edit ratio of at least that, of the keys, their sorted words or a window of these; or it shares a
+    word. So candidates share a word or a bigram, or one of them is short, and these share a letter. A name of n letters
+    looks for fewer than all its bigrams, the rarest among the references first: as many as there may be unshared, and one.
+    """
+    q = threshold / 100.0
+    least = int(1 / (3 - 2 / q) + 1e-9)
+    short = int(least * (2 / q - 1) + 1e-9)
+
+    def keyed(df: DataFrame, col: str) -> DataFrame:
+        one = df.select(F.col(col).alias("s")).where(F.length(name_key(F.col(col))) > 0).distinct()
+        return one.select("s", F.explode(F.array_distinct(F.array(name_key(F.col("s")), token_sorted(F.col("s"))))).alias("key"))
+
+    def grams(df: DataFrame) -> DataFrame:
+        pieces = F.transform(F.sequence(F.lit(1), F.length("key") - 1), lambda i: F.substring("key", i, F.lit(2)))
+        return df.where(F.length("key") > 1).select("s", "key", F.explode(F.array_distinct(pieces)).alias("gram"))
+
+    def looked_for(df: DataFrame, counts: DataFrame) -> DataFrame:
+        n = F.length("key")
+        shared = F.greatest(F.ceil(n * q / (2 - q) * (3 - 2 / q) - 1 - 1e-9), F.lit(1))
+        order = Window.partitionBy("s", "key").orderBy(F.coalesce("times", F.lit(0)), "gram")
+        return grams(df).join(counts, "gram", "left").withColumn("place", F.row_number().over(order)).where(F.col("place") <= n - 1 - shared + 1).select("s", "gram").distinct()
+
+    left, right = keyed(names, name), keyed(refs, ref)
+    counts = grams(right).groupBy("gram").agg(F.count("*").alias("times"))
+    all_left, all_right = (grams(t).select("s", "gram").distinct() for t in (left, right))
+    words = [t.select("s", F.explode(F.split("key", " ")).alias("gram")).distinct() for t in (left, right)]
+    letters = [t.select("s", F.explode(F.filter(F.split("key", ""), lambda c: c != "")).alias("gram"), (F.length("key") <= short).alias("short")).distinct() for t in (left, right)]
+    few = [t.where("short").select("s", "gram") for t in letters]
+    sides = [(looked_for(left, counts), all_right), (all_left, looked_for(right, counts)), words, (few[0], letters[1].select("s", "gram")), (letters[0].select("s", "gram"), few[1])]
+    met = [a.select(F.col("s").alias(name), "gram").join(b.select(F.col("s").alias(ref), "gram"), "gram").select(name, ref) for a, b in sides]
+    return reduce(DataFrame.union, met).distinct()
+
+
+def fuzzy_match_weighted(names: DataFrame, refs: DataFrame, threshold: float = 85.0, name: str = "name", ref: str = "ref") -> DataFrame:
+    """As ``fuzzy_match``, by ``with_weighted_ratio``: the whole, its sorted words, its set of words, and where one name is much
+    longer the best window of it. Candidates lose no pair that reaches the threshold, which is 70 at least (``ValueError``
+    below). Null names are left out; names without letters have no match."""
+    if threshold < 70:
+        raise ValueError("below 70 no choice of candidates is known to lose none")
+    scored = with_weighted_ratio(_near(names, refs, name, ref, threshold), name, ref)
+    return _top(scored, names.select(name).where(F.col(name).isNotNull()).distinct(), [name], ref, threshold)
+
+
 def fuzzy_match_blocked(pairs: DataFrame, refs: DataFrame, threshold: float = 80.0, block: str = "state", name: str = "district", ref: str = "ref", subsets: bool = False) -> DataFrame:
     """As ``fuzzy_match``, against all references of the same block; names of a block without references are matched
     with the references of every block. Adds ``source`` (block or all) and ``status``."""
