@@ -123,46 +123,61 @@ def moran_slope(values: DataFrame, w: DataFrame, key: str = "region", col: str =
     return spatial_lag(values, w, key, col).agg(F.regr_slope("lag", "z").alias("slope"), F.regr_intercept("lag", "z").alias("intercept"))
 
 
-def _permuted(values: DataFrame, w: DataFrame, n_perms: int, seed: int, key: str, col: str) -> DataFrame:
-    """``(perm, key, z, lag)`` with values dealt anew to the nodes; permutation 0 is the data itself.
-
-    Permutations are partitions of their own, ordered by a hash, so a second run gives the same."""
-    z = standardised(values, col).select(key, "z")
-    perms = z.sparkSession.range(n_perms + 1).select(F.col("id").cast("int").alias("perm"))
-    grid = z.crossJoin(perms)  # nodes by permutations is the size asked for
-    by_name, by_hash = Window.partitionBy("perm").orderBy(key), Window.partitionBy("perm").orderBy(F.when(F.col("perm") == 0, F.lit(0)).otherwise(F.xxhash64("perm", key, F.lit(seed))), key)
-    slots = grid.withColumns({"slot": F.row_number().over(by_name), "from_slot": F.row_number().over(by_hash)})
-    dealt = slots.select("perm", key, "slot").join(slots.select("perm", F.col("from_slot").alias("slot"), "z"), ["perm", "slot"]).select("perm", key, "z")
-    lag = row_normalise(w).join(dealt.select("perm", F.col(key).alias("dst"), "z"), "dst").groupBy("perm", F.col("src").alias(key)).agg(F.sum(F.col("w") * F.col("z")).alias("lag"))
-    return dealt.join(lag, ["perm", key], "left").na.fill(0.0, subset=["lag"])
+#: Permutations that a node holds side by side.
+SIDE = 50
+
+
+def _permuted(values: DataFrame, cols: Sequence[str], w: DataFrame, n_perms: int, seed: int, key: str) -> DataFrame:
+    """``(feature, batch, key, z array, lag array)``: standardised values dealt anew to the nodes, and their lags; place i of batch
+    b is permutation ``SIDE * b + i``, and permutation 0 is the data itself.
+
+    Permutation p gives the node that is n-th by name the values of the node that is n-th by the MD5 of ``seed:p:name``,
+    so any engine can repeat it. All features move together. A node holds the values of a batch side by side, as
+    columns: edges are joined once for each batch and feature, and their sums are combined before they are
+    shuffled. Null values count as the mean. Sorting takes a permutation of the nodes in one task, which may spill.
+    """
+    moments = values.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(f"f{i}") for i, c in enumerate(cols)])  # one row
+    z = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.coalesce(F.try_divide(F.col(c).cast("double") - F.col(f"f{i}.m"), f"f{i}.s"), F.lit(0.0)).alias("z")) for i, c in enumerate(cols)])).alias("x")
+    long = cut(values.crossJoin(moments).select(F.col(key).alias("from"), z).select("from", "x.*"))
+    names = long.select("from").distinct().withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perms))))
+    draw = F.when(F.col("perm") > 0, F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("perm").cast("string"), F.col("from").cast("string")).cast("binary")))
+    slots = names.withColumn("slot", F.row_number().over(Window.partitionBy("perm").orderBy(draw, "from")))
+    order = names.where("perm = 0").select(F.col("from").alias(key), F.row_number().over(Window.partitionBy("perm").orderBy("from")).alias("slot"))
+    dealt = slots.join(order, "slot").join(long, "from")
+    place = F.col("perm") % SIDE
+    wide = cut(dealt.groupBy("feature", F.floor(F.col("perm") / SIDE).cast("int").alias("batch"), key).agg(*[F.max(F.when(place == i, F.col("z"))).alias(f"z{i}") for i in range(SIDE)]))
+    lag = row_normalise(w).join(wide.withColumnRenamed(key, "dst"), "dst").groupBy("feature", "batch", F.col("src").alias(key)).agg(*[F.sum(F.col("w") * F.col(f"z{i}")).alias(f"l{i}") for i in range(SIDE)])
+    both = wide.join(lag, ["feature", "batch", key], "left")
+    return both.select("feature", "batch", key, F.array(*[f"z{i}" for i in range(SIDE)]).alias("z"), F.array(*[F.when(F.col(f"z{i}").isNotNull(), F.coalesce(f"l{i}", F.lit(0.0))) for i in range(SIDE)]).alias("lag"))
 
 
-def morans_permutation(values: DataFrame, w: DataFrame, n_perms: int = 999, seed: int = 42, key: str = "region", col: str = "v") -> DataFrame:
-    """I, its expectation, z-score against the permutations and two-sided pseudo p (share with at least the size)."""
-    each = _permuted(values, w, n_perms, seed, key, col).groupBy("perm").agg(F.coalesce(F.try_divide(F.sum(F.col("z") * F.col("lag")), F.sum(F.col("z") * F.col("z"))), F.lit(0.0)).alias("i"), F.count("*").alias("n"))
-    seen = each.where("perm = 0").select(F.col("i").alias("i0"))
-    rest = each.where("perm > 0").crossJoin(seen)  # one row
-    return rest.groupBy(F.col("i0").alias("i")).agg(
-        F.try_divide(F.lit(-1.0), F.max("n") - 1.0).alias("expected"),
-        F.coalesce(F.try_divide(F.max("i0") - F.avg("i"), F.stddev_pop("i")), F.lit(0.0)).alias("z_score"),
-        F.avg((F.abs("i") >= F.abs("i0")).cast("double")).alias("p"),
-    )
+def moran_sweep(values: DataFrame, cols: Sequence[str], w: DataFrame, n_perms: int = 499, seed: int = 42, key: str = "region") -> DataFrame:
+    """For each column I, its expectation, z-score against the permutations, two-sided pseudo p (share of permutations whose size is
+    at least that of I, to 1e-12) and stars, all columns in one job. A column without spread has I 0 and p 1."""
+    rows = _permuted(values, cols, w, n_perms, seed, key)
+    sums = rows.groupBy("feature", "batch").agg(F.count("*").alias("n"), F.array(*[F.coalesce(F.try_divide(F.sum(F.col("z")[i] * F.col("lag")[i]), F.sum(F.col("z")[i] * F.col("z")[i])), F.lit(0.0)) for i in range(SIDE)]).alias("i"))
+    each = sums.select("feature", "n", "batch", F.posexplode("i").alias("place", "i")).select("feature", "n", (F.col("batch") * SIDE + F.col("place")).alias("perm"), "i").where(F.col("perm") <= n_perms)
+    own = F.max(F.when(F.col("perm") == 0, F.col("i"))).over(Window.partitionBy("feature"))
+    tested = each.withColumn("own", own).where("perm > 0").groupBy("feature").agg(
+        F.max("own").alias("i"), F.try_divide(F.lit(-1.0), F.max("n") - 1.0).alias("expected"),
+        F.coalesce(F.try_divide(F.max("own") - F.avg("i"), F.stddev_pop("i")), F.lit(0.0)).alias("z_score"),
+        F.avg((F.abs("i") >= F.abs("own") - 1e-12).cast("double")).alias("p"),
+    )
+    return tested.withColumn("stars", F.when(F.col("p") < 0.001, "***").when(F.col("p") < 0.01, "**").when(F.col("p") < 0.05, "*").otherwise(""))
 
 
-def moran_sweep(values: DataFrame, cols: Sequence[str], w: DataFrame, n_perms: int = 499, seed: int = 42, key: str = "region") -> DataFrame:
-    """The permutation test for each column, with significance stars."""
-    out = None
-    for c in cols:
-        one = morans_permutation(values.select(key, F.col(c).cast("double").alias("v")), w, n_perms, seed, key).withColumn("feature", F.lit(c))
-        out = one if out is None else out.union(one)
-    return out.withColumn("stars", F.when(F.col("p") < 0.001, "***").when(F.col("p") < 0.01, "**").when(F.col("p") < 0.05, "*").otherwise(""))
+def morans_permutation(values: DataFrame, w: DataFrame, n_perms: int = 999, seed: int = 42, key: str = "region", col: str = "v") -> DataFrame:
+    """I, its expectation, z-score against the permutations and two-sided pseudo p; see ``moran_sweep``."""
+    return moran_sweep(values, [col], w, n_perms, seed, key).drop("feature", "stars")
 
 
 def lisa(values: DataFrame, w: DataFrame, p: float = 0.05, n_perms: int = 999, seed: int = 42, key: str = "region", col: str = "v") -> DataFrame:
     """Local I of each node, pseudo p, and class: HH, LL, HL, LH, or NS where p is above the level."""
-    rows = _permuted(values, w, n_perms, seed, key, col).withColumn("local", F.col("z") * F.col("lag"))
-    seen = rows.where("perm = 0").select(key, "z", "lag", F.col("local").alias("local_i"))
-    share = rows.where("perm > 0").join(seen.select(key, "local_i"), key).groupBy(key).agg(F.avg((F.abs("local") >= F.abs("local_i")).cast("double")).alias("p"))
+    rows = cut(_permuted(values, [col], w, n_perms, seed, key))
+    local = F.transform(F.arrays_zip("z", "lag"), lambda x: x["z"] * x["lag"])
+    seen = rows.where("batch = 0").select(key, F.col("z")[0].alias("z"), F.col("lag")[0].alias("lag"), (F.col("z")[0] * F.col("lag")[0]).alias("local_i"))
+    tried = rows.select(key, F.when(F.col("batch") == 0, F.slice(local, 2, SIDE)).otherwise(local).alias("local")).join(seen.select(key, "local_i"), key)
+    share = tried.groupBy(key).agg((F.sum(F.size(F.filter("local", lambda x: F.abs(x) >= F.abs("local_i") - 1e-12))) / float(n_perms)).alias("p"))
     return lisa_classes(seen.join(share, key), p)
 
 

@@ -390,14 +390,44 @@ def moran_slope(s, d):
     return R(graph.moran_slope(_values(s, d), geo.touch_edges(grid(s, d))))
 
 
-@_query()
+def _tests(values: str, n_perms: int, where: str = "") -> str:
+    """CTEs ``lags(feature, perm, region, z, lag)`` from ``values(feature, region, v)`` and the touching cells."""
+    return f"""{values}, vz AS (SELECT feature, region, coalesce((v - avg(v) OVER f) / nullif(stddev_pop(v) OVER f, 0), 0) AS z FROM vals WINDOW f AS (PARTITION BY feature)),
+ names AS (SELECT region, row_number() OVER (ORDER BY region) AS slot FROM (SELECT DISTINCT region FROM vals)),
+ slots AS (SELECT perm, region, row_number() OVER (PARTITION BY perm ORDER BY CASE WHEN perm > 0 THEN md5('42:' || perm || ':' || region) END, region) AS slot FROM names, (SELECT unnest(range(0, {n_perms} + 1)) AS perm)),
+ dealt AS (SELECT feature, perm, n.region, z FROM slots s JOIN names n USING (slot) JOIN vz ON vz.region = s.region), deg AS (SELECT src, sum(w) AS g FROM touch GROUP BY src),
+ lag AS (SELECT feature, perm, t.src AS region, sum(w / g * z) AS lag FROM touch t JOIN deg USING (src) JOIN dealt ON dealt.region = t.dst GROUP BY ALL),
+ lags AS (SELECT feature, perm, region, z, coalesce(lag, 0) AS lag FROM dealt LEFT JOIN lag USING (feature, perm, region)),
+ each AS (SELECT feature, perm, coalesce(sum(z * lag) / nullif(sum(z * z), 0), 0) AS i, count(*) AS n FROM lags GROUP BY ALL), own AS (SELECT feature, i AS own FROM each WHERE perm = 0),
+ tested AS (SELECT feature, own AS i, -1.0::DOUBLE / (max(n) - 1) AS expected, coalesce((own - avg(i)) / nullif(stddev_pop(i), 0), 0) AS z_score, avg(CASE WHEN abs(i) >= abs(own) - 1e-12 THEN 1.0::DOUBLE ELSE 0 END) AS p FROM each JOIN own USING (feature) WHERE perm > 0 GROUP BY feature, own),
+ locals AS (SELECT region, z, lag, z * lag AS local_i FROM lags WHERE perm = 0), shares AS (SELECT region, avg(CASE WHEN abs(l.z * l.lag) >= abs(local_i) - 1e-12 THEN 1.0::DOUBLE ELSE 0 END) AS p FROM lags l JOIN locals USING (region) WHERE perm > 0 GROUP BY region),
+ lisa AS (SELECT region, z, lag, local_i, p, CASE WHEN p > 0.05 THEN 'NS' WHEN z > 0 AND lag > 0 THEN 'HH' WHEN z < 0 AND lag < 0 THEN 'LL' WHEN z > 0 AND lag < 0 THEN 'HL' ELSE 'LH' END AS class FROM locals JOIN shares USING (region))"""
+
+
+_ONE = f"{_F}, {GRID}, {TOUCH}, vals AS (SELECT 'v' AS feature, district AS region, CAST(sum(enrol_total) AS DOUBLE) AS v FROM e GROUP BY ALL)"
+
+
+@_query(_tests(_ONE, 999) + " SELECT round(i, 6) AS i, round(expected, 6) AS expected, round(z_score, 6) AS z_score, round(p, 6) AS p FROM tested")
 def moran_permutation_test(s, d):
-    return graph.morans_permutation(_values(s, d), geo.touch_edges(grid(s, d)))
+    return R(graph.morans_permutation(_values(s, d), geo.touch_edges(grid(s, d))))
 
 
-@_query()
+@_query(_tests(_ONE, 999) + " SELECT region, round(z, 6) AS z, round(lag, 6) AS lag, round(local_i, 6) AS local_i, round(p, 6) AS p, class FROM lisa")
 def lisa_clusters(s, d):
-    return graph.lisa(_values(s, d), geo.touch_edges(grid(s, d)))
+    return R(graph.lisa(_values(s, d), geo.touch_edges(grid(s, d))))
+
+
+@_query(_tests(_ONE, 999) + " SELECT lisa.region, round(z, 6) AS z, round(lag, 6) AS lag, round(local_i, 6) AS local_i, round(p, 6) AS p, class, v FROM lisa JOIN vals ON vals.region = lisa.region WHERE class <> 'NS'")
+def lisa_regions(s, d):
+    """The regions of a significant class with their totals."""
+    values = cut(_values(s, d))
+    return R(graph.lisa_table(graph.lisa(values, geo.touch_edges(grid(s, d))), values))
+
+
+@_query(_tests(f"{_PROFILE}, {GRID}, {TOUCH}, vals AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, district AS region, {c}::DOUBLE AS v FROM profile" for c in _PCOLS) + ")", 499) + " SELECT feature, round(i, 6) AS i, round(expected, 6) AS expected, round(z_score, 6) AS z_score, round(p, 6) AS p, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS stars FROM tested")
+def moran_feature_sweep(s, d):
+    """Every feature of the region profiles, tested in one job."""
+    return R(graph.moran_sweep(cut(_profile(s, d).withColumnRenamed("district", "region")), _PCOLS, geo.touch_edges(grid(s, d)), 499))
 
 
 @_query(_PROFILE + " SELECT district, " + ", ".join(f"round(({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0), 6) AS {c}" for c in _PCOLS) + " FROM profile")

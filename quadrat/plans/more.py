@@ -168,10 +168,3 @@ def surrogate_ids(s, d):
 def sampled_districts(s, d):
     """A repeatable sample of districts; which ones depends on a hash that SQL does not have."""
     return reports.sample_keys(enrol(s, d), "district", 10)
-
-
-@query()
-def lisa_regions(s, d):
-    """Significant regions with their totals."""
-    values = _enrol(s, d).groupBy(F.col("district").alias("region")).agg(F.sum("enrol_total").cast("double").alias("v"))
-    return graph.lisa_table(graph.lisa(values, geo.touch_edges(grid(s, d))), values)
