@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quadrat.llm.store import stage, unstage
 
-#: At most this many prefixes are sent to the tasks in one round; the others wait for the next.
+#: At most this many prefixes are sent to the tasks in one round, and words of the vocabulary; the others wait for the next.
 FRONTIER = 1 << 18
 #: Words of at most this many places are held by a task at once.
 _PLACES = 1 << 21
@@ -69,27 +69,48 @@ def _encoded(docs: DataFrame, lang: str, text: str) -> DataFrame:
     return named.mapInArrow(scan, "lang string, words array<string>, counts array<bigint>, codes binary")
 
 
-def _numbered(encoded: DataFrame, units: DataFrame) -> DataFrame:
-    """``(lang, codes)``: the same texts in the numbers of ``units``. Other words and the ends of pieces are 0, several together one;
-    a word between two of them is in no phrase and goes."""
+def _recoded(code: np.ndarray, ids: np.ndarray) -> bytes:
+    """``code`` in other numbers; 0 several times together is one, and so is a word between two of them, which is in no phrase."""
+    out = ids[code]
+    around = np.concatenate(([0], out, [0])).astype(np.int32)
+    out = np.where((around[:-2] > 0) | (around[2:] > 0), out, 0)
+    return out[(out > 0) | np.concatenate(([True], out[:-1] > 0))].tobytes()
+
+
+def _numbered(encoded: DataFrame, units: DataFrame, sent: int) -> DataFrame:
+    """``(lang, codes)``: the same texts in the numbers of ``units``; other words and the ends of pieces are 0.
+
+    Up to ``sent`` words of ``units`` are sent to the tasks; of more, each row gets those of its own words by a join."""
+
+    def out(batch: pa.RecordBatch, i: int, ids: np.ndarray) -> pa.RecordBatch:
+        code = np.frombuffer(batch.column("codes")[i].as_py(), np.int32)
+        return pa.RecordBatch.from_arrays([batch.column("lang").slice(i, 1), pa.array([_recoded(code, ids)], pa.binary())], ["lang", "codes"])
+
+    if units.limit(sent + 1).count() <= sent:
+        book = defaultdict(dict)
+        for lang, word, number in zip(*units.select("lang", "phrase", "id").toArrow().to_pydict().values(), strict=True):
+            book[lang][word] = number
+        known = encoded.sparkSession.sparkContext.broadcast(dict(book))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    mine = known.value.get(batch.column("lang")[i].as_py(), {})
+                    yield out(batch, i, np.array([0, *(mine.get(w, 0) for w in batch.column("words")[i].as_py())], np.int32))
+
+        return encoded.select("lang", "words", "codes").mapInArrow(scan, "lang string, codes binary")
+
     entries = encoded.select("row", "lang", F.posexplode("words").alias("place", "phrase")).join(units.select("lang", "phrase", "id"), ["lang", "phrase"])
     lists = entries.groupBy("row").agg(F.collect_list(F.struct("place", "id")).alias("known")).withColumnsRenamed({"row": "__row"})
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                code = np.frombuffer(batch.column("codes")[i].as_py(), np.int32)
-                known = batch.column("known")[i].values
-                ids = np.zeros(int(code.max()) + 1, np.int32)
+                known, ids = batch.column("known")[i].values, np.zeros(batch.column("n")[i].as_py() + 1, np.int32)
                 ids[known.field("place").to_numpy() + 1] = known.field("id").to_numpy()
-                out = ids[code]
-                around = np.concatenate(([0], out, [0])).astype(np.int32)
-                out = np.where((around[:-2] > 0) | (around[2:] > 0), out, 0)
-                out = out[(out > 0) | np.concatenate(([True], out[:-1] > 0))]
-                yield pa.RecordBatch.from_arrays([batch.column("lang").slice(i, 1), pa.array([out.tobytes()], pa.binary())], ["lang", "codes"])
+                yield out(batch, i, ids)
 
-    joined = encoded.join(lists, F.col("row") == F.col("__row")).select("lang", "codes", "known")
-    return joined.mapInArrow(scan, "lang string, codes binary")
+    return encoded.join(lists, F.col("row") == F.col("__row")).select("lang", "codes", F.size("words").alias("n"), "known").mapInArrow(scan_joined, "lang string, codes binary")
 
 
 class Trie:
@@ -240,7 +261,7 @@ def collocations(docs: DataFrame, top: int = 2000, min_count: int = 100, longest
     number = F.row_number().over(Window.partitionBy("part").orderBy("lang", "words")) * _PARTS + F.col("part")
     units = words.join(sizes, "lang").withColumn("part", part).withColumn("id", number.cast("int"))
     units = stage(units.select("lang", F.col("words").alias("phrase"), F.lit(1).alias("m"), "a", "n", F.array("a").alias("prefixes"), F.array("id").alias("ids"), "id"), "units")
-    coded = stage(_numbered(encoded, units), "coded")
+    coded = stage(_numbered(encoded, units, frontier), "coded")
     unstage(encoded)
     state = stage(units.drop("id").withColumn("grown", F.lit(False)), "state")  # all phrases whose count is known
     best, pending, whole = None, None, defaultdict(lambda: True)
