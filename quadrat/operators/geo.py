@@ -14,17 +14,58 @@ def segments(boundaries: DataFrame, digits: int = 7) -> DataFrame:
     return ends.where("x2 IS NOT NULL").select("region", "part", "ring", F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
 
+def noded(boundaries: DataFrame, digits: int = 7) -> DataFrame:
+    """The sides of all rings, cut at every vertex of any ring that lies on them: ``(region, part, ring, a, b)``.
+
+    After that, rings that meet do so in whole pieces and in ends of pieces, also where one side ends in the middle of
+    another or covers a part of it. Sides are dealt to the grid cells that they pass, vertices to their own cell, and
+    only those of one cell are compared. A vertex is on a side if it is within the rounding of it. Sides that cross
+    are not cut: regions that overlap do not touch there. Sides of no length go.
+    """
+    sides = segments(boundaries, digits).where("a <> b")
+    size = sides.agg(F.avg(F.greatest(F.abs(F.col("b.x") - F.col("a.x")), F.abs(F.col("b.y") - F.col("a.y"))))).first()[0]
+    cell, near = float(size or 1.0), 10.0**-digits
+    ax, ay, bx, by = F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y")
+    columns = sides.withColumn("cx", F.explode(F.sequence(F.floor((ax - near) / cell), F.floor((bx + near) / cell))))  # a is the left end
+    # what of the side lies in the column of cells
+    slope = F.try_divide(by - ay, bx - ax)
+    height = lambda x: F.coalesce(ay + slope * (F.least(F.greatest(x, ax), bx) - ax), ay)
+    low, high = height(F.col("cx") * cell - near), F.when(bx - ax <= near, by).otherwise(height((F.col("cx") + 1) * cell + near))
+    first, last = (F.floor((f(low, high) + d) / cell) for f, d in ((F.least, -near), (F.greatest, near)))
+    celled = columns.withColumn("cy", F.explode(F.sequence(first, last)))
+    points = sides.select(F.explode(F.array("a", "b")).alias("p")).distinct().withColumns({"cx": F.floor(F.col("p.x") / cell), "cy": F.floor(F.col("p.y") / cell)})
+    along = ((F.col("p.x") - ax) * (bx - ax) + (F.col("p.y") - ay) * (by - ay)) / (F.pow(bx - ax, 2) + F.pow(by - ay, 2))
+    off = F.hypot(F.col("p.x") - ax - F.col("t") * (bx - ax), F.col("p.y") - ay - F.col("t") * (by - ay))
+    on = celled.join(points, ["cx", "cy"]).where("p <> a AND p <> b").withColumn("t", along).where((F.col("t") > 0) & (F.col("t") < 1) & (off <= near))
+    cuts = on.groupBy("a", "b").agg(F.sort_array(F.collect_set(F.struct("t", "p"))).alias("cuts"))  # the vertices on one side
+    stops = F.concat(F.array("a"), F.transform(F.coalesce("cuts", F.array()), lambda c: c["p"]), F.array("b"))
+    whole = sides.join(cuts, ["a", "b"], "left").withColumn("stops", stops)
+    pieces = F.explode(F.arrays_zip(F.slice("stops", F.lit(1), F.size("stops") - 1).alias("a"), F.slice("stops", F.lit(2), F.size("stops") - 1).alias("b")))
+    return whole.select("region", "part", "ring", pieces.alias("s")).select("region", "part", "ring", F.least("s.a", "s.b").alias("a"), F.greatest("s.a", "s.b").alias("b"))
+
+
 def dissolve(boundaries: DataFrame, digits: int = 7) -> DataFrame:
-    """The outline of each region: the sides that only one of its parts has."""
-    return segments(boundaries, digits).groupBy("region", "a", "b").agg(F.count("*").alias("n")).where("n = 1").select("region", "a.x", "a.y", F.col("b.x").alias("x2"), F.col("b.y").alias("y2"))
+    """The outline of each region, in pieces: those that an odd number of its rings have. Parts may meet along parts of
+    their sides."""
+    return noded(boundaries, digits).groupBy("region", "a", "b").agg(F.count("*").alias("n")).where("n % 2 = 1").select("region", "a.x", "a.y", F.col("b.x").alias("x2"), F.col("b.y").alias("y2"))
+
+
+def contacts(boundaries: DataFrame, digits: int = 7) -> DataFrame:
+    """Pairs of regions whose boundaries meet, both directions: ``(src, dst, length)`` of the border that they share, 0 where they meet
+    in points alone."""
+    pieces = noded(boundaries, digits).select("region", "a", "b").distinct()
+    other = pieces.withColumnRenamed("region", "other")
+    length = F.hypot(F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y"))
+    along = pieces.join(other, ["a", "b"]).where("region < other").select("region", "other", length.alias("length"))
+    ends = pieces.select("region", F.explode(F.array("a", "b")).alias("p")).distinct()
+    at = ends.join(ends.withColumnRenamed("region", "other"), "p").where("region < other").select("region", "other", F.lit(0.0).alias("length"))
+    pairs = along.unionByName(at).groupBy("region", "other").agg(F.sum("length").alias("length"))
+    return mirrored(pairs.select(F.col("region").alias("src"), F.col("other").alias("dst"), F.col("length").alias("w"))).withColumnRenamed("w", "length")
 
 
 def touch_edges(boundaries: DataFrame, digits: int = 7) -> DataFrame:
-    """Pairs of regions that share a vertex, both directions, weight 1. Exact where neighbours share vertices."""
-    points = boundaries.select("region", F.round("x", digits).alias("x"), F.round("y", digits).alias("y")).distinct()
-    other = points.withColumnRenamed("region", "other")
-    pairs = points.join(other, ["x", "y"]).where("region < other").select("region", "other").distinct()
-    return mirrored(pairs.select(F.col("region").alias("src"), F.col("other").alias("dst"), F.lit(1.0).alias("w")))
+    """Pairs of regions whose boundaries meet, in a border or in a point, both directions, weight 1."""
+    return contacts(boundaries, digits).select("src", "dst", F.lit(1.0).alias("w"))
 
 
 def mirrored(edges: DataFrame) -> DataFrame:
