@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -48,19 +49,82 @@ def pca2(df: DataFrame, cols: Sequence[str], key: str) -> tuple[DataFrame, list[
     return model.transform(vectors).select(key, pc[0].alias("pc1"), pc[1].alias("pc2")), list(model.explainedVariance)
 
 
-def kmeans_sweep(df: DataFrame, cols: Sequence[str], key: str, ks: Sequence[int] = range(2, 11), seed: int = 42, n_init: int = 3) -> tuple[DataFrame, DataFrame]:
-    """``(k, inertia, silhouette)`` of the best of ``n_init`` runs for each k, and the labels of the best k."""
+def kmeans_sweep(df: DataFrame, cols: Sequence[str], key: str, ks: Sequence[int] = range(2, 11), seed: int = 42, n_init: int = 10) -> tuple[DataFrame, DataFrame]:
+    """``(k, inertia, silhouette)`` of the best of ``n_init`` runs for each k, and the labels of the k whose Euclidean
+    silhouette is best (the smallest of several). Distances of all rows are summed once, for all k together."""
     vectors = cut(_vectors(df, cols).select(key, "features"))
-    scores, models = [], {}
+    inertia, labelled = {}, vectors
     for k in ks:
-        runs = [KMeans(k=k, seed=seed + i).fit(vectors) for i in range(n_init)]
-        best = min(runs, key=lambda m: m.summary.trainingCost)
-        shown = ClusteringEvaluator().evaluate(best.transform(vectors))
-        scores.append((k, float(best.summary.trainingCost), float(shown)))
-        models[k] = best
-    top = max(scores, key=lambda s: s[2])[0]
-    labels = models[top].transform(vectors).select(key, F.col("prediction").alias("label"))
-    return df.sparkSession.createDataFrame(scores, "k int, inertia double, silhouette double"), labels
+        best = min((KMeans(k=k, seed=seed + i).fit(vectors) for i in range(n_init)), key=lambda m: m.summary.trainingCost)
+        inertia[k] = float(best.summary.trainingCost)
+        labelled = best.setPredictionCol(f"__k{k}").transform(labelled)
+    labelled = cut(labelled.withColumn("features", vector_to_array("features")))
+    shown = {r.labels: r.silhouette for r in silhouettes(labelled, "features", [f"__k{k}" for k in ks]).collect()}
+    scores = [(k, inertia[k], shown[f"__k{k}"]) for k in ks]
+    top = max(scores, key=lambda s: (s[2], -s[0]))[0]
+    return df.sparkSession.createDataFrame(scores, "k int, inertia double, silhouette double"), labelled.select(key, F.col(f"__k{top}").alias("label"))
+
+
+#: Rows of a block whose distances to another block are measured at once.
+ROWS = 1024
+
+
+def silhouettes(df: DataFrame, vector: str, labels: Sequence[str]) -> DataFrame:
+    """The mean Euclidean silhouette under each of several label columns: ``(labels, silhouette, rows, clusters)``.
+
+    Every two rows of an aggregated table are measured, by definition, but only once for all labellings: rows are packed into
+    blocks, each task takes two blocks as matrices and adds up the distances of each row to each cluster. A row that is
+    alone in its cluster counts 0, and so does everything under a single label. Labels must not be null; they and vectors of doubles of one length
+    are all that is read."""
+    rows = df.select(F.col(vector).cast("array<double>").alias("v"), F.array(*[F.col(c).cast("string") for c in labels]).alias("l"))
+    known = rows.select(F.posexplode("l").alias("at", "label")).groupBy("at", "label").agg(F.count("*").alias("n")).collect()  # labels are few
+    book = [sorted((r.label, r.n) for r in known if r.at == i) for i in range(len(labels))]
+    places, sizes = [{label: i for i, (label, _) in enumerate(b)} for b in book], [np.array([n for _, n in b], float) for b in book]
+    blocks = max(1, -(-int(sum(sizes[0])) // ROWS)) if known else 1
+
+    def pack(batches):
+        for batch in batches:
+            if batch.num_rows:
+                v = np.array(batch.column("v").to_pylist(), float)
+                own = np.array([[p[x] for p, x in zip(places, row, strict=True)] for row in batch.column("l").to_pylist()], np.int32)
+                for i in range(0, len(v), ROWS):
+                    part = v[i : i + ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array([len(part)], pa.int32()), pa.array([part.tobytes()], pa.binary()), pa.array([own[i : i + ROWS].tobytes()], pa.binary())], ["n", "v", "l"])
+
+    packed = cut(rows.repartition(blocks).mapInArrow(pack, "n int, v binary, l binary").withColumn("id", F.monotonically_increasing_id()))
+
+    def measure(batches):
+        for batch in batches:
+            for at, n, v, l, m, w, o in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "v", "l", "n2", "v2", "l2")), strict=True):
+                a, b = np.frombuffer(v, float).reshape(n, -1), np.frombuffer(w, float).reshape(m, -1)
+                d = np.sqrt(np.maximum(0.0, sum((a[:, [c]] - b[:, c]) ** 2 for c in range(a.shape[1]))))
+                other = np.frombuffer(o, np.int32).reshape(m, -1)
+                sums = [np.stack([d[:, other[:, i] == c].sum(1) for c in range(len(size))], 1).tobytes() for i, size in enumerate(sizes)]
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([l], pa.binary()), pa.array([sums], pa.list_(pa.binary()))], ["id", "l", "sums"])
+
+    def score(group: pa.Table) -> pa.Table:
+        """All partial sums of one block of rows."""
+        own = np.frombuffer(group["l"][0].as_py(), np.int32).reshape(-1, len(sizes))
+        out = []
+        for i, size in enumerate(sizes):
+            total = sum(np.frombuffer(s[i], float) for s in group["sums"].to_pylist()).reshape(len(own), -1)
+            at, mine = np.arange(len(own)), own[:, i]
+            if len(size) > 1:
+                inside = total[at, mine] / np.maximum(size[mine] - 1, 1)
+                means = total / size
+                means[at, mine] = np.inf
+                outside = means.min(1)
+                most = np.maximum(inside, outside)
+                out.append(float(np.where((size[mine] > 1) & (most > 0), (outside - inside) / np.where(most > 0, most, 1), 0.0).sum()))
+            else:
+                out.append(0.0)
+        return pa.table({"at": pa.array(range(len(out)), pa.int32()), "total": pa.array(out, pa.float64()), "n": pa.array([len(own)] * len(out), pa.int64())})
+
+    beside = packed.select("id", "n", "v", "l").crossJoin(packed.select(F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("v").alias("v2"), F.col("l").alias("l2")))  # every two blocks
+    sums = beside.mapInArrow(measure, "id long, l binary, sums array<binary>").groupBy("id").applyInArrow(score, "at int, total double, n long")
+    named = F.element_at(F.array(*map(F.lit, labels)), F.col("at") + 1)
+    clusters = F.element_at(F.array(*[F.lit(len(s)) for s in sizes]), F.col("at") + 1)
+    return sums.groupBy("at").agg(F.sum("total").alias("t"), F.sum("n").alias("rows")).select(named.alias("labels"), F.try_divide("t", "rows").alias("silhouette"), "rows", clusters.alias("clusters"))
 
 
 def silhouette(df: DataFrame, cols: Sequence[str], key: str, label: str = "label") -> DataFrame:
@@ -73,20 +137,39 @@ def silhouette(df: DataFrame, cols: Sequence[str], key: str, label: str = "label
     return each.select(key, label, F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)).alias("silhouette"))
 
 
+#: Halvings of cells before points are compared.
+LEVELS = 5
+
+
 def dbscan(df: DataFrame, key: str, x: str = "x", y: str = "y", eps: float = 0.8, min_pts: int = 5, max_rounds: int = 40) -> DataFrame:
-    """Density clusters: ``(key, label)``, noise -1, clusters numbered by their smallest core key.
-
-    Neighbours are joined by grid cells of side ``eps``; core points pass their smallest label along neighbour links,
-    with pointers shortened each round, until nothing changes; border points take the smallest label of a core."""
-    cell = lambda c: F.floor(F.col(c) / eps)
-    pts = df.select(F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).withColumns({"cx": cell("x"), "cy": cell("y")})
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    around = pts.withColumn("s", F.explode(steps)).select(F.col("k").alias("k2"), F.col("x").alias("x2"), F.col("y").alias("y2"), (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"))
+    """Density clusters: ``(key, label)``, noise -1, clusters numbered by their smallest core key; border points take the
+    smallest cluster of a core within ``eps``. Keys must differ; rows without a coordinate are noise.
+
+    Cells have the side ``eps / sqrt(2)``, so all points of a cell are neighbours: those of a cell that holds ``min_pts`` are core
+    without looking, and the cores of a cell are in one cluster. Only points of other cells, fewer than ``min_pts`` each,
+    are compared with points around them, so pairs grow with the points and not with the square of a dense cell. Which
+    cells are linked is decided on halves, quarters and so on of cells that hold cores (see ``_linked``). Clusters are
+    the components of the cells."""
+    side = eps / 2**0.5
+    given = df.select(F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
+    pts = given.withColumns({"cx": F.floor(F.col("x") / side), "cy": F.floor(F.col("y") / side)})
+    full = pts.groupBy("cx", "cy").agg(F.count("*").alias("here"))
+    pts = cut(pts.join(full, ["cx", "cy"]))
+    sparse = pts.where(F.col("here") < min_pts)
+    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3)]))
     close = F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2) <= eps * eps
-    near = cut(pts.join(around, ["cx", "cy"]).where(close).select("k", "k2"))
-    cores = cut(near.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= min_pts).select("k"))
-    links = cut(near.join(cores, "k").join(cores.select(F.col("k").alias("k2")), "k2").where("k <> k2").select("k", "k2"))
-    labels = cut(cores.select("k", F.col("k").alias("l")))
+
+    def around(points: DataFrame, others: DataFrame) -> DataFrame:
+        moved = points.withColumn("s", steps).select("k", F.col("x").alias("x2"), F.col("y").alias("y2"), (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"))
+        return moved.join(others, ["cx", "cy"]).where(close)
+
+    counts = around(sparse, pts.select("cx", "cy", "x", "y")).groupBy("k").agg(F.count("*").alias("n"))
+    found = pts.join(counts, "k", "left").withColumn("core", (F.col("here") >= min_pts) | (F.coalesce("n", F.lit(0)) >= min_pts))
+    pts = cut(found.select("k", "x", "y", "cx", "cy", "core"))
+    cells = pts.where("core").groupBy("cx", "cy").agg(F.min("k").alias("rep"))
+    cores = cut(pts.where("core").join(cells, ["cx", "cy"]).select("k", "x", "y", "cx", "cy", "rep"))
+    links = cut(_linked(cores, side, eps))
+    labels = cut(cores.select(F.col("rep").alias("k")).distinct().withColumn("l", F.col("k")))
     for _ in range(max_rounds):
         heard = links.join(labels.select(F.col("k").alias("k2"), "l"), "k2").groupBy("k").agg(F.min("l").alias("m"))
         lower = labels.join(heard, "k", "left").select("k", F.least("l", F.coalesce("m", "l")).alias("p"))
@@ -98,14 +181,50 @@ def dbscan(df: DataFrame, key: str, x: str = "x", y: str = "y", eps: float = 0.8
             break
     else:
         raise RuntimeError(f"labels did not settle within {max_rounds} rounds")
-    border = near.join(cores, "k", "left_anti").join(labels.select(F.col("k").alias("k2"), "l"), "k2").groupBy("k").agg(F.min("l").alias("l"))
-    found = labels.union(border)
-    numbers = found.select("l").distinct()
-    numbers = numbers.withColumn("label", (F.row_number().over(Window.orderBy("l")) - 1).cast("int"))
-    out = found.join(numbers, "l").select(F.col("k").alias(key), "label")
+    cores = cores.join(labels.withColumnRenamed("k", "rep"), "rep").select("k", "x", "y", "cx", "cy", "l")
+    border = around(pts.where("NOT core"), cores.select("cx", "cy", "x", "y", "l")).groupBy("k").agg(F.min("l").alias("l"))
+    of = cores.select("k", "l").union(border)
+    numbers = labels.select("l").distinct()
+    numbers = numbers.withColumn("label", (F.row_number().over(Window.orderBy("l")) - 1).cast("int"))  # one row a cluster
+    out = of.join(numbers, "l").select(F.col("k").alias(key), "label")
     return df.select(key).join(out, key, "left").na.fill(-1, subset=["label"])
 
 
+def _linked(cores: DataFrame, side: float, eps: float) -> DataFrame:
+    """Pairs of cells ``(k, k2)``, by their representatives, that hold two cores within ``eps``; both directions.
+
+    Two boxes are linked if their farthest corners are near enough, and are not if their nearest are too far. Of the rest,
+    as long as nothing links their cells, the quarters that hold cores are taken; what is open after some rounds is compared by points.
+    So of two dense cells a few boxes are looked at, not all pairs."""
+    reps = cores.select("rep", F.col("cx").alias("bx"), F.col("cy").alias("by")).distinct()
+    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3) if (i, j) > (0, 0)]))
+    moved = reps.withColumn("s", steps).select(F.col("rep").alias("r1"), F.col("bx").alias("ax"), F.col("by").alias("ay"), (F.col("bx") + F.col("s.i")).alias("bx"), (F.col("by") + F.col("s.j")).alias("by"))
+    open_, linked = moved.join(reps.withColumnRenamed("rep", "r2"), ["bx", "by"]), None
+    for level in range(LEVELS + 1):
+        size = side / 2**level
+        dx, dy = F.abs(F.col("ax") - F.col("bx")), F.abs(F.col("ay") - F.col("by"))
+        far = (F.pow(dx + 1, 2) + F.pow(dy + 1, 2)) * size * size
+        near = (F.pow(F.greatest(dx - 1, F.lit(0)), 2) + F.pow(F.greatest(dy - 1, F.lit(0)), 2)) * size * size
+        boxes = cut(open_.where(near <= eps * eps * (1 + 1e-12)).withColumn("sure", far <= eps * eps * (1 - 1e-12)))
+        sure = boxes.where("sure").select("r1", "r2").distinct()
+        linked = sure if linked is None else linked.union(sure)
+        open_ = boxes.join(sure, ["r1", "r2"], "left_anti").drop("sure")
+        if level == LEVELS or not open_.limit(1).count():
+            break
+        half = size / 2
+        parts = cores.select("rep", F.floor(F.col("x") / half).alias("x"), F.floor(F.col("y") / half).alias("y")).distinct()
+        for r, a, b in (("r1", "ax", "ay"), ("r2", "bx", "by")):
+            mine = parts.select(F.col("rep").alias(r), F.floor(F.col("x") / 2).alias(a), F.floor(F.col("y") / 2).alias(b), F.col("x").alias(f"{a}_"), F.col("y").alias(f"{b}_"))
+            open_ = open_.join(mine, [r, a, b]).drop(a, b).withColumnsRenamed({f"{a}_": a, f"{b}_": b})
+    size = side / 2**level
+    inside = cores.select("rep", F.floor(F.col("x") / size).alias("bx"), F.floor(F.col("y") / size).alias("by"), "x", "y")
+    first = inside.withColumnsRenamed({"rep": "r1", "bx": "ax", "by": "ay", "x": "x1", "y": "y1"})
+    met = open_.join(first, ["r1", "ax", "ay"]).join(inside.withColumnRenamed("rep", "r2"), ["r2", "bx", "by"])
+    met = met.where(F.pow(F.col("x1") - F.col("x"), 2) + F.pow(F.col("y1") - F.col("y"), 2) <= eps * eps).select("r1", "r2").distinct()
+    pairs = linked.union(met)
+    return pairs.select(F.col("r1").alias("k"), F.col("r2").alias("k2")).union(pairs.select("r2", "r1"))
+
+
 def cluster_profile(df: DataFrame, cols: Sequence[str], label: str = "label") -> DataFrame:
     """Size and means of each cluster, noise left out."""
     return df.where(F.col(label) >= 0).groupBy(label).agg(F.count("*").alias("regions"), *[F.avg(c).alias(f"mean_{c}") for c in cols])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,23 +57,39 @@ def laplacian_edges(w: DataFrame, nodes: DataFrame, key: str = "region") -> Data
     return off.union(nodes.select(F.col(key).alias("src"), F.col(key).alias("dst"), F.lit(1.0).alias("w")))
 
 
-def largest_eigenvalue(l: DataFrame, rounds: int = 30, tolerance: float = 1e-6, every: int = 5) -> float:
-    """Power iteration on a symmetric edge table; one vector and one number a round leave the join."""
-    l = cut(l)
-    names = l.select(F.col("src").alias("node")).distinct()
-    v, last = cut(names.select("node", (1.0 + F.pmod(F.xxhash64("node"), F.lit(1000)) / 1000.0).alias("v"))), 0.0
-    for i in range(1, rounds + 1):
-        nxt = l.join(v.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum(F.col("w") * F.col("v")).alias("u"))
-        nxt = cut(nxt) if i % every == 0 else nxt
-        size = float(nxt.agg(F.sqrt(F.sum(F.col("u") * F.col("u")))).first()[0] or 0.0)
-        start = float(v.agg(F.sqrt(F.sum(F.col("v") * F.col("v")))).first()[0] or 0.0)
-        if not size or not start:
-            return 0.0
-        value = size / start
-        v = nxt.select("node", (F.col("u") / size).alias("v"))
-        if abs(value - last) < tolerance:
+def largest_eigenvalue(l: DataFrame, rounds: int = 60, tolerance: float = 1e-9) -> float:
+    """The largest eigenvalue of a symmetric edge table, by the Lanczos method.
+
+    A node holds its entries of all vectors so far, side by side; a round joins the edges with the newest vector, and
+    makes the result orthogonal to all of them by sums of products. Only these numbers come to the driver, where the
+    eigenvalues of a matrix of ``rounds`` squared at most are found. Ends when the error that the last entry allows is under ``tolerance``, or when
+    the vectors span all that the start can reach. 0 for an empty table."""
+    l = cut(l.groupBy("src", "dst").agg(F.sum("w").alias("w")))
+    start = F.lit(1.0) + F.pmod(F.xxhash64("node"), F.lit(1009)) / 1009.0
+    first = l.select(F.col("src").alias("node")).distinct().withColumn("w", start)
+    size = first.agg(F.sqrt(F.sum(F.col("w") * F.col("w")))).first()[0]
+    if not size:
+        return 0.0
+    basis = cut(first.select("node", F.array(F.col("w") / size).alias("q")))
+    matrix, value = np.zeros((rounds + 1, rounds + 1)), 0.0
+    less = lambda h: F.col("w") - F.aggregate(F.zip_with("q", F.array(*map(F.lit, h)), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    for j in range(1, rounds + 1):
+        newest = basis.select(F.col("node").alias("dst"), F.element_at("q", -1).alias("v"))
+        moved = l.join(newest, "dst").groupBy(F.col("src").alias("node")).agg(F.sum(F.col("w") * F.col("v")).alias("w"))
+        step, products = basis.join(moved, "node", "left").select("node", "q", F.coalesce("w", F.lit(0.0)).alias("w")), np.zeros(j)
+        for _ in range(2):  # once more takes away what rounding leaves
+            step = cut(step)
+            h = [float(x) for x in step.agg(*[F.sum(F.col("w") * F.col("q")[i]) for i in range(j)]).first()]
+            products += h
+            step = step.select("node", "q", less(h).alias("w"))
+        step = cut(step)
+        length = float(step.agg(F.sqrt(F.sum(F.col("w") * F.col("w")))).first()[0])
+        matrix[:j, j - 1] = matrix[j - 1, :j] = products
+        values, vectors = np.linalg.eigh(matrix[:j, :j])
+        value = float(values[-1])
+        if length * abs(vectors[-1, -1]) < tolerance or length < 1e-12:
             break
-        last = value
+        basis = step.select("node", F.concat("q", F.array(F.col("w") / length)).alias("q"))
     return value
 
 

@@ -452,12 +452,71 @@ def kmeans_sizes(s, d):
     return cluster.kmeans_sweep(_profile(s, d), _PCOLS, "district", n_init=10)[1].groupBy("label").agg(F.count("*").alias("regions"))
 
 
-@_query()
+def _density(points: str, eps: float, min_pts: int) -> str:
+    """CTEs that end in ``labelled(k, label)`` from ``points(k, x, y)``, by all pairs."""
+    return f"""{points}, near AS (SELECT a.k, b.k AS k2 FROM points a JOIN points b ON (a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 <= {eps}::DOUBLE ^ 2), core AS (SELECT k FROM near GROUP BY k HAVING count(*) >= {min_pts}),
+ reach(k, root) AS (SELECT k, k FROM core UNION SELECT near.k2, reach.root FROM reach JOIN near ON near.k = reach.k WHERE near.k2 IN (SELECT k FROM core)), lab AS (SELECT k, min(root) AS l FROM reach GROUP BY k),
+ every AS (SELECT k, l FROM lab UNION ALL SELECT near.k, min(l) FROM near JOIN lab ON lab.k = near.k2 WHERE near.k NOT IN (SELECT k FROM core) GROUP BY near.k),
+ labelled AS (SELECT points.k, coalesce(CAST(dense_rank() OVER (PARTITION BY l IS NULL ORDER BY l) - 1 AS INTEGER) * CASE WHEN l IS NULL THEN 0 ELSE 1 END + CASE WHEN l IS NULL THEN -1 ELSE 0 END, -1) AS label FROM points LEFT JOIN every ON every.k = points.k)"""
+
+
+@_query(_density(_PROFILE.replace("WITH ", "WITH RECURSIVE ", 1) + ", points AS (SELECT district AS k, (enrol_total - avg(enrol_total) OVER ()) / stddev_pop(enrol_total) OVER () AS x, (bio_total - avg(bio_total) OVER ()) / stddev_pop(bio_total) OVER () AS y FROM profile)", 0.8, 5) + " SELECT k AS district, label FROM labelled")
 def density_clusters(s, d):
     rows = cut(_profile(s, d).drop("state"))  # moments and rows
     return cluster.dbscan(cluster.zscore_apply(rows, cluster.zscore_fit(rows, _PCOLS), _PCOLS), "district", "enrol_total", "bio_total")
 
 
+@_query(_density("WITH RECURSIVE points AS (SELECT vec_id AS k, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)", 0.02, 4) + " SELECT k AS vec_id, label FROM labelled")
+def density_of_vectors(s, d):
+    """Clusters of the first two coordinates of all vectors."""
+    at = lambda i: F.col("embedding")[i].cast("double")
+    return cluster.dbscan(table(s, d, "embeddings").select("vec_id", at(0).alias("x"), at(1).alias("y")), "vec_id", eps=0.02, min_pts=4)
+
+
+_SIL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda z: z::DOUBLE) AS v, label % 2 AS half, label, vec_id % 7 AS id_mod FROM embeddings),
+ d AS (SELECT a.vec_id, a.label, a.half, a.id_mod, b.vec_id AS other, b.label AS other_label, b.half AS other_half, b.id_mod AS other_mod, list_distance(a.v, b.v) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+ m AS (SELECT 'label' AS labels, vec_id, label AS own, other_label AS other, avg(d) AS d FROM d GROUP BY ALL UNION ALL SELECT 'half', vec_id, half, other_half, avg(d) FROM d GROUP BY ALL UNION ALL SELECT 'id_mod', vec_id, id_mod, other_mod, avg(d) FROM d GROUP BY ALL),
+ ab AS (SELECT labels, vec_id, min(d) FILTER (own = other) AS a, min(d) FILTER (own <> other) AS b, count(DISTINCT other) AS n FROM m GROUP BY ALL)
+SELECT labels, round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette, count(*) AS rows, CAST(max(n) AS INTEGER) AS clusters FROM ab GROUP BY labels"""
+
+
+@_query(_SIL)
+def silhouettes_of_labels(s, d):
+    """Mean silhouettes of all vectors under three labellings, from one pass over the pairs."""
+    rows = table(s, d, "embeddings").select("vec_id", "embedding", "label", (F.col("label") % 2).alias("half"), (F.col("vec_id") % 7).alias("id_mod"))
+    return R(cluster.silhouettes(rows, "embedding", ["label", "half", "id_mod"]))
+
+
+_RING = """ring AS (SELECT n_name AS node, lead(n_name, 1, (SELECT min(n_name) FROM nation)) OVER (ORDER BY n_name) AS next FROM nation), two AS (SELECT node AS src, next AS dst FROM ring UNION ALL SELECT next, node FROM ring),
+ lambda_max AS (SELECT 1 - cos(2 * pi() * floor(count(*) / 2) / count(*)) AS m FROM ring)"""
+
+
+def _ring(s, d):
+    """Nations by name in a ring, as the edges of its normalised Laplacian."""
+    names = table(s, d, "nation").select(F.col("n_name").alias("region"))
+    after = F.coalesce(F.lead("region").over(Window.orderBy("region")), F.min("region").over(Window.partitionBy(F.lit(0))))
+    return graph.laplacian_edges(geo.mirrored(names.select(F.col("region").alias("src"), after.alias("dst"), F.lit(1.0).alias("w"))), names)
+
+
+@_query(f"WITH {_RING} SELECT round(m, 6) AS lambda_max, (SELECT count(*) FROM two) + (SELECT count(*) FROM ring) AS entries FROM lambda_max")
+def ring_eigenvalue(s, d):
+    """The largest eigenvalue of a ring, whose eigenvalues are known: one less a cosine."""
+    edges = cut(_ring(s, d))
+    return edges.agg(F.lit(round(graph.largest_eigenvalue(edges), 6)).alias("lambda_max"), F.count("*").alias("entries"))
+
+
+@_query(_F + f""", {_RING}, p AS (SELECT strftime(date, '%Y-%m') AS t, district AS node, CAST(sum(enrol_total) AS DOUBLE) AS v FROM e GROUP BY ALL), lt AS (SELECT src, dst, -1.0::DOUBLE / m AS w FROM two, lambda_max UNION ALL SELECT node, node, 2 / m - 1 FROM ring, lambda_max),
+ c1 AS (SELECT t, src AS node, sum(w * v) AS v1 FROM p JOIN lt ON dst = node GROUP BY ALL), x AS (SELECT p.*, coalesce(v1, 0) AS v1 FROM p LEFT JOIN c1 USING (t, node)), c2 AS (SELECT t, src AS node, sum(w * v1) AS v2 FROM x JOIN lt ON dst = node GROUP BY ALL)
+SELECT t, node, round(v, 4) AS v_cheb0, round(v1, 4) AS v_cheb1, round(2 * coalesce(v2, 0) - v, 4) AS v_cheb2 FROM x LEFT JOIN c2 USING (t, node)""")
+def chebyshev_on_ring(s, d):
+    """Diffusion terms with the Laplacian scaled by its own largest eigenvalue."""
+    edges = cut(_ring(s, d))
+    lt = graph.scaled_laplacian(edges, graph.largest_eigenvalue(edges))
+    panel = _enrol(s, d).groupBy(features.month_label("date").alias("t"), F.col("district").alias("node")).agg(F.sum("enrol_total").cast("double").alias("v"))
+    out = forecast.chebyshev_features(panel, lt, ["v"], 3)
+    return out.withColumns({c: F.round(c, 4) for c, kind in out.dtypes if kind == "double"})
+
+
 @_query()
 def principal_components(s, d):
     return cluster.pca2(_profile(s, d), _PCOLS, "district")[0]
