@@ -1,20 +1,26 @@
-"""Lineage cuts for iterative operators."""
+"""Lineage cuts for iterative operators, and the shared folder that they are written to."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write to the shared folder that ``spark.checkpoint.dir`` names. Where it is unset, to a temporary one in local mode
-    (tests); on a cluster that is an error, since executors share no folder of one machine."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset, a temporary one in local mode (tests); on a cluster
+    that is an error, since executors share no folder of one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="spark-quadrat-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
+        found = tempfile.mkdtemp(prefix="spark-quadrat-")
+        spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df``, written to the shared folder and read again."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

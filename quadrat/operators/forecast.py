@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression, LinearRegressionModel
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,9 +30,11 @@ def chebyshev_features(panel: DataFrame, l_tilde: DataFrame, cols: Sequence[str]
 
 @dataclass
 class Forecaster:
-    """A global linear model over lags of diffused features, with the scaling of its training part."""
+    """A global linear model over lags of diffused features, with the scaling of its training part. ``weights``: by lag, the
+    newest first, and for each lag by diffusion term."""
 
-    model: LinearRegressionModel
+    weights: list[float]
+    intercept: float
     edges: DataFrame
     target: str
     t_in: int
@@ -73,23 +76,28 @@ def fit_panel_forecaster(panel: DataFrame, edges: DataFrame, target: str, t_in:
     model = best[1]
     back = lambda c: (F.col(c) * std + mean)
     predicted = model.transform(test).select(time, node, back("z").alias("y"), back("prediction").alias("prediction"))
-    return Forecaster(model, edges, target, t_in, k, mean, std, time, node), predicted
+    return Forecaster([float(x) for x in model.coefficients], float(model.intercept), edges, target, t_in, k, mean, std, time, node), predicted
 
 
 def forecast(f: Forecaster, panel: DataFrame, steps: int) -> DataFrame:
-    """``(node, step, prediction)``: each prediction feeds the next window. The panel's times must be numbers."""
-    last = panel.agg(F.max(f.time)).first()[0]
-    history = cut(panel.where(F.col(f.time) > last - f.t_in - 1).select(f.time, f.node, F.col(f.target).cast("double").alias(f.target)))
-    out = None
+    """``(node, step, prediction)``: each prediction feeds the next window.
+
+    A node's state is its window, one array of the diffusion terms of the last ``t_in`` times. A step multiplies it with the
+    weights, joins the edges with the new values for their terms, and pushes these to the front; what is written
+    between steps is one row a node. Nodes that lack one of the panel's last ``t_in`` times get no forecast."""
+    times = panel.select(f.time).distinct().orderBy(F.desc(f.time)).limit(f.t_in)
+    z = panel.join(times, f.time, "left_semi").select(f.time, f.node, ((F.col(f.target) - f.mean) / (f.std or 1.0)).alias("z"))
+    terms = F.array(*[f"z_cheb{n}" for n in range(f.k)])
+    rows = chebyshev_features(z, f.edges, ["z"], f.k, f.time, f.node).groupBy(f.node).agg(F.sort_array(F.collect_list(F.struct(F.col(f.time).alias("t"), terms.alias("x"))), asc=False).alias("w"))
+    state = cut(rows.where(F.size("w") == f.t_in).select(f.node, F.flatten(F.transform("w", lambda r: r["x"])).alias("window")))
+    weighted = F.aggregate(F.zip_with("window", F.array(*map(F.lit, f.weights)), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    out = []
     for step in range(1, steps + 1):
-        blank = history.select(f.node).distinct().select(F.lit(last + step).cast(history.schema[f.time].dataType).alias(f.time), f.node, F.lit(0.0).alias(f.target))
-        design, names = _design(history.unionByName(blank), f.edges, f.target, f.t_in, f.k, f.time, f.node, f.mean, f.std)
-        ready = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="skip").transform(design.where(F.col(f.time) == last + step))
-        new = cut(f.model.transform(ready).select(f.time, f.node, (F.col("prediction") * f.std + f.mean).alias(f.target)))
-        history = history.where(F.col(f.time) > last + step - f.t_in - 1).unionByName(new)
-        shown = new.select(f.node, F.lit(step).alias("step"), F.col(f.target).alias("prediction"))
-        out = shown if out is None else out.unionByName(shown)
-    return out
+        told = state.select(f.node, "window", (weighted + f.intercept).alias("z"))
+        new = chebyshev_features(told.select(F.lit(0).alias("__t"), f.node, "z"), f.edges, ["z"], f.k, "__t", f.node).select(f.node, terms.alias("new"))
+        state = cut(told.join(new, f.node).select(f.node, F.concat("new", F.slice("window", 1, (f.t_in - 1) * f.k)).alias("window"), "z"))
+        out.append(state.select(f.node, F.lit(step).alias("step"), (F.col("z") * f.std + f.mean).alias("prediction")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def forecast_metrics(pred: DataFrame, by: Sequence[str] = (), y: str = "y", p: str = "prediction", eps: float = 1e-8) -> DataFrame:

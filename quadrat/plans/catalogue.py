@@ -12,7 +12,7 @@ from quadrat.functions import text
 from quadrat.functions.cut import cut
 from quadrat.functions.numbers import percent_change
 from quadrat.operators import cluster, features, forecast, geo, graph, names, quality, reports, series
-from quadrat.plans import cleaning, decompositions, matching, meshes, more  # noqa: F401  they register their queries
+from quadrat.plans import cleaning, decompositions, loading, matching, meshes, more  # noqa: F401  they register their queries
 from quadrat.plans.panels import ENROL, GRID, TOUCH, bio, demo, enrol, grid, table
 from quadrat.plans.registry import oracle_sql, queries, query as _query  # noqa: F401
 from quadrat.plans.summaries import _COMMON, _F, _bio, _common, _demo, _enrol

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadrat.functions import text
+from quadrat.functions.cut import cut
 
 NAME_COLUMNS = ("DISTRICT", "district", "District", "DISTNAME", "dtname", "NAME_2")
 
@@ -37,6 +39,26 @@ def panel_rules(counts: Sequence[str], keys: Sequence[str] = ("date", "state", "
     return rules | ({f"{pincode} has 6 characters": F.length(pincode) == 6} if pincode else {})
 
 
+def load_whole_files(spark: SparkSession, glob: str, schema: str, rules: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """CSV files of which all rows meet all rules, and a report of all files.
+
+    A file with a single row that breaks a rule, or that cannot be read by the schema, is set aside whole, as a failed load of it
+    would be. Rows are counted where they are read, so a file of any size sends a few numbers; the bad files' names, and not
+    their rows, are kept from the second reading. Files of no rows are in neither.
+
+    Returns the rows of good files, with ``file``, and ``(file, rows, broken_rows, broken map<rule, rows>, accepted)``.
+    """
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("nullValue", "").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken")
+    rows = reader.schema(f"{schema}, _broken string").csv(glob).withColumn("file", F.col("_metadata.file_path"))
+    all_rules = {"row is readable": F.col("_broken").isNull()} | dict(rules)
+    breaks = {name: ~F.coalesce(rule, F.lit(False)) for name, rule in all_rules.items()}
+    counted = [F.count_if(b).alias(f"__{i}") for i, b in enumerate(breaks.values())]
+    by_file = rows.groupBy("file").agg(F.count("*").alias("rows"), F.count_if(reduce(lambda a, b: a | b, breaks.values())).alias("broken_rows"), *counted)
+    each = F.map_from_arrays(F.array(*map(F.lit, breaks)), F.array(*[F.col(f"__{i}") for i in range(len(breaks))]))
+    report = cut(by_file.select("file", "rows", "broken_rows", F.map_filter(each, lambda _, n: n > 0).alias("broken"), (F.col("broken_rows") == 0).alias("accepted")))
+    return rows.drop("_broken").join(report.where("NOT accepted").select("file"), "file", "left_anti"), report
+
+
 def surrogate_id(df: DataFrame, out: str = "id") -> DataFrame:
     """A row id that a second run repeats: SHA-256 of all columns, twins numbered."""
     cols = df.columns
