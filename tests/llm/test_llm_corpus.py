@@ -200,3 +200,16 @@ def test_words_of_one_hash(monkeypatch):
     """Words whose hashes agree are told apart by their bytes."""
     monkeypatch.setattr(filters.WordTable, "_hashes", lambda self, starts, sizes, owners: np.zeros(len(starts), np.uint64))
     assert filters.measured([b"a b c a b", b"a b " + b"q" * 70 + b" " + b"q" * 70])[:, 1].tolist() == [3, 3]
+
+
+def test_shards_prune_files(spark):
+    """A filter on one source or language opens few more files, by their smallest and largest values, than hold it."""
+    from quadrat.llm import sharding
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = sharding.shard_documents(docs, 40).select("doc_id", "shard").join(docs.select("doc_id", "source", "lang"), "doc_id").toPandas()
+    for col, most in (("source", 16), ("lang", 17)):
+        ends = out.groupby("shard")[col].agg(["min", "max"])
+        opened = [((ends["min"] <= v) & (v <= ends["max"])).sum() for v in out[col].unique()]
+        held = [out[out[col] == v].shard.nunique() for v in out[col].unique()]
+        assert np.mean(opened) <= min(most, 1.25 * np.mean(held))
