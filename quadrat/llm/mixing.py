@@ -30,21 +30,21 @@ def domain_posteriors(docs: DataFrame, labels: DataFrame, sample: int = 4000) ->
     return subword.probabilities(docs.drop("posterior"), model, "text", "posterior")
 
 
-def fit_rates(members: DataFrame, targets: Mapping[str, float], budget: float | None = None, max_rate: float = float("inf"), rounds: int = 60, tolerance: float = 1e-3, each: int = 10) -> tuple[DataFrame, list[float]]:
-    """Nonnegative rates whose expected tokens by domain come closest to the targets, by projected Newton steps.
+def fit_rates(members: DataFrame, targets: Mapping[str, float], budget: float | None = None, max_rate: float = float("inf"), tolerance: float = 1e-3, settled: float = 1e-5, each: int = 10) -> tuple[DataFrame, list[float]]:
+    """Nonnegative rates whose expected tokens by domain come closest to the targets, by projected gradient steps.
 
     ``members`` has ``tokens`` and ``posterior``. With ``a = tokens * posterior`` the sum of ``rate * a`` over all
     documents should be ``budget * target``; the squared error of the shares is minimised over ``0 <= rate <=
     max_rate``, starting from rate 1, so that documents move no further than the targets ask. The default budget is
-    the number of tokens there are. The gradient of a document is scaled by its tokens, which makes it the error of
-    the domains weighted with the posterior. The errors are multiplied with the inverse curvature over the documents
-    whose rates can still move, so that a domain with few tokens moves as fast as one with many; a step that makes the
-    error larger halves those that follow. The curvature is damped, less in every round, by the share of each domain:
-    else a domain that no document clearly belongs to would turn all of them over. Steps aim at the middle between target and ``tolerance``: what is within it
-    is left alone, so that a domain whose share will do moves no documents. Where a share ends further than ``tolerance`` from its target, a
-    ``RuntimeWarning`` names the shares reached: no document of the domain is left to move, or rounds are.
-
-    A round sums one number for each domain over all documents and sends the error back: nothing else is gathered.
+    the number of tokens there are. Rates are measured by tokens, so that the gradient of a document is the error of the domains weighted
+    with its posterior. The length of a step is what the last one shows of the curvature (Barzilai and Borwein, both forms in turn); one that leaves the
+    error above all of the last ten is taken back for a shorter one, at the least the one that must make it smaller.
+
+    Ends when all shares are within ``tolerance`` of their targets, or at the optimum: when a whole gradient step, held to the
+    bounds, would move less than ``settled`` of the budget. In the latter case the targets cannot be met by these documents,
+    and a ``RuntimeWarning`` names the shares that come closest.
+
+    A round sums one number for each domain, and two more, over all documents and sends the error back: nothing else is gathered.
     Rates after ``each`` rounds are written out, so that plans stay short and nothing is computed from the start again.
 
     Returns ``members`` with ``rate``, and the shares of the domains reached.
@@ -52,37 +52,42 @@ def fit_rates(members: DataFrame, targets: Mapping[str, float], budget: float |
     k, goal = len(targets), np.array(list(targets.values()), float)
     goal = goal / goal.sum()
     at = lambda i: F.element_at("posterior", i + 1)
-    sums = lambda df, *more: df.agg(*[F.sum(F.col("rate") * F.col("tokens") * at(i)) for i in range(k)], *more).first()
     now = members.withColumn("rate", F.lit(1.0))
-    total = members.agg(F.sum("tokens")).first()[0]
+    curves = [F.sum(F.col("tokens") * at(i) * at(j)) for i in range(k) for j in range(k)]
+    total, *row = members.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * at(i)) for i in range(k)], *curves).first()
     if not total:
         return now, [0.0] * k
     budget = float(budget or total)
-    free = F.col("rate").between(1e-12, max_rate * (1 - 1e-12))
-    curves = [F.sum(F.when(free, F.col("tokens") * at(i) * at(j))) for i in range(k) for j in range(k)]
-    errors: list[np.ndarray] = []
-    written, last, pace = None, np.inf, 1.0
-    for done in range(rounds):
-        row = np.array([x or 0.0 for x in sums(_moved(now, errors, max_rate), *curves)]) / budget
-        found, curve = row[:k], row[k:].reshape(k, k)
-        error = found - goal
-        size = float(np.abs(error).max())
-        beyond = error - np.clip(error, -tolerance / 2, tolerance / 2)
-        damped = curve + 0.5 * 0.8**done * np.diag(np.maximum(found, 1e-12))
-        move = np.linalg.pinv(damped, rcond=1e-9, hermitian=True) @ beyond
-        if size < tolerance or done == rounds - 1 or np.abs(curve @ move).max() < tolerance * 1e-2:
+    found, curve = np.array(row[:k]) / budget, np.array(row[k:]).reshape(k, k) / budget
+    surest = 1 / max(float(np.linalg.eigvalsh(curve)[-1]), 1e-12)
+    held = lambda rate, pull: F.least(F.greatest(rate - pull, F.lit(0.0)), F.lit(max_rate))
+    by = lambda e: F.aggregate(F.zip_with("posterior", F.array(*[F.lit(float(x)) for x in e]), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    steps: list[np.ndarray] = []
+    error, length, last, written, rounds = found - goal, surest, [np.inf], None, 0
+    while np.abs(error).max() >= tolerance:
+        last, rounds = [*last, float(error @ error)][-10:], rounds + 1
+        moved = _moved(now, steps, max_rate).select("tokens", "posterior", "rate", held(F.col("rate"), by(length * error)).alias("new"), held(F.col("rate"), by(error)).alias("whole"))
+        change, left, *row = moved.agg(
+            F.sum(F.col("tokens") * F.pow(F.col("new") - F.col("rate"), 2)), F.sum(F.col("tokens") * F.abs(F.col("whole") - F.col("rate"))), *[F.sum(F.col("new") * F.col("tokens") * at(i)) for i in range(k)]
+        ).first()
+        if left / budget < settled:
+            warnings.warn(f"targets {goal.tolist()} cannot be met: the closest shares of the budget are {found.tolist()}", RuntimeWarning, stacklevel=2)
             break
-        pace = pace / 2 if size > last else min(1.0, pace * 2)
-        last = size
-        errors.append(pace * move)
-        if len(errors) == each:
-            following = stage(_moved(now, errors, max_rate), "rates")
+        following = np.array(row) / budget
+        step = following - found
+        if float((following - goal) @ (following - goal)) > max(last) and length > surest:
+            length = max(surest, length / 8)
+            continue
+        steps.append(length * error)
+        found, error = following, following - goal
+        shown = change / budget / max(float(step @ step), 1e-300) if rounds % 2 else float(step @ step) / max(float(step @ curve @ step), 1e-300)
+        length = max(surest, min(1e6, shown))
+        if len(steps) == each:
+            following = stage(_moved(now, steps, max_rate), "rates")
             if written is not None:
                 unstage(written)
-            now, written, errors = following, following, []
-    if size >= tolerance:
-        warnings.warn(f"targets {goal.tolist()} not reached: shares of the budget are {found.tolist()} after {done + 1} rounds", RuntimeWarning, stacklevel=2)
-    return _moved(now, errors, max_rate), (found / max(found.sum(), 1e-12)).tolist()
+            now, written, steps = following, following, []
+    return _moved(now, steps, max_rate), (found / max(found.sum(), 1e-12)).tolist()
 
 
 def _moved(df: DataFrame, errors: list[np.ndarray], max_rate: float) -> DataFrame:

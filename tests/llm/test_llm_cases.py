@@ -237,16 +237,18 @@ def test_outputs_replace_columns_of_their_names(spark, corpus):
     assert simhash.near_duplicates(docs).columns == ["doc_id", "fp", "component_id"]
 
 
-@pytest.mark.parametrize("goal", [(0.2, 0.5, 0.3), (0.05, 0.9, 0.05)])
-def test_mixing_against_numpy(spark, goal):
-    """Projected Newton steps against projected gradient descent in numpy, run until it stands still."""
+@pytest.mark.parametrize("goal, most, meets", [((0.2, 0.5, 0.3), np.inf, True), ((0.05, 0.9, 0.05), np.inf, True), ((0.2, 0.3, 0.5), 1.2, False), ((0.6, 0.2, 0.2), 1.5, False)])
+@pytest.mark.filterwarnings("ignore:targets")
+def test_mixing_against_numpy(spark, goal, most, meets):
+    """Against projected gradient descent in numpy, run until it stands still; also where bounds keep the targets from being met."""
     rng = np.random.default_rng(4)
     posterior = rng.dirichlet([0.4, 1.5, 0.2], 300)
     tokens = rng.integers(10, 400, 300)
     members = spark.createDataFrame([(int(t), [float(x) for x in p]) for t, p in zip(tokens, posterior)], "tokens long, posterior array<double>")
-    shares = mixing.fit_rates(members, dict(zip("abc", goal)))[1]
+    rated = mixing.fit_rates(members, dict(zip("abc", goal)), max_rate=most)[0]
+    shares = [x / int(tokens.sum()) for x in rated.agg(*[F.sum(F.col("rate") * F.col("tokens") * F.element_at("posterior", i + 1)) for i in range(3)]).first()]
     a = posterior * tokens[:, None] / tokens.sum()
     rate, pace = np.ones(300), 1 / np.linalg.norm(a, 2) ** 2
     for _ in range(200_000):
-        rate = np.maximum(0, rate - pace * (a @ (rate @ a - goal)))
-    assert np.abs(rate @ a - goal).max() < 1e-3 and np.abs(np.array(shares) - goal).max() < 2e-3
+        rate = np.clip(rate - pace * (a @ (rate @ a - goal)), 0, most)
+    assert (np.abs(rate @ a - goal).max() < 1e-3) == meets and np.abs(np.array(shares) - rate @ a).max() < 2e-3
