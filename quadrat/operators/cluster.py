@@ -42,11 +42,12 @@ def _vectors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def pca2(df: DataFrame, cols: Sequence[str], key: str) -> tuple[DataFrame, list[float]]:
-    """``(key, pc1, pc2)`` of the standardised columns, and the explained shares. Signs are not fixed."""
+    """``(key, pc1, pc2)`` of the standardised columns, and the explained shares. The largest weight of a component is positive."""
     vectors = _vectors(df, cols)
     model = PCA(k=2, inputCol="features", outputCol="pc").fit(vectors)
-    pc = vector_to_array("pc")
-    return model.transform(vectors).select(key, pc[0].alias("pc1"), pc[1].alias("pc2")), list(model.explainedVariance)
+    weights, pc = model.pc.toArray(), vector_to_array("pc")
+    signs = [-1.0 if w[np.abs(w).argmax()] < 0 else 1.0 for w in weights.T]
+    return model.transform(vectors).select(key, (pc[0] * signs[0]).alias("pc1"), (pc[1] * signs[1]).alias("pc2")), list(model.explainedVariance)
 
 
 def kmeans_sweep(df: DataFrame, cols: Sequence[str], key: str, ks: Sequence[int] = range(2, 11), seed: int = 42, n_init: int = 10) -> tuple[DataFrame, DataFrame]:

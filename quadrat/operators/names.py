@@ -131,6 +131,14 @@ def apply_overrides(df: DataFrame, overrides: DataFrame, col: str, scope: str |
     return found.withColumn(col, F.coalesce("__new", col)).select(*df.columns)
 
 
+def apply_pair_overrides(df: DataFrame, overrides: DataFrame, state: str = "state", name: str = "district") -> DataFrame:
+    """Replace pairs of parent and name by a dictionary ``(old_state, old_name, new_state, new_name)``; a null new value keeps
+    the old one. Of several entries for a pair one counts."""
+    book = overrides.select(F.col("old_state").alias(state), F.col("old_name").alias(name), F.col("new_state").alias("__s"), F.col("new_name").alias("__n")).dropDuplicates([state, name])
+    found = df.join(book, [state, name], "left")
+    return found.withColumns({state: F.coalesce("__s", state), name: F.coalesce("__n", name)}).select(*df.columns)
+
+
 def remap(df: DataFrame, mapping: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
     """Rewrite a column by ``(old, new)`` and count: distinct old values that were there, and rows changed."""
     book = mapping.where("NOT (old <=> new)").select(F.col("old").alias(col), F.col("new").alias("__new")).dropDuplicates([col])

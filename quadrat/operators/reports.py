@@ -170,5 +170,5 @@ def top_n_per(df: DataFrame, group: str, col: str, n: int, key: str) -> DataFram
 
 
 def sample_keys(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """A repeatable random sample of ``n`` distinct keys."""
-    return df.select(key).distinct().orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    """A repeatable random sample of ``n`` distinct keys: those with the smallest MD5 of ``seed:key``."""
+    return df.select(key).distinct().orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), key).limit(n)

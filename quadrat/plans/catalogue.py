@@ -517,6 +517,14 @@ def chebyshev_on_ring(s, d):
     return out.withColumns({c: F.round(c, 4) for c, kind in out.dtypes if kind == "double"})
 
 
+@_query(_PROFILE + ", q AS (SELECT count(*) AS n FROM profile) SELECT n AS regions, 0.0::DOUBLE AS mean1, 0.0::DOUBLE AS mean2, 0.0::DOUBLE AS product, true AS falling, true AS below_all FROM q")
+def component_figures(s, d):
+    """Two components of the profiles: centred, without correlation, the first with more of the variance, both with no more than there is."""
+    pcs = cut(cluster.pca2(_profile(s, d), _PCOLS, "district")[0])
+    zero = lambda c: F.abs(F.round(c, 6)) + 0.0
+    return pcs.agg(F.count("*").alias("regions"), zero(F.avg("pc1")).alias("mean1"), zero(F.avg("pc2")).alias("mean2"), zero(F.avg(F.col("pc1") * F.col("pc2"))).alias("product"), (F.var_pop("pc1") >= F.var_pop("pc2")).alias("falling"), (F.var_pop("pc1") + F.var_pop("pc2") <= len(_PCOLS) + 1e-9).alias("below_all"))
+
+
 @_query()
 def principal_components(s, d):
     return cluster.pca2(_profile(s, d), _PCOLS, "district")[0]
@@ -575,13 +583,6 @@ def composite_keys(s, d):
     return features.split_key(features.composite_key(rows, ["n_name", "r_name"]).select("key"), "key", ["district", "state"])
 
 
-@_query("SELECT column_name AS \"column\" FROM (VALUES ('l_quantity'), ('l_extendedprice'), ('l_discount'), ('l_tax')) t(column_name) WHERE (SELECT count(*) FROM lineitem) > 0")
-def numeric_measure_columns(s, d):
-    df = table(s, d, "lineitem")
-    cols = tables.numeric_columns(df, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"])
-    return df.agg(F.count("*").alias("n")).where("n > 0").select(F.explode(F.array(*map(F.lit, cols))).alias("column"))
-
-
 @_query("SELECT l_shipmode_key AS k, rows FROM (SELECT l_returnflag AS l_shipmode_key, count(*) AS rows FROM lineitem WHERE l_quantity >= 0 AND l_discount IS NOT NULL GROUP BY 1)")
 def validated_lines(s, d):
     ok, _ = tables.validate(table(s, d, "lineitem"), {"quantity": F.col("l_quantity") >= 0, "discount": F.col("l_discount").isNotNull()})

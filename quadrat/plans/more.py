@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quadrat.functions import text
-from quadrat.operators import features, forecast, geo, graph, reports, series
+from quadrat.operators import features, forecast, geo, graph, names, reports, series
 from quadrat.plans.panels import GRID, PANELS, TOUCH, bio, enrol, grid, table
 from quadrat.plans.registry import query
 from quadrat.plans.summaries import _F, _bio, _enrol
@@ -159,12 +159,36 @@ def edges_through_matrix(s, d):
     return tables.matrix_to_edges(tables.edges_to_matrix(geo.touch_edges(grid(s, d)), regions), "src")
 
 
-@query("SELECT count(*) AS rows, count(*) AS ids FROM lineitem")
+@query("SELECT l_orderkey, sha256(CAST(l_orderkey AS VARCHAR)) || '-' || row_number() OVER (PARTITION BY l_orderkey) AS id FROM lineitem")
 def surrogate_ids(s, d):
-    return tables.surrogate_id(table(s, d, "lineitem").select("l_orderkey")).agg(F.count("*").alias("rows"), F.countDistinct("id").alias("ids"))
+    return tables.surrogate_id(table(s, d, "lineitem").select("l_orderkey"))
 
 
-@query()
+@query(f"{PANELS} SELECT district FROM (SELECT DISTINCT district FROM enrol) ORDER BY md5('42:' || district), district LIMIT 10")
 def sampled_districts(s, d):
-    """A repeatable sample of districts; which ones depends on a hash that SQL does not have."""
+    """A repeatable sample of districts."""
     return reports.sample_keys(enrol(s, d), "district", 10)
+
+
+@query("SELECT c_custkey, CASE WHEN r_name || '|' || n_name IN ('AMERICA|NATION_1', 'ASIA|NATION_2') THEN 'Moved' ELSE n_name END AS name, CASE WHEN r_name || '|' || n_name = 'AMERICA|NATION_1' THEN 'ASIA' ELSE r_name END AS state FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def pair_overrides(s, d):
+    """Pairs of state and name moved to other pairs by a dictionary of pairs."""
+    book = s.createDataFrame([("AMERICA", "NATION_1", "ASIA", "Moved"), ("ASIA", "NATION_2", "ASIA", "Moved")], "old_state string, old_name string, new_state string, new_name string")
+    places = table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("name"), F.col("r_name").alias("state"))
+    rows = table(s, d, "customer").select("c_custkey", "c_nationkey").join(places, "c_nationkey").drop("c_nationkey")
+    return names.apply_pair_overrides(rows, book, "state", "name")
+
+
+@query("SELECT 'l_quantity' AS \"column\", count(l_quantity) AS rows, min(l_quantity) + 0.0 AS least, max(l_quantity) + 0.0 AS most FROM lineitem UNION ALL SELECT 'l_extendedprice', count(l_extendedprice), min(l_extendedprice) + 0.0, max(l_extendedprice) + 0.0 FROM lineitem UNION ALL SELECT 'l_discount', count(l_discount), min(l_discount) + 0.0, max(l_discount) + 0.0 FROM lineitem UNION ALL SELECT 'l_tax', count(l_tax), min(l_tax) + 0.0, max(l_tax) + 0.0 FROM lineitem")
+def numeric_measure_columns(s, d):
+    """Measures among a table's columns, by type, with the rows and the range that they have."""
+    df = table(s, d, "lineitem")
+    cols = tables.numeric_columns(df, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"])
+    one = df.agg(*[F.struct(F.lit(c).alias("column"), F.count(c).alias("rows"), (F.min(c).cast("double") + 0.0).alias("least"), (F.max(c).cast("double") + 0.0).alias("most")).alias(c) for c in cols])
+    return one.select(F.explode(F.array(*cols)).alias("x")).select("x.*")
+
+
+@query(f"WITH {GRID}, {TOUCH} SELECT dst, w FROM touch WHERE src = (SELECT min(n_name) FROM nation)")
+def neighbours_of_first(s, d):
+    first = table(s, d, "nation").agg(F.min("n_name")).first()[0]
+    return graph.neighbours(geo.touch_edges(grid(s, d)), first)
