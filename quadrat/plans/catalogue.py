@@ -216,13 +216,18 @@ def bottom_districts(s, d):
     return reports.top_n(_profile(s, d).select("district", "enrol_total"), "enrol_total", 10, "district", ascending=True)
 
 
-@_query(_F + """, x AS (SELECT date, district, sum(bio_total) AS bio FROM b GROUP BY ALL), y AS (SELECT date, district, CAST(sum(enrol_total) AS DOUBLE) AS enrol FROM e GROUP BY ALL), j AS (SELECT coalesce(x.date, y.date) AS date, coalesce(x.district, y.district) AS district, coalesce(bio, 0) AS bio, coalesce(enrol, 0) AS enrol FROM x FULL JOIN y ON x.date = y.date AND x.district = y.district)
-SELECT date, district, bio, enrol, round(coalesce(CASE WHEN lag(bio) OVER w = 0 THEN 0 ELSE (bio - lag(bio) OVER w) * 100.0 / lag(bio) OVER w END, 0), 6) AS bio_change_pct FROM j WINDOW w AS (PARTITION BY district ORDER BY date)""")
+_SERIES = (("bio", "bio_total", "bio_a_ratio"), ("demo", "demo_total", "demo_a_ratio"), ("enrol", "enrol_total", "enrol_minor_ratio"))
+
+
+@_query(_F + ", " + ", ".join(f"s_{n} AS (SELECT date, state, district, sum({t})::DOUBLE AS {n}, avg({r}) AS {n}_ratio FROM {n[0]} GROUP BY ALL)" for n, t, r in _SERIES)
+    + " SELECT date, state, district, " + ", ".join(f"coalesce({n}, 0) AS {n}, round(coalesce({n}_ratio, 0), 6) AS {n}_ratio, round(coalesce(CASE WHEN lag(coalesce({n}, 0)) OVER w = 0 THEN 0 ELSE (coalesce({n}, 0) - lag(coalesce({n}, 0)) OVER w) * 100.0 / lag(coalesce({n}, 0)) OVER w END, 0), 6) AS {n}_change_pct" for n, _, _ in _SERIES)
+    + " FROM s_bio FULL JOIN s_demo USING (date, state, district) FULL JOIN s_enrol USING (date, state, district) WINDOW w AS (PARTITION BY state, district ORDER BY date)")
 def region_series(s, d):
-    x = _bio(s, d).groupBy("date", "district").agg(F.sum("bio_total").alias("bio"))
-    y = _enrol(s, d).groupBy("date", "district").agg(F.sum("enrol_total").cast("double").alias("enrol"))
-    rows = reports.outer_align([x, y], ["date", "district"])
-    return R(rows.withColumn("bio_change_pct", percent_change(F.col("bio"), F.lag("bio").over(Window.partitionBy("district").orderBy("date")))))
+    """Totals, mean ratios and % change of all three tables by day and district."""
+    keys = ["date", "state", "district"]
+    parts = [df.groupBy(*keys).agg(F.sum(t).cast("double").alias(n), F.avg(r).alias(f"{n}_ratio")) for df, (n, t, r) in zip((_bio(s, d), _demo(s, d), _enrol(s, d)), _SERIES, strict=True)]
+    rows, w = reports.outer_align(parts, keys), Window.partitionBy("state", "district").orderBy("date")
+    return R(rows.withColumns({f"{n}_change_pct": percent_change(F.col(n), F.lag(n).over(w)) for n, _, _ in _SERIES}))
 
 
 @_query(_F + " SELECT count(*) AS rows, count(DISTINCT state) AS distinct_state, count(DISTINCT district) AS distinct_district, count(DISTINCT pincode) AS distinct_pincode FROM e")

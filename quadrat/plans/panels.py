@@ -28,22 +28,25 @@ def enrol(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items on the customer's side, by day and place: returned and other quantities."""
+    """Line items on the customer's side, by day and place: returned and other quantities. Summed by customer and day first: the place
+    follows from the customer, and joins the sums."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
     customer = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
-    rows = table(spark, sf_dir, "lineitem").join(orders, "l_orderkey").join(customer, "c_custkey").join(_places(spark, sf_dir), "n_nationkey")
     returned = F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0.0)
-    keys = (F.to_date("l_shipdate").alias("date"), "state", "district", F.lpad(F.col("c_custkey").cast("string"), 6, "0").alias("pincode"))
-    return rows.groupBy(*keys).agg(F.sum(returned).alias("bio_age_5_17"), F.sum(F.col("l_quantity") - returned).alias("bio_age_17_"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.to_date("l_shipdate").alias("date"), returned.alias("returned"), (F.col("l_quantity") - returned).alias("rest"))
+    sums = lines.join(orders, "l_orderkey").groupBy("c_custkey", "date").agg(F.sum("returned").alias("bio_age_5_17"), F.sum("rest").alias("bio_age_17_"))
+    placed = sums.join(customer.join(_places(spark, sf_dir), "n_nationkey"), "c_custkey")
+    return placed.select("date", "state", "district", F.lpad(F.col("c_custkey").cast("string"), 6, "0").alias("pincode"), "bio_age_5_17", "bio_age_17_")
 
 
 def demo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items on the supplier's side, by day and place: open and other quantities."""
+    """Line items on the supplier's side, by day and place: open and other quantities. Summed by supplier and day first."""
     supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("n_nationkey"))
-    rows = table(spark, sf_dir, "lineitem").join(supplier, "l_suppkey").join(_places(spark, sf_dir), "n_nationkey")
     is_open = F.when(F.col("l_linestatus") == "O", F.col("l_quantity")).otherwise(0.0)
-    keys = (F.to_date("l_shipdate").alias("date"), "state", "district", F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("pincode"))
-    return rows.groupBy(*keys).agg(F.sum(is_open).alias("demo_age_5_17"), F.sum(F.col("l_quantity") - is_open).alias("demo_age_17_"))
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", F.to_date("l_shipdate").alias("date"), is_open.alias("opened"), (F.col("l_quantity") - is_open).alias("rest"))
+    sums = lines.groupBy("l_suppkey", "date").agg(F.sum("opened").alias("demo_age_5_17"), F.sum("rest").alias("demo_age_17_"))
+    placed = sums.join(supplier.join(_places(spark, sf_dir), "n_nationkey"), "l_suppkey")
+    return placed.select("date", "state", "district", F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("pincode"), "demo_age_5_17", "demo_age_17_")
 
 
 ENROL = """enrol AS (
