@@ -66,8 +66,10 @@ def chronological_split(df: DataFrame, t: str, train: float = 0.6, val: float =
     return df.join(placed.select(t, part.alias("part")), t)
 
 
-def change_from_first(df: DataFrame, region: str, step: str, col: str) -> DataFrame:
-    """% change of each step from the region's first."""
+def change_from_first(df: DataFrame, region: str, step: str, col: str, top: int | None = None) -> DataFrame:
+    """% change of each step from the region's first; with ``top`` for the regions with the largest means alone, ties by name."""
+    if top is not None:
+        df = df.join(df.groupBy(region).agg(F.avg(col).alias("__m")).orderBy(F.desc("__m"), region).limit(top).select(region), region, "left_semi")
     first = F.first(col).over(Window.partitionBy(region).orderBy(step).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return df.withColumn("change_pct", F.coalesce(F.try_divide((F.col(col) - first) * 100.0, first), F.lit(0.0)))
 

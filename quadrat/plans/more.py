@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quadrat.functions import text
+from quadrat.functions.cut import shared_folder
 from quadrat.operators import features, forecast, geo, graph, names, reports, series
 from quadrat.plans.panels import GRID, PANELS, TOUCH, bio, enrol, grid, table
 from quadrat.plans.registry import query
@@ -192,3 +195,36 @@ def numeric_measure_columns(s, d):
 def neighbours_of_first(s, d):
     first = table(s, d, "nation").agg(F.min("n_name")).first()[0]
     return graph.neighbours(geo.touch_edges(grid(s, d)), first)
+
+
+@query(f"""{PANELS}, c AS (SELECT pincode, strftime(date, '%Y') AS year, sum(age_0_5 + age_5_17 + age_18_greater)::DOUBLE AS total FROM enrol GROUP BY ALL), t AS (SELECT pincode FROM c GROUP BY pincode ORDER BY avg(total) DESC, pincode LIMIT 30)
+SELECT pincode, year, total, round(coalesce((total - first_value(total) OVER w) * 100 / nullif(first_value(total) OVER w, 0), 0), 6) AS change_pct FROM c WHERE pincode IN (SELECT pincode FROM t) WINDOW w AS (PARTITION BY pincode ORDER BY year)""")
+def change_of_top_regions(s, d):
+    """Yearly change of the thirty pincodes with the largest yearly means."""
+    rows = enrol(s, d).groupBy("pincode", F.date_format("date", "yyyy").alias("year")).agg(F.sum(F.col("age_0_5") + F.col("age_5_17") + F.col("age_18_greater")).cast("double").alias("total"))
+    return R(series.change_from_first(rows, "pincode", "year", "total", 30))
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 3 = 0")
+def replaced_table(s, d):
+    """A table written twice, the second time in place of the first, and read again by the columns that it has."""
+    path = f"{shared_folder(s).rstrip('/')}/quadrat/{uuid.uuid4().hex}/customer"
+    rows = table(s, d, "customer")
+    tables.replace_table(rows, path)
+    tables.replace_table(rows.where("c_custkey % 3 = 0"), path)
+    return tables.scan(s.read.parquet(path), ["c_custkey", "c_acctbal", "no_such_column"])
+
+
+@query("SELECT DISTINCT r_name AS state, n_name AS district, lower(r_name) AS state_key FROM nation JOIN region ON n_regionkey = r_regionkey")
+def reference_list(s, d):
+    """Regions as a reference list; what stands in parentheses does not count for the key."""
+    rows = table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    listed = tables.load_reference(rows.select(F.concat("r_name", F.lit(" (old)")).alias("r_name"), "n_name"), "r_name", "n_name")
+    return listed.withColumn("state", F.regexp_replace("state", r" \(old\)$", ""))
+
+
+@query("SELECT c_custkey, CAST(c_nationkey AS DOUBLE) * 3 + 60 AS lon, round(500000 + 0.9996 * 6378137.0 * 0, 3) AS east FROM customer WHERE c_nationkey = 5")
+def central_meridian(s, d):
+    """Points on the central meridian of a zone keep the false easting, whatever their latitude."""
+    rows = table(s, d, "customer").where("c_nationkey = 5").withColumn("lon", F.col("c_nationkey") * 3.0 + 60)
+    return rows.select("c_custkey", "lon", F.round(geo.to_utm(F.col("lon"), F.lit(10.0) + F.pmod("c_custkey", F.lit(50)), 43)[0], 3).alias("east"))
