@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from quadrat.functions.text import name_key, similarity, token_sorted, with_weighted_ratio
 
 
+#: Parts of either side where all pairs are scored.
+_SIDES = 8
+
+
 def _first_grams(c: Column, threshold: float) -> Column:
     """The bigrams of a padded name, numbered where they repeat, that come first by hash: as many as must hold a shared one.
 
@@ -31,20 +35,25 @@ def fuzzy_match(names: DataFrame, refs: DataFrame, threshold: float = 85.0, name
 
     Scores below the threshold are null. Above it none is lost: candidates are joined on bigrams of the keys, as they are
     and with words sorted, chosen so that any pair that reaches the threshold shares one, and with ``subsets`` also on
-    words. Below a threshold of 50 no such choice exists, and all pairs of the distinct names are scored.
+    words. Below a threshold of 50 no such choice exists, and all pairs of the distinct names are scored: both sides are dealt
+    to ``_SIDES`` parts by hash, and every two parts meet under one key of the join.
     """
 
     def under(mark: str, keys: Column) -> Column:
         return F.transform(keys, lambda k: F.concat(F.lit(mark), k))
 
-    def keyed(df: DataFrame, col: str) -> DataFrame:
+    def keyed(df: DataFrame, col: str, left: bool) -> DataFrame:
         one = df.select(col).where(F.col(col).isNotNull()).distinct()
+        if threshold < 50:
+            own = F.pmod(F.xxhash64(col), F.lit(_SIDES))
+            other = F.sequence(F.lit(0).cast("long"), F.lit(_SIDES - 1).cast("long"))
+            return one.withColumn("__k", F.explode(F.transform(other, lambda o: F.concat_ws(":", own if left else o, o if left else own))))
         sets = [under(f"{form.__name__}:", _first_grams(form(F.col(col)), threshold)) for form in (name_key, token_sorted)]
         if subsets:
             sets.append(under("word:", F.split(name_key(F.col(col)), " ")))
-        return one.withColumn("__k", F.explode(F.array_distinct(F.concat(*sets) if threshold >= 50 else F.array(F.lit("")))))
+        return one.withColumn("__k", F.explode(F.array_distinct(F.concat(*sets))))
 
-    pairs = keyed(names, name).join(keyed(refs, ref), "__k").select(name, ref).distinct()
+    pairs = keyed(names, name, True).join(keyed(refs, ref, False), "__k").select(name, ref).distinct()
     scored = pairs.withColumn("score", similarity(F.col(name), F.col(ref), subsets))
     return _top(scored, names.select(name).where(F.col(name).isNotNull()).distinct(), [name], ref, threshold)
 
