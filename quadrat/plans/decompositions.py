@@ -120,7 +120,7 @@ def tucker_checks(s, d):
 @_query(_TENSOR + " SELECT CAST(unnest([1, 2, 3]) AS INTEGER) AS feature_rank, true AS falls, count(*) AS cells FROM tensor")
 def tucker_rank_sweep(s, d):
     coo = cut(panel_tensor(s, d))
-    errors = tensor.tucker_sweep(coo, (8, 8, 3), [1, 2, 3]).collect()
+    errors = tensor.tucker_sweep(coo, (8, 8, 3), [1, 2, 3], tol=1e-6).collect()  # errors are compared to 1e-6
     rows = [(r.feature_rank, i == 0 or r.error <= errors[i - 1].error + 1e-6) for i, r in enumerate(errors)]
     return s.createDataFrame(rows, "feature_rank int, falls boolean").join(coo.agg(F.count("*").alias("cells")))
 
