@@ -56,7 +56,11 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and spans of personal data in every document."""
     found = pii.find_personal_data(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+    return found.select(
+        "doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"), F.size("secrets").cast("long").alias("n_secrets"), pii.written(F.col("secrets")).alias("secrets"),
+        (F.size("spans") + F.size("secrets")).cast("long").alias("n_found"),
+    )
 
 
 def op9_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
