@@ -188,3 +188,10 @@ def test_series_and_reports(spark):
     assert series.change_from_first(rows.where("t > 0"), "k", "t", "v").where("t = 1").first().change_pct == 0
     assert reports.sample_keys(rows.select(F.col("t").alias("key")), "key", 5).count() == 5
     assert reports.peers(spark.createDataFrame([("s", "a", 1), ("s", "b", 2)], "state string, district string, v int"), "s", "a", "v").first().district == "b"
+
+
+def test_rounding_of_ties(spark):
+    """Sums that differ in their last bit round alike."""
+    ties = [0.2421875, 0.4859375, 2.3984375, 12.3984375]
+    got = features.rounded(spark.createDataFrame([(i, float(v)) for i, t in enumerate(ties) for v in (np.nextafter(t, 0), t, np.nextafter(t, 99))], "i int, v double")).distinct().collect()
+    assert sorted((r.i, r.v) for r in got) == [(0, 0.242188), (1, 0.485938), (2, 2.398438), (3, 12.398438)]
