@@ -85,7 +85,7 @@ def _summary(df, keys, sums, means, distinct={}):
 
 
 _ALL = [*_BIO[0], *_BIO[1], *_DEMO[0], *_DEMO[1], *_ENROL[0], *_ENROL[1]]
-_FILLED = ", ".join(f"round(round(coalesce({n}, 0), 10), 6) AS {n}" for n in _ALL)
+_FILLED = ", ".join(f"round(round(coalesce({n}, 0), 10), 6) + 0.0::DOUBLE AS {n}" for n in _ALL)
 
 
 def _sql_aligned(keys, where, count=""):
@@ -144,7 +144,7 @@ for _name, (_, _, (_sums, _means)) in _DAILY.items():
         return R(_daily(s, d, name))
 
     _report.__name__ = f"daily_state_{_name}"
-    query(f"{_GROWN}, {_COMMON}, {_sql_daily(_name)} SELECT date, state, " + ", ".join(f"round(round({n}, 10), 6) AS {n}" for n in (*_sums, *_means)) + f" FROM daily_{_name}")(_report)
+    query(f"{_GROWN}, {_COMMON}, {_sql_daily(_name)} SELECT date, state, " + ", ".join(f"round(round({n}, 10), 6) + 0.0::DOUBLE AS {n}" for n in (*_sums, *_means)) + f" FROM daily_{_name}")(_report)
 
 
 @query(f"""{_GROWN}, {_COMMON}, x AS (SELECT date, state, CAST(sum(enrol_total) AS DOUBLE) AS enrol_total, avg(daily_pct_change) AS avg_growth, avg(enrol_total_7day_avg) AS rolling_avg, avg(enrol_total_7day_std) AS volatility FROM eg WHERE date IN (FROM common) GROUP BY ALL),
