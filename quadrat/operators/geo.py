@@ -1,4 +1,8 @@
-"""Regions from vertex tables ``(region, part, ring, seq, x, y)``; the last vertex of a ring repeats the first."""
+"""Regions from vertex tables ``(region, part, ring, seq, x, y)``; the last vertex of a ring repeats the first.
+
+Sides are joined by sorting both tables. Spark takes a table whose rows it cannot foresee, such as exploded corners and
+cells, for as small as the file it comes from, and would send all of it through the driver.
+"""
 
 from __future__ import annotations
 
@@ -36,10 +40,10 @@ def noded(boundaries: DataFrame, digits: int = 7) -> DataFrame:
     points = sides.select(F.explode(F.array("a", "b")).alias("p")).distinct().withColumns({"cx": F.floor(F.col("p.x") / cell), "cy": F.floor(F.col("p.y") / cell)})
     along = ((F.col("p.x") - ax) * (bx - ax) + (F.col("p.y") - ay) * (by - ay)) / (F.pow(bx - ax, 2) + F.pow(by - ay, 2))
     off = F.hypot(F.col("p.x") - ax - F.col("t") * (bx - ax), F.col("p.y") - ay - F.col("t") * (by - ay))
-    on = celled.join(points, ["cx", "cy"]).where("p <> a AND p <> b").withColumn("t", along).where((F.col("t") > 0) & (F.col("t") < 1) & (off <= near))
+    on = celled.join(points.hint("merge"), ["cx", "cy"]).where("p <> a AND p <> b").withColumn("t", along).where((F.col("t") > 0) & (F.col("t") < 1) & (off <= near))
     cuts = on.groupBy("a", "b").agg(F.sort_array(F.collect_set(F.struct("t", "p"))).alias("cuts"))  # the vertices on one side
     stops = F.concat(F.array("a"), F.transform(F.coalesce("cuts", F.array()), lambda c: c["p"]), F.array("b"))
-    whole = sides.join(cuts, ["a", "b"], "left").withColumn("stops", stops)
+    whole = sides.join(cuts.hint("merge"), ["a", "b"], "left").withColumn("stops", stops)
     pieces = F.explode(F.arrays_zip(F.slice("stops", F.lit(1), F.size("stops") - 1).alias("a"), F.slice("stops", F.lit(2), F.size("stops") - 1).alias("b")))
     return whole.select("region", "part", "ring", pieces.alias("s")).select("region", "part", "ring", F.least("s.a", "s.b").alias("a"), F.greatest("s.a", "s.b").alias("b"))
 
@@ -56,9 +60,9 @@ def contacts(boundaries: DataFrame, digits: int = 7) -> DataFrame:
     pieces = noded(boundaries, digits).select("region", "a", "b").distinct()
     other = pieces.withColumnRenamed("region", "other")
     length = F.hypot(F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y"))
-    along = pieces.join(other, ["a", "b"]).where("region < other").select("region", "other", length.alias("length"))
+    along = pieces.join(other.hint("merge"), ["a", "b"]).where("region < other").select("region", "other", length.alias("length"))
     ends = pieces.select("region", F.explode(F.array("a", "b")).alias("p")).distinct()
-    at = ends.join(ends.withColumnRenamed("region", "other"), "p").where("region < other").select("region", "other", F.lit(0.0).alias("length"))
+    at = ends.join(ends.withColumnRenamed("region", "other").hint("merge"), "p").where("region < other").select("region", "other", F.lit(0.0).alias("length"))
     pairs = along.unionByName(at).groupBy("region", "other").agg(F.sum("length").alias("length"))
     return mirrored(pairs.select(F.col("region").alias("src"), F.col("other").alias("dst"), F.col("length").alias("w"))).withColumnRenamed("w", "length")
 
@@ -85,7 +89,7 @@ def near_edges(boundaries: DataFrame, tol: float = 0.01) -> DataFrame:
     celled = sides.withColumn("cx", F.explode(span(F.col("x1"), F.col("x2")))).withColumn("cy", F.explode(span(F.col("y1"), F.col("y2"))))
     other = celled.withColumnsRenamed({c: f"{c}_b" for c in ("region", "x1", "y1", "x2", "y2")})
     near = _apart([F.col(c) for c in ("x1", "y1", "x2", "y2")], [F.col(f"{c}_b") for c in ("x1", "y1", "x2", "y2")]) <= reach + 1e-12
-    pairs = celled.join(other, ["cx", "cy"]).where((F.col("region") < F.col("region_b")) & near).select("region", "region_b").distinct()
+    pairs = celled.join(other.hint("merge"), ["cx", "cy"]).where((F.col("region") < F.col("region_b")) & near).select("region", "region_b").distinct()
     return mirrored(pairs.select(F.col("region").alias("src"), F.col("region_b").alias("dst"), F.lit(1.0).alias("w")))
 
 

@@ -121,6 +121,13 @@ def test_contacts(spark):
     assert geo.contacts(wall.where("false")).count() == 0
 
 
+def test_sides_are_not_sent_through_the_driver(spark):
+    """Spark takes exploded sides for small: no join of them may be a broadcast, however small their file."""
+    wall = boxes(spark, ("a", 0, 0, 4, 1), ("a", 1, 1, 2, 2), ("b", 2, 1, 3, 2))
+    for found in (geo.contacts(wall), geo.dissolve(wall), geo.near_edges(wall)):
+        assert found.count() > 0 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_dissolve_along_parts_of_sides(spark):
     outline = geo.dissolve(boxes(spark, ("a", 0, 0, 4, 1), ("a", 1, 1, 2, 2), ("b", 2, 1, 3, 2))).groupBy("region").agg(F.sum(F.hypot(F.col("x2") - F.col("x"), F.col("y2") - F.col("y"))).alias("n"))
     assert {r.region: r.n for r in outline.collect()} == {"a": pytest.approx(12.0), "b": pytest.approx(4.0)}
