@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrat.llm.store import stage, unstage
+
 
 def hilbert_index(coords: Column, dims: int, bits: int) -> Column:
     """Place on the Hilbert curve of a point, given as an array of ``dims`` ints of ``bits`` bits each.
@@ -57,25 +60,17 @@ def hilbert_index(coords: Column, dims: int, bits: int) -> Column:
     return bind(bind(bind(x, gray), unfolded), woven)
 
 
-#: Rows from which the steps of a dimension of many values are cut.
-SAMPLE = 8192
-
-
-def _quantised(df: DataFrame, dims: Sequence[str], bits: int, keys: Sequence[str]) -> list[Column]:
+def _quantised(df: DataFrame, dims: Sequence[str], bits: int) -> list[Column]:
     """A number of ``bits`` bits for each dimension, in the order of its values.
 
-    A dimension of no more values than steps has one step for each, spread evenly. Of one with more, the values that cut ``SAMPLE``
-    rows, those with the smallest hashes of ``keys``, into equal parts are the borders of steps; every row is
-    placed by them. Null takes step 0; a dimension of one value is step 0 throughout.
+    A dimension of no more values than steps has one step for each, spread evenly. Of one with more, the values that cut all
+    rows into equal parts are the borders of steps. Null takes step 0; a dimension of one value is step 0 throughout.
     """
     levels, out = 1 << bits, []
     for c in dims:
-        given = df.where(F.col(c).isNotNull())
-        values = [r[0] for r in given.select(c).distinct().limit(levels + 1).collect()]
+        values = [r[0] for r in df.where(F.col(c).isNotNull()).select(c).distinct().limit(levels + 1).collect()]
         if len(values) > levels:
-            drawn = sorted(r[0] for r in given.select(c, F.xxhash64(*keys).alias("__h")).orderBy("__h").limit(SAMPLE).select(c).collect())
-            borders = sorted({drawn[len(drawn) * i // levels] for i in range(1, levels)})
-            step = F.size(F.filter(_literals(df, c, borders), lambda q: q <= F.col(c)))
+            step = F.size(F.filter(_literals(df, c, _borders(df, c, levels)), lambda q: q <= F.col(c)))
         else:
             place = F.array_position(_literals(df, c, sorted(values)), F.col(c)) - 1
             step = F.floor(place * levels / max(1, len(values)))
@@ -83,6 +78,25 @@ def _quantised(df: DataFrame, dims: Sequence[str], bits: int, keys: Sequence[str
     return out
 
 
+def _borders(df: DataFrame, name: str, parts: int) -> list:
+    """The values at the places ``rows * i // parts`` of all rows in order, nulls left out; each once.
+
+    Values are counted and dealt to tasks by range. Only the rows of each range go to the driver, to say at which place
+    it begins; the values are numbered range by range."""
+    counted = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("v")).agg(F.count("*").alias("n"))
+    counted = stage(counted.repartitionByRange("v").withColumn("range", F.spark_partition_id()), "values")
+    sizes = dict(counted.groupBy("range").agg(F.sum("n")).collect())
+    before = dict(zip(sorted(sizes), accumulate((sizes[k] for k in sorted(sizes)), initial=0)))
+    rows = sum(sizes.values())
+    places = F.array(*[F.lit(rows * i // parts).cast("long") for i in range(1, parts)])
+    start = F.create_map(*[F.lit(x) for k, n in before.items() for x in (k, n)])[F.col("range")]
+    end = start + F.sum("n").over(Window.partitionBy("range").orderBy("v"))
+    found = counted.withColumn("end", end).where(F.exists(places, lambda p: (p < F.col("end")) & (p >= F.col("end") - F.col("n"))))
+    borders = sorted(r.v for r in found.select("v").collect())
+    unstage(counted)
+    return borders
+
+
 def _literals(df: DataFrame, name: str, values: Sequence) -> Column:
     return F.array(*map(F.lit, values)).cast(f"array<{df.schema[name].dataType.simpleString()}>")
 
@@ -104,7 +118,7 @@ def curve_shards(df: DataFrame, dims: Sequence[str], shards: int = 40, bits: int
     shards stay empty.
     """
     named = [f"__q{i}" for i in range(len(dims))]
-    rows = df.withColumns(dict(zip(named, _quantised(df, dims, bits, ties or dims), strict=True)))
+    rows = df.withColumns(dict(zip(named, _quantised(df, dims, bits), strict=True)))
     rows = rows.withColumn("__salt", F.pmod(F.xxhash64(*(ties or dims)), F.lit(salts)).cast("int"))
     order = [F.col(c) for c in ties] or [F.lit(0)]
     placed = rows.withColumn("__in", F.row_number().over(Window.partitionBy(*named, "__salt").orderBy(*order)))

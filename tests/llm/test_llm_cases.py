@@ -88,6 +88,17 @@ def test_shards_follow_the_curve(spark):
     assert all(zones[s]["rows"] == 150 and zones[s]["min_x"] == min(r.x for r in got if r.shard == s) for s in range(8))
 
 
+def test_steps_are_cut_from_all_rows(spark):
+    """Borders of steps are quantiles of all rows, not of some thousand of them."""
+    rng = np.random.default_rng(7)
+    values = np.concatenate([rng.integers(0, 10**6, 19000), np.full(1000, 77)])
+    frame = spark.createDataFrame([(i, int(v)) for i, v in enumerate(values)] + [(20000, None)], "k long, x long").repartition(7)
+    ordered = np.sort(values)
+    borders = np.unique([ordered[len(ordered) * i // 16] for i in range(1, 16)])
+    got = frame.select("x", sharding._quantised(frame, ["x"], 4)[0].alias("step")).collect()
+    assert all(r.step == (0 if r.x is None else int((borders <= r.x).sum())) for r in got)
+
+
 BASE = {
     "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda v: True),
     "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda v: all(int(p) <= 255 for p in v.split("."))),
