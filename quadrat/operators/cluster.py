@@ -66,22 +66,25 @@ def kmeans_sweep(df: DataFrame, cols: Sequence[str], key: str, ks: Sequence[int]
     return df.sparkSession.createDataFrame(scores, "k int, inertia double, silhouette double"), labelled.select(key, F.col(f"__k{top}").alias("label"))
 
 
-#: Rows of a block whose distances to another block are measured at once.
-ROWS = 1024
+#: Rows of a block whose distances to another block are measured at once, and blocks of a group.
+ROWS, GROUP = 1024, 32
 
 
 def silhouettes(df: DataFrame, vector: str, labels: Sequence[str]) -> DataFrame:
     """The mean Euclidean silhouette under each of several label columns: ``(labels, silhouette, rows, clusters)``.
 
-    Every two rows of an aggregated table are measured, by definition, but only once for all labellings: rows are packed into
-    blocks, each task takes two blocks as matrices and adds up the distances of each row to each cluster. A row that is
+    Every two rows are measured, by definition, but only once for all labellings: rows are packed into blocks and blocks into
+    groups. Every two groups meet in one task, which multiplies blocks as matrices and adds up the distances of each row of both to each
+    cluster. So a block moves, and its sums move, once for each group, and a task holds two groups. A row that is
     alone in its cluster counts 0, and so does everything under a single label. Labels must not be null; they and vectors of doubles of one length
     are all that is read."""
     rows = df.select(F.col(vector).cast("array<double>").alias("v"), F.array(*[F.col(c).cast("string") for c in labels]).alias("l"))
     known = rows.select(F.posexplode("l").alias("at", "label")).groupBy("at", "label").agg(F.count("*").alias("n")).collect()  # labels are few
     book = [sorted((r.label, r.n) for r in known if r.at == i) for i in range(len(labels))]
     places, sizes = [{label: i for i, (label, _) in enumerate(b)} for b in book], [np.array([n for _, n in b], float) for b in book]
+    firsts = np.cumsum([0, *map(len, sizes)])  # columns of the sums where each labelling begins
     blocks = max(1, -(-int(sum(sizes[0])) // ROWS)) if known else 1
+    groups = max(-(-blocks // GROUP), min(blocks, 8))  # of few blocks smaller groups, so that many tasks share the work
 
     def pack(batches):
         for batch in batches:
@@ -94,21 +97,50 @@ def silhouettes(df: DataFrame, vector: str, labels: Sequence[str]) -> DataFrame:
 
     packed = cut(rows.repartition(blocks).mapInArrow(pack, "n int, v binary, l binary").withColumn("id", F.monotonically_increasing_id()))
 
-    def measure(batches):
-        for batch in batches:
-            for at, n, v, l, m, w, o in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "v", "l", "n2", "v2", "l2")), strict=True):
-                a, b = np.frombuffer(v, float).reshape(n, -1), np.frombuffer(w, float).reshape(m, -1)
-                d = np.sqrt(np.maximum(0.0, sum((a[:, [c]] - b[:, c]) ** 2 for c in range(a.shape[1]))))
-                other = np.frombuffer(o, np.int32).reshape(m, -1)
-                sums = [np.stack([d[:, other[:, i] == c].sum(1) for c in range(len(size))], 1).tobytes() for i, size in enumerate(sizes)]
-                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([l], pa.binary()), pa.array([sums], pa.list_(pa.binary()))], ["id", "l", "sums"])
+    def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Distances of the rows of two blocks. Products of matrices lose digits where rows are near one another beside
+        their length: those pairs are measured by differences."""
+        aa, bb = (a * a).sum(1), (b * b).sum(1)
+        both = aa[:, None] + bb
+        d = both - 2 * (a @ b.T)
+        near = np.argwhere(~(d > 1e-6 * both))
+        for s in range(0, len(near), 1 << 14):
+            i, j = near[s : s + (1 << 14)].T
+            d[i, j] = ((a[i] - b[j]) ** 2).sum(1)
+        return np.sqrt(d)
+
+    def measure(group: pa.Table) -> pa.Table:
+        """The sums of each block of two groups over the blocks of the other, or of its own group."""
+        one, two = group["one"][0].as_py(), group["two"][0].as_py()
+        held = []
+        for at, side, n, v, l in zip(*(group[c].to_pylist() for c in ("id", "group", "n", "v", "l")), strict=True):
+            own = np.frombuffer(l, np.int32).reshape(n, -1)
+            member = np.zeros((n, firsts[-1]))
+            for i, first in enumerate(firsts[:-1]):
+                member[np.arange(n), first + own[:, i]] = 1
+            held.append((at, side, np.frombuffer(v, float).reshape(n, -1), member, np.zeros((n, firsts[-1]))))
+        held.sort(key=lambda h: h[0])
+        for x, (_, side, a, ma, sa) in enumerate(held):
+            for y, (_, other, b, mb, sb) in enumerate(held):
+                if (one == two and x <= y) or (side == one and other == two and one != two):
+                    d = apart(a, b)
+                    if x == y:
+                        np.fill_diagonal(d, 0.0)
+                    else:
+                        sb += d.T @ ma
+                    sa += d @ mb
+        return pa.table({"id": pa.array([h[0] for h in held], pa.int64()), "sums": pa.array([h[4].tobytes() for h in held], pa.binary())})
 
     def score(group: pa.Table) -> pa.Table:
         """All partial sums of one block of rows."""
-        own = np.frombuffer(group["l"][0].as_py(), np.int32).reshape(-1, len(sizes))
+        own = np.frombuffer(next(x for x in group["l"].to_pylist() if x is not None), np.int32).reshape(-1, len(sizes))
+        sums = np.zeros((len(own), firsts[-1]))
+        for part in group["sums"]:
+            if part.is_valid:
+                sums += np.frombuffer(part.as_py(), float).reshape(sums.shape)
         out = []
         for i, size in enumerate(sizes):
-            total = sum(np.frombuffer(s[i], float) for s in group["sums"].to_pylist()).reshape(len(own), -1)
+            total = sums[:, firsts[i] : firsts[i + 1]]
             at, mine = np.arange(len(own)), own[:, i]
             if len(size) > 1:
                 inside = total[at, mine] / np.maximum(size[mine] - 1, 1)
@@ -121,11 +153,16 @@ def silhouettes(df: DataFrame, vector: str, labels: Sequence[str]) -> DataFrame:
                 out.append(0.0)
         return pa.table({"at": pa.array(range(len(out)), pa.int32()), "total": pa.array(out, pa.float64()), "n": pa.array([len(own)] * len(out), pa.int64())})
 
-    beside = packed.select("id", "n", "v", "l").crossJoin(packed.select(F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("v").alias("v2"), F.col("l").alias("l2")))  # every two blocks
-    sums = beside.mapInArrow(measure, "id long, l binary, sums array<binary>").groupBy("id").applyInArrow(score, "at int, total double, n long")
+    mine = packed.withColumn("group", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
+    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: F.struct(F.least("group", g).alias("one"), F.greatest("group", g).alias("two"))))
+    sent = mine.withColumn("p", pairs).select((F.col("p.one") * groups + F.col("p.two")).alias("pair"), "p.one", "p.two", "id", "group", "n", "v", "l")
+    tasks = min(groups * (groups + 1) // 2, 4096)  # by number: few bytes are much work here
+    sums = sent.repartition(tasks, "pair").groupBy("pair").applyInArrow(measure, "id long, sums binary")
+    together = sums.select("id", F.lit(None).cast("binary").alias("l"), "sums").unionByName(packed.select("id", "l", F.lit(None).cast("binary").alias("sums")))
+    scored = together.groupBy("id").applyInArrow(score, "at int, total double, n long")
     named = F.element_at(F.array(*map(F.lit, labels)), F.col("at") + 1)
     clusters = F.element_at(F.array(*[F.lit(len(s)) for s in sizes]), F.col("at") + 1)
-    return sums.groupBy("at").agg(F.sum("total").alias("t"), F.sum("n").alias("rows")).select(named.alias("labels"), F.try_divide("t", "rows").alias("silhouette"), "rows", clusters.alias("clusters"))
+    return scored.groupBy("at").agg(F.sum("total").alias("t"), F.sum("n").alias("rows")).select(named.alias("labels"), F.try_divide("t", "rows").alias("silhouette"), "rows", clusters.alias("clusters"))
 
 
 def silhouette(df: DataFrame, cols: Sequence[str], key: str, label: str = "label") -> DataFrame:

@@ -101,6 +101,14 @@ def test_largest_eigenvalue(spark):
     assert graph.largest_eigenvalue(l.where("false")) == 0.0
 
 
+def test_tensor_reads_tables_once(spark):
+    """The plan of a tensor rests on means that lie ready; before, it held each table many times."""
+    df = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 4.0), ("b", 1, None)], "region string, t int, x double").withColumn("read", F.lit(1))
+    cells = tensor.build_tensor({"one": df, "two": df}, {"one": ["x"], "two": ["x"]}, "region", "t")
+    assert {(r.i, r.j) for r in cells.collect()} == {("a", 1), ("a", 2), ("b", 1), ("b", 2)}
+    assert "LogicalRDD" in (plan := cells._jdf.queryExecution().analyzed().toString()) and "read#" not in plan
+
+
 # --- boundaries
 
 
@@ -162,6 +170,26 @@ def test_density_clusters(spark, eps, least):
     assert cluster.dbscan(df.where("false"), "id").count() == 0
 
 
+def test_silhouettes_by_groups(spark, monkeypatch):
+    """Groups of several blocks, copies and rows all but equal far from the origin; no product of all blocks with all."""
+    monkeypatch.setattr(cluster, "ROWS", 8)
+    monkeypatch.setattr(cluster, "GROUP", 2)
+    rng = np.random.default_rng(6)
+    v = np.concatenate([rng.normal(size=(120, 4)) + 1e3, np.full((20, 4), 1e3), np.full((20, 4), 1e3) + rng.normal(0, 1e-7, (20, 4))])
+    a = rng.integers(0, 4, 160)
+    df = spark.createDataFrame([([float(x) for x in r], int(p)) for r, p in zip(v, a)], "v array<double>, a int").repartition(3)
+    d = np.linalg.norm(v[:, None] - v, axis=2)
+    means = np.stack([d[:, a == c].sum(1) / ((a == c).sum() - (a == c)) for c in range(4)], 1)
+    inside = means[np.arange(160), a]
+    means[np.arange(160), a] = np.inf
+    outside = means.min(1)
+    found = cluster.silhouettes(df, "v", ["a"])
+    row = found.first()
+    assert row.silhouette == pytest.approx(float(((outside - inside) / np.maximum(inside, outside)).mean()), abs=1e-9) and (row.rows, row.clusters) == (160, 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
 def test_silhouettes(spark, monkeypatch):
     monkeypatch.setattr(cluster, "ROWS", 16)
     rng = np.random.default_rng(4)
