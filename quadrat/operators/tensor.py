@@ -20,13 +20,10 @@ SENT = 8 << 20
 
 def build_tensor(tables: Mapping[str, DataFrame], cols: Mapping[str, Sequence[str]], region: str, time: str, how: str = "union") -> DataFrame:
     """Means by region, time and feature of several tables; holes take the mean of their time and feature, else 0;
-    each feature standardised. ``how``: regions of any table, or of all."""
-    parts = []
-    for name, df in tables.items():
-        means = df.groupBy(region, time).agg(*[F.avg(c).alias(f"{name}__{c}") for c in cols[name]])
-        parts.append(means.unpivot([region, time], [c for c in means.columns if c not in (region, time)], "k", "value"))
-    long = reduce(DataFrame.unionByName, parts).where("value IS NOT NULL")
-    domain = reduce(DataFrame.intersect if how == "intersect" else DataFrame.union, [t.select(region).distinct() for t in tables.values()]).distinct()
+    each feature standardised. ``how``: regions of any table, or of all. Tables are read once, for their means; all else rests on these."""
+    means = [cut(df.groupBy(region, time).agg(*[F.avg(c).alias(f"{name}__{c}") for c in cols[name]])) for name, df in tables.items()]
+    long = reduce(DataFrame.unionByName, [m.unpivot([region, time], [c for c in m.columns if c not in (region, time)], "k", "value") for m in means]).where("value IS NOT NULL")
+    domain = reduce(DataFrame.intersect if how == "intersect" else DataFrame.union, [m.select(region).distinct() for m in means]).distinct()
     grid = domain.crossJoin(long.select(time).distinct()).crossJoin(long.select("k").distinct())  # the dense tensor asked for
     mean = long.groupBy(time, "k").agg(F.avg("value").alias("__m"))
     full = grid.join(long, [region, time, "k"], "left").join(mean, [time, "k"], "left").withColumn("value", F.coalesce("value", "__m", F.lit(0.0))).drop("__m")
@@ -237,6 +234,7 @@ def _cp_joined(coo: DataFrame, rank: int, iters: int, tol: float, seed: int, rid
 
 def cp_sweep(coo: DataFrame, ranks: Sequence[int], **how) -> DataFrame:
     """The relative error of each rank."""
+    coo = cut(coo)  # one for all ranks
     return coo.sparkSession.createDataFrame([(r, cp_als(coo, r, **how)[1]) for r in ranks], "rank int, error double")
 
 
@@ -322,6 +320,7 @@ def reconstruct(factors: Mapping[str, DataFrame], cells: DataFrame, core: DataFr
 
 
 def tucker_sweep(coo: DataFrame, ranks: Sequence[int], feature_ranks: Sequence[int], **how) -> DataFrame:
+    coo = cut(coo)  # one for all ranks
     return coo.sparkSession.createDataFrame([(r, tucker_hooi(coo, (*ranks[:2], r), **how)[2]) for r in feature_ranks], "feature_rank int, error double")
 
 
