@@ -134,6 +134,15 @@ def test_fuzzy_lines_against_brute_force(spark):
     assert np.mean(some) >= 0.9
 
 
+def test_similar_lines_may_share_few_words(spark, monkeypatch):
+    """Lines that meet are linked by their edits alone, also where most of their words differ by a letter."""
+    one = [f"{chr(97 + i)}bcdefg{chr(97 + i)}" for i in range(20)]
+    two = [w if i < 5 else w[:4] + "x" + w[5:] for i, w in enumerate(one)]
+    rows = [(i, " ".join(w), 179, 20) for i, w in enumerate((one, two))]
+    monkeypatch.setattr(lines, "candidates", lambda celled, similarity: spark.createDataFrame([(0, 1)], "line long, line2 long"))
+    assert lines.similar_lines(spark.createDataFrame(rows, "line long, norm string, len int, words int")).collect() == [(0, 1)]
+
+
 def test_lines_with_names_in_use(spark):
     """Columns named like every internal or output column pass through; nulls, repeated rows and long lines do not crash."""
     names = ["row", "gone", "stay", "i", "t", "id", "twin", "a", "b", "n", "line", "norm", "first", "keep", "root", "pos", "n_lines", "n_removed", "score", "__id", "__twin"]
