@@ -38,6 +38,7 @@ def minmax(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def _vectors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    df = cut(df)  # moments and rows: what lies behind is worked out once
     return VectorAssembler(inputCols=list(cols), outputCol="features").transform(zscore_apply(df, zscore_fit(df, cols), cols))
 
 
@@ -50,10 +51,15 @@ def pca2(df: DataFrame, cols: Sequence[str], key: str) -> tuple[DataFrame, list[
     return model.transform(vectors).select(key, (pc[0] * signs[0]).alias("pc1"), (pc[1] * signs[1]).alias("pc2")), list(model.explainedVariance)
 
 
+#: Rows that one task of a fit takes.
+FIT = 1 << 16
+
+
 def kmeans_sweep(df: DataFrame, cols: Sequence[str], key: str, ks: Sequence[int] = range(2, 11), seed: int = 42, n_init: int = 10) -> tuple[DataFrame, DataFrame]:
     """``(k, inertia, silhouette)`` of the best of ``n_init`` runs for each k, and the labels of the k whose Euclidean
     silhouette is best (the smallest of several). Distances of all rows are summed once, for all k together."""
     vectors = cut(_vectors(df, cols).select(key, "features"))
+    vectors = vectors.coalesce(max(1, -(-vectors.count() // FIT)))  # each round of each fit is a job: of a few rows, one of few tasks
     inertia, labelled = {}, vectors
     for k in ks:
         best = min((KMeans(k=k, seed=seed + i).fit(vectors) for i in range(n_init)), key=lambda m: m.summary.trainingCost)

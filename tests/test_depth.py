@@ -170,6 +170,12 @@ def test_density_clusters(spark, eps, least):
     assert cluster.dbscan(df.where("false"), "id").count() == 0
 
 
+def test_vectors_work_a_table_out_once(spark):
+    """Moments and rows rest on a table that lies ready; before, the plan held it twice."""
+    df = spark.range(9).select("id", F.sin("id").alias("x"), F.cos("id").alias("y"))
+    assert "Range" not in cluster._vectors(df, ["x", "y"])._jdf.queryExecution().analyzed().toString()
+
+
 def test_silhouettes_by_groups(spark, monkeypatch):
     """Groups of several blocks, copies and rows all but equal far from the origin; no product of all blocks with all."""
     monkeypatch.setattr(cluster, "ROWS", 8)
