@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quadrat.llm import ann, lines, mixing, packing, pii, quality, sharding, simhash, substrings, topk
+from quadrat.llm import ann, components, lines, mixing, packing, pii, quality, sharding, simhash, substrings, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, root string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -143,6 +143,40 @@ def test_similar_lines_may_share_few_words(spark, monkeypatch):
     assert lines.similar_lines(spark.createDataFrame(rows, "line long, norm string, len int, words int")).collect() == [(0, 1)]
 
 
+def test_all_lines_of_a_cell_meet(spark, monkeypatch):
+    """Of 40 lines in one cell two are alike, far from each other and from the first in its order; and of 60 variants of
+    a line, all in one cell with 40 others, each is linked to the rest."""
+    rng = np.random.default_rng(8)
+    other = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 60))
+    texts = [other() for _ in range(40)]
+    texts[30] = texts[10][:-3] + "xyz"
+    base = other()
+    variants = [base[:i] + "0" + base[i + 1 :] for i in range(60)]
+    mixed = [other() if i % 5 < 2 else variants.pop() for i in range(100)]
+    rows = [(i, t, 60, 1) for i, t in enumerate(texts + mixed)]
+    celled = [(int(i >= 40), 7, i, 60) for i in range(len(rows))]
+    monkeypatch.setattr(lines, "cells", lambda _: spark.createDataFrame(celled, "cell long, print long, line long, len int"))
+    links = lines.similar_lines(spark.createDataFrame(rows, "line long, norm string, len int, words int")).collect()
+    assert (10, 30) in links and len(links) == len(set(links))
+    roots = {r.vertex: r.root for r in components.connected_components(spark.createDataFrame(links), "line", "line2").collect()}
+    alike = {40 + i for i in range(100) if i % 5 >= 2}
+    assert roots == {10: 10, 30: 10} | dict.fromkeys(alike, min(alike))
+
+
+def test_bounds_of_edits(spark):
+    """The cheap upper bound of the edits of two lines is never below their number."""
+    rng = np.random.default_rng(9)
+    words = ["a", "the", "of", "lorem", "ipsum", "dolor", "consectetur", "sit"]
+    rows = []
+    for _ in range(300):
+        one = [words[i] for i in rng.integers(0, 8, rng.integers(0, 40))]
+        two = [words[rng.integers(0, 8)] if rng.random() < 0.2 else w for w in one if rng.random() < 0.8] + one[: rng.integers(0, 3)]
+        rows.append((" ".join(one), " ".join(two)))
+    bound = lines._out_of_step(F.split("a", " "), F.split("b", " "))
+    got = spark.createDataFrame(rows, "a string, b string").select(bound.alias("bound"), F.levenshtein("a", "b").alias("edits")).collect()
+    assert all(r.bound >= r.edits for r in got) and sum(r.bound <= 1.5 * r.edits for r in got) > 100
+
+
 def test_lines_with_names_in_use(spark):
     """Columns named like every internal or output column pass through; nulls, repeated rows and long lines do not crash."""
     names = ["row", "gone", "stay", "i", "t", "id", "twin", "a", "b", "n", "line", "norm", "first", "keep", "root", "pos", "n_lines", "n_removed", "score", "__id", "__twin"]
