@@ -163,6 +163,38 @@ def test_all_lines_of_a_cell_meet(spark, monkeypatch):
     assert roots == {10: 10, 30: 10} | dict.fromkeys(alike, min(alike))
 
 
+def test_voters_agree_by_eight_bits(spark):
+    """Lines that have one word pair and many bits of four by chance in common are no candidates; nor is a pair lost."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 7))
+    rows = [(i, t, len(t), 40) for i, t in enumerate(" ".join(word() for _ in range(40)) for _ in range(600))]
+    rows.append((600, rows[0][1][:-7] + word(), rows[0][2], 40))
+    featured = lines.blocks(lines.features(spark.createDataFrame(rows, "line long, norm string, len int, words int")))
+    whole = [sum((F.shiftleft(f"{b}{k}", 8 * k) for k in range(lines.BLOCKS)), F.lit(0)) for b in "op"]
+    celled = featured.select(F.lit(0).alias("cell"), whole[0].alias("print"), whole[1].alias("more"), "line", "len")
+    roots = spark.createDataFrame([], "vertex long, root long")
+    nothing = spark.createDataFrame([], "line long, line2 long")
+    assert [tuple(r) for r in lines.other_candidates(celled, nothing, roots, 0.8).collect()] == [(0, 600)]
+
+
+def test_split_cells_lose_no_pair(spark, monkeypatch):
+    """A cell of lines with random voters has the same pairs in common whole and split."""
+    rng = np.random.default_rng(12)
+    voters = rng.integers(0, 4, (300, 16))  # few values: many pairs agree in five voters
+    voters[:, 14:] = 1
+    celled = [(5, int(sum(int(v) << 4 * k for k, v in enumerate(row))), 3, i, 60) for i, row in enumerate(voters)]
+    celled = spark.createDataFrame(celled, "cell long, print long, more long, line long, len int")
+    roots = spark.createDataFrame([(i, i - i % 2) for i in range(200)], "vertex long, root long")
+    met = spark.createDataFrame([(0, 5)], "line long, line2 long")
+    found = []
+    for large in (4096, 10):
+        monkeypatch.setattr(lines, "LARGE", large)
+        found.append(sorted(map(tuple, lines.other_candidates(celled, met, roots, 0.8).collect())))
+    root = lambda i: i - i % 2 if i < 200 else i
+    want = [(i, j) for i in range(300) for j in range(i + 1, 300) if (voters[i] == voters[j]).sum() >= 5 and root(i) != root(j) and (i, j) != (0, 5)]
+    assert found[0] == found[1] == want and len(want) > 1000
+
+
 def test_bounds_of_edits(spark):
     """The cheap upper bound of the edits of two lines is never below their number."""
     rng = np.random.default_rng(9)
