@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Mapping
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.llm import subword
-from quadrat.llm.store import stage, unstage
+from quadrat.llm.store import stage
 
 #: Domains of the label table, in the order of their labels: quality 0, quality 1 and not toxic, quality 1 and toxic.
 DOMAINS = ("low", "good", "toxic")
@@ -30,74 +31,79 @@ def domain_posteriors(docs: DataFrame, labels: DataFrame, sample: int = 4000) ->
     return subword.probabilities(docs.drop("posterior"), model, "text", "posterior")
 
 
-def fit_rates(members: DataFrame, targets: Mapping[str, float], budget: float | None = None, max_rate: float = float("inf"), tolerance: float = 1e-3, settled: float = 1e-5, each: int = 10) -> tuple[DataFrame, list[float]]:
-    """Nonnegative rates whose expected tokens by domain come closest to the targets, by projected gradient steps.
+def fit_rates(members: DataFrame, targets: Mapping[str, float], budget: float | None = None, max_rate: float = float("inf"), tolerance: float = 1e-3, settled: float = 1e-5) -> tuple[DataFrame, list[float]]:
+    """Nonnegative rates whose expected tokens by domain come closest to the targets.
 
     ``members`` has ``tokens`` and ``posterior``. With ``a = tokens * posterior`` the sum of ``rate * a`` over all
     documents should be ``budget * target``; the squared error of the shares is minimised over ``0 <= rate <=
-    max_rate``, starting from rate 1, so that documents move no further than the targets ask. The default budget is
-    the number of tokens there are. Rates are measured by tokens, so that the gradient of a document is the error of the domains weighted
-    with its posterior. The length of a step is what the last one shows of the curvature (Barzilai and Borwein, both forms in turn); one that leaves the
-    error above all of the last ten is taken back for a shorter one, at the least the one that must make it smaller.
+    max_rate``, with a small weight on the tokens' squared distance from rate 1, so that documents move no further than the targets
+    ask. The default budget is the number of tokens there are.
+
+    With that weight the best rates are ``1 - pull . posterior``, held to the bounds, for one number of ``pull`` a domain. These are
+    found by steps of Newton on the dual problem, which is smooth and convex, with the curvature of the documents
+    that are not at a bound. The weight begins at 1 and is made ten times smaller at a time, each time from the error that was left.
+    So the number of rounds does not depend on how slowly documents move to their bounds.
 
     Ends when all shares are within ``tolerance`` of their targets, or at the optimum: when a whole gradient step, held to the
     bounds, would move less than ``settled`` of the budget. In the latter case the targets cannot be met by these documents,
     and a ``RuntimeWarning`` names the shares that come closest.
 
-    A round sums one number for each domain, and two more, over all documents and sends the error back: nothing else is gathered.
-    Rates after ``each`` rounds are written out, so that plans stay short and nothing is computed from the start again.
+    A round sums a dozen numbers over all documents and sends ``pull`` back: nothing else is gathered, and nothing is written.
 
     Returns ``members`` with ``rate``, and the shares of the domains reached.
     """
     k, goal = len(targets), np.array(list(targets.values()), float)
     goal = goal / goal.sum()
     at = lambda i: F.element_at("posterior", i + 1)
-    now = members.withColumn("rate", F.lit(1.0))
-    curves = [F.sum(F.col("tokens") * at(i) * at(j)) for i in range(k) for j in range(k)]
-    total, *row = members.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * at(i)) for i in range(k)], *curves).first()
+    by = lambda x: reduce(Column.__add__, [at(i) * F.lit(float(v)) for i, v in enumerate(x)])
+    held = lambda rate: F.least(F.greatest(rate, F.lit(0.0)), F.lit(max_rate))
+    ends = [(i, j) for i in range(k) for j in range(i + 1)]
+    total = members.agg(F.sum("tokens")).first()[0]
     if not total:
-        return now, [0.0] * k
+        return members.withColumn("rate", F.lit(1.0)), [0.0] * k
     budget = float(budget or total)
-    found, curve = np.array(row[:k]) / budget, np.array(row[k:]).reshape(k, k) / budget
-    surest = 1 / max(float(np.linalg.eigvalsh(curve)[-1]), 1e-12)
-    held = lambda rate, pull: F.least(F.greatest(rate - pull, F.lit(0.0)), F.lit(max_rate))
-    by = lambda e: F.aggregate(F.zip_with("posterior", F.array(*[F.lit(float(x)) for x in e]), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    steps: list[np.ndarray] = []
-    error, length, last, written, rounds = found - goal, surest, [np.inf], None, 0
-    while np.abs(error).max() >= tolerance:
-        last, rounds = [*last, float(error @ error)][-10:], rounds + 1
-        moved = _moved(now, steps, max_rate).select("tokens", "posterior", "rate", held(F.col("rate"), by(length * error)).alias("new"), held(F.col("rate"), by(error)).alias("whole"))
-        change, left, *row = moved.agg(
-            F.sum(F.col("tokens") * F.pow(F.col("new") - F.col("rate"), 2)), F.sum(F.col("tokens") * F.abs(F.col("whole") - F.col("rate"))), *[F.sum(F.col("new") * F.col("tokens") * at(i)) for i in range(k)]
-        ).first()
-        if left / budget < settled:
-            warnings.warn(f"targets {goal.tolist()} cannot be met: the closest shares of the budget are {found.tolist()}", RuntimeWarning, stacklevel=2)
+
+    def sums(pull: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Shares at these rates, the curvature of what is between the bounds, and the documents' part of the dual."""
+        rows = members.select("tokens", "posterior", (1 - by(pull)).alias("free")).withColumn("rate", held(F.col("free")))
+        loose = F.when(F.col("rate") == F.col("free"), F.col("tokens")).otherwise(0)
+        value = F.col("tokens") * F.col("rate") * (F.col("free") - F.col("rate") / 2)
+        *row, dual = rows.agg(*[F.sum(F.col("rate") * F.col("tokens") * at(i)) for i in range(k)], *[F.sum(loose * at(i) * at(j)) for i, j in ends], F.sum(value)).first()
+        curve = np.zeros((k, k))
+        for (i, j), v in zip(ends, row[k:]):
+            curve[i, j] = curve[j, i] = v / budget
+        return np.array(row[:k]) / budget, curve, dual / budget
+
+    weight, pull = 1.0, np.zeros(k)
+    found, curve, dual = sums(pull)
+    while np.abs(found - goal).max() >= tolerance:
+        for _ in range(50):
+            slope = goal + weight * pull - found
+            if np.abs(slope).max() <= max(tolerance / 100, 1e-9) * min(1.0, 10 * float(np.abs(found - goal).max())):
+                break
+            step = -np.linalg.solve(curve + weight * np.eye(k), slope)
+            worth, length = goal @ pull + weight * pull @ pull / 2 + dual, 1.0
+            while True:
+                new = pull + length * step
+                following = sums(new)
+                if goal @ new + weight * new @ new / 2 + following[2] <= worth + 1e-4 * length * (slope @ step) + 1e-12 * max(1.0, abs(worth)) or length < 1e-6:
+                    break
+                length /= 4
+            pull, (found, curve, dual) = new, following
+            if np.abs(found - goal).max() < tolerance:
+                break
+        error = found - goal
+        if np.abs(error).max() < tolerance:
             break
-        following = np.array(row) / budget
-        step = following - found
-        if float((following - goal) @ (following - goal)) > max(last) and length > surest:
-            length = max(surest, length / 8)
-            continue
-        steps.append(length * error)
-        found, error = following, following - goal
-        shown = change / budget / max(float(step @ step), 1e-300) if rounds % 2 else float(step @ step) / max(float(step @ curve @ step), 1e-300)
-        length = max(surest, min(1e6, shown))
-        if len(steps) == each:
-            following = stage(_moved(now, steps, max_rate), "rates")
-            if written is not None:
-                unstage(written)
-            now, written, steps = following, following, []
-    return _moved(now, steps, max_rate), (found / max(found.sum(), 1e-12)).tolist()
-
-
-def _moved(df: DataFrame, errors: list[np.ndarray], max_rate: float) -> DataFrame:
-    """Rates after one projected step for each of ``errors``."""
-    if not errors:
-        return df
-    rounds = F.array(*[F.array(*[F.lit(float(x)) for x in e]) for e in errors])
-    pull = lambda e: F.aggregate(F.zip_with(e, "posterior", lambda x, p: x * p), F.lit(0.0), lambda a, x: a + x)
-    walk = F.aggregate(rounds, F.col("rate"), lambda r, e: F.least(F.greatest(r - pull(e), F.lit(0.0)), F.lit(max_rate)))
-    return df.withColumn("rate", walk)
+        if weight <= settled:
+            rate = held(1 - by(pull))
+            left = members.agg(F.sum(F.col("tokens") * F.abs(held(rate - by(error)) - rate))).first()[0]
+            if left / budget < settled or weight < settled / 1000:
+                warnings.warn(f"targets {goal.tolist()} cannot be met: the closest shares of the budget are {found.tolist()}", RuntimeWarning, stacklevel=2)
+                break
+        weight, pull = weight / 10, pull * 10
+        found, curve, dual = sums(pull)
+    return members.withColumn("rate", held(1 - by(pull))), (found / max(found.sum(), 1e-12)).tolist()
 
 
 def tokens(text: Column) -> Column:

@@ -374,6 +374,29 @@ def test_mixing_reaches_small_domains(spark):
         mixing.fit_rates(members, {"a": 0.5, "b": 0.2, "c": 0.3}, max_rate=2.0)
 
 
+def test_mixing_ends_soon_where_targets_cannot_be_met(spark, monkeypatch):
+    """Rounds over all documents are few, though many documents have to move far to their bounds; shares are the best there are."""
+    rng = np.random.default_rng(4)
+    posterior, tokens = rng.dirichlet([0.24, 3.08, 0.68], 900), rng.integers(10, 800, 900)
+    members = spark.createDataFrame([(int(t), [float(x) for x in p]) for t, p in zip(tokens, posterior)], "tokens long, posterior array<double>").cache()
+    rounds, agg = [], type(members).agg
+
+    def counted(self, *columns):
+        rounds.append(1)
+        assert len(rounds) < 50
+        return agg(self, *columns)
+
+    monkeypatch.setattr(type(members), "agg", counted)
+    with pytest.warns(RuntimeWarning, match="cannot be met"):
+        rated, shares = mixing.fit_rates(members, {"a": 0.0, "b": 1.0, "c": 0.0}, max_rate=2.0, tolerance=0.03)
+    monkeypatch.undo()
+    got = np.array([r.rate for r in rated.collect()])
+    a = posterior * tokens[:, None] / tokens.sum()
+    error = got @ a - [0, 1, 0]
+    gap = float((a @ error) @ got - np.where(a @ error < 0, 2.0 * (a @ error), 0).sum())  # how far the squared error can be from the least
+    assert got.min() >= 0 and got.max() <= 2 and gap < 1e-3 and np.abs(np.array(shares) - got @ a / (got @ a).sum()).max() < 1e-9
+
+
 def test_sample_has_one_row_an_id(spark, monkeypatch):
     from quadrat.llm import subword
 
